@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import cross_split, eval_leaks, shared_spans
+from inkstone.llm import cross_split, eval_leaks, group_splits, mixing, pieces, shared_spans, tokens
+from inkstone.plans.lineage import written
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -34,19 +35,81 @@ def p1_shared(spark, d):
     return shared_spans.shared_amount(shared_spans.spans(shared_spans.factors(records)), records)
 
 
+# Problem 2
+
+
+def p2_found(spark, d):
+    return group_splits.linked_authors(_t(spark, d, "chunk"))
+
+
+def p2_forest(spark, d):
+    forest = group_splits.author_components(_t(spark, d, "chunk"))[1]
+    return forest.select(F.col("a").alias("author_a"), F.col("b").alias("author_b"), F.col("weight").alias("source_doc_id"))
+
+
+def p2_splits(spark, d):
+    return group_splits.splits(_t(spark, d, "chunk"))
+
+
+# Problem 3
+
+
+def p3_pieces(spark, d):
+    return pieces.essay_pieces(_t(spark, d, "essays")).union(pieces.chunk_pieces(_t(spark, d, "chunk")))
+
+
+def p3_found(spark, d):
+    return p3_pieces(spark, d).groupBy("item_table", "item_id").agg(F.max("piece").alias("last")).where("last > 0").select("item_table", "item_id")
+
+
+# Problems 5, 8 and 9
+
+
+def p5_budget(spark, d):
+    """Tokens of essays and recreations by source, language and topic; blank names are null, each key counts once."""
+    tidy = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
+    essays = _t(spark, d, "essays").dropDuplicates(["article_id"])
+    place = essays.select(F.col("article_id").alias("essay"), tidy("lang").alias("lang"), tidy("topic").alias("topic"))
+    made = _t(spark, d, "recreation").dropDuplicates(["rec_id"]).select(F.coalesce("source_article_id", "article_id").alias("essay"), tidy("model_alias").alias("source"), F.col("body").alias("text")).join(place, "essay", "left")
+    original = essays.select(tidy("config").alias("source"), tidy("lang").alias("lang"), tidy("topic").alias("topic"), "text")
+    return tokens.budget(original.unionByName(made.select("source", "lang", "topic", "text")), ["source", "lang", "topic"])
+
+
+def p8_ids(spark, d):
+    return tokens.encode(_t(spark, d, "documents"))
+
+
+def _p9(spark, d):
+    documents = _t(spark, d, "documents")
+    sized = written(documents.select("doc_id", "source").join(tokens.count(documents), "doc_id"), "p9-sizes")
+    budgets, chosen = mixing.plan(sized, _t(spark, d, "source_weights"))
+    budgets = written(budgets, "p9-budgets")
+    return budgets, mixing.draw(sized, written(chosen, "p9-lengths"))
+
+
+def p9_shares(spark, d):
+    return mixing.shares(*_p9(spark, d))
+
+
+def p9_drawn(spark, d):
+    return _p9(spark, d)[1]
+
+
 # Problems 6 and 7
 
-_SPLIT = F.lower(F.trim("split"))
+
+def _split():
+    return F.lower(F.trim("split"))
 
 
 def p6_found(spark, d):
-    tests = _t(spark, d, "essays").where(_SPLIT.isin("test", "validation"))
+    tests = _t(spark, d, "essays").where(_split().isin("test", "validation"))
     return eval_leaks.leaks(tests, _t(spark, d, "reference_corpus")).select(F.col("corpus_key").alias("corpus_article_id"), F.col("test_key").alias("test_article_id"))
 
 
 def _p7_pairs(spark, d):
     essays = _t(spark, d, "essays")
-    return cross_split.overlaps(essays.where(_SPLIT.isin("test", "validation")), essays.where(_SPLIT == "train"))
+    return cross_split.overlaps(essays.where(_split().isin("test", "validation")), essays.where(_split() == "train"))
 
 
 def p7_found(spark, d):
@@ -55,9 +118,9 @@ def p7_found(spark, d):
 
 def p7_report(spark, d):
     """Evaluation essays with an overlap, and overlaps, by split and config of the evaluation essay."""
-    place = _t(spark, d, "essays").where("article_id is not null").groupBy(F.col("article_id").alias("eval_key")).agg(F.min(_SPLIT).alias("split"), F.min(F.lower(F.trim("config"))).alias("config"))
+    place = _t(spark, d, "essays").where("article_id is not null").groupBy(F.col("article_id").alias("eval_key")).agg(F.min(_split()).alias("split"), F.min(F.lower(F.trim("config"))).alias("config"))
     return _p7_pairs(spark, d).join(place, "eval_key").groupBy("split", "config").agg(F.count("*").alias("pairs"), F.countDistinct("eval_key").alias("eval_essays"), F.countDistinct("train_key").alias("train_essays"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p6_found, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_shares, p9_drawn)}
 SQL: dict[str, str] = {}
