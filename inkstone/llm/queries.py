@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import cross_split, eval_leaks, group_splits, mixing, pieces, shared_spans, tokens
+from inkstone.llm import cross_split, eval_leaks, group_splits, lang_labels, mixing, pairs, pieces, shared_spans, tokens
 from inkstone.plans.lineage import written
 
 
@@ -62,6 +62,21 @@ def p3_found(spark, d):
     return p3_pieces(spark, d).groupBy("item_table", "item_id").agg(F.max("piece").alias("last")).where("last > 0").select("item_table", "item_id")
 
 
+# Problem 4
+
+
+def p4_defects(spark, d):
+    detail = _t(spark, d, "detail")
+    prompt = detail.where("assignment is not null").groupBy("article_id", "model_slug").agg(F.max("assignment").alias("prompt"))
+    recreations = _t(spark, d, "recreation").where("rec_id is not null").dropDuplicates(["rec_id"])
+    both = recreations.join(prompt, ["article_id", "model_slug"], "left").select("rec_id", "body", "word_count", "prompt")
+    return pairs.defects(both, detail.select("title"), _t(spark, d, "lang_samples"))
+
+
+def p4_found(spark, d):
+    return p4_defects(spark, d).where("rank = 1").select("rec_id", "defect")
+
+
 # Problems 5, 8 and 9
 
 
@@ -122,5 +137,16 @@ def p7_report(spark, d):
     return _p7_pairs(spark, d).join(place, "eval_key").groupBy("split", "config").agg(F.count("*").alias("pairs"), F.countDistinct("eval_key").alias("eval_essays"), F.countDistinct("train_key").alias("train_essays"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_shares, p9_drawn)}
+# Problem 10
+
+
+def p10_found(spark, d):
+    return lang_labels.unnamed(_t(spark, d, "documents"), _t(spark, d, "lang_samples"))
+
+
+def p10_languages(spark, d):
+    return lang_labels.languages(_t(spark, d, "documents"), _t(spark, d, "lang_samples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p4_found, p4_defects, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_shares, p9_drawn, p10_found, p10_languages)}
 SQL: dict[str, str] = {}
