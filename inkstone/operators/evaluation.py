@@ -130,6 +130,7 @@ def similarity(matrix: DataFrame, normalize: bool = True) -> DataFrame:
     s = F.lit(1.0) - F.col("mean_distance")
     if not normalize:
         return matrix.select("author_i", "author_j", F.when(F.isnan("mean_distance"), s).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))).alias("similarity"))
-    ends = F.broadcast(matrix.where(~F.isnan("mean_distance")).agg((1 - F.max("mean_distance")).alias("lo"), (1 - F.min("mean_distance")).alias("hi")))  # one row
-    value = F.when(F.isnan("mean_distance"), s).when(F.col("hi") > F.col("lo"), (s - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return matrix.join(ends, how="cross").select("author_i", "author_j", value.alias("similarity"))
+    ends = matrix.where(~F.isnan("mean_distance")).agg((1 - F.max("mean_distance")).alias("lo"), (1 - F.min("mean_distance")).alias("hi")).first()
+    span = ends.hi - ends.lo if ends.lo is not None else 0.0
+    value = F.when(F.isnan("mean_distance"), s).otherwise((s - ends.lo) / span if span > 0 else F.lit(0.0))
+    return matrix.select("author_i", "author_j", value.alias("similarity"))

@@ -49,14 +49,15 @@ def column_stats(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Deviations are summed around the mean, so nothing cancels. Without texts both are 0.
     """
-    n = counts.select("id").distinct().agg(F.count("*").alias("n"))
+    n = counts.select("id").distinct().count()
+    if not n:
+        return vocab.select("idx", F.lit(0.0).alias("mu"), F.lit(0.0).alias("sigma"))
     rf = relative(counts)
     mean = rf.groupBy("idx").agg(F.sum("rf").alias("s"))
-    both = F.broadcast(vocab.select("idx").join(mean, "idx", "left").join(F.broadcast(n), how="cross"))  # a row a word
-    both = both.select("idx", "n", F.when(F.col("n") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("mu"))
+    both = vocab.select("idx").join(mean, "idx", "left").select("idx", (F.coalesce("s", F.lit(0.0)) / n).alias("mu"))  # a row a word
     off = rf.join(F.broadcast(both), "idx").groupBy("idx").agg(F.sum((F.col("rf") - F.col("mu")) * (F.col("rf") - F.col("mu"))).alias("q"), F.count("*").alias("k"))
-    var = (F.coalesce("q", F.lit(0.0)) + (F.col("n") - F.coalesce("k", F.lit(0))) * F.col("mu") * F.col("mu")) / F.col("n")
-    return both.join(off, "idx", "left").select("idx", "mu", F.when(F.col("n") > 0, F.sqrt(var)).otherwise(0.0).alias("sigma"))
+    var = (F.coalesce("q", F.lit(0.0)) + (n - F.coalesce("k", F.lit(0))) * F.col("mu") * F.col("mu")) / n
+    return both.join(off, "idx", "left").select("idx", "mu", F.sqrt(var).alias("sigma"))
 
 
 def gram_tf(docs: DataFrame, grams) -> DataFrame:
