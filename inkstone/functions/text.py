@@ -84,13 +84,12 @@ def char_grams(text, low: int = 3, high: int = 4) -> Column:
     A padded word that is not longer than n is taken once, whole, and no longer n is tried on it.
     """
 
+    def cut(p: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, n))
+
     def of(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
-        size = F.length(p)
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(size - (low - 1), F.lit(1))), lambda i: F.substring(p, i, low))]
-        for n in range(low + 1, high + 1):
-            more = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.substring(p, i, n))
-            parts.append(F.when(size > n - 1, more).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
+        none = F.array().cast("array<string>")
+        return F.concat(cut(p, low), *(F.when(F.length(p) >= n, cut(p, n)).otherwise(none) for n in range(low + 1, high + 1)))
 
     return F.flatten(F.transform(pieces(text), of))

@@ -83,7 +83,7 @@ def _pairs(rows: str, d: str) -> str:
 
 
 AUC = """ranked AS (SELECT same, rank() OVER (ORDER BY step) + (count(*) OVER (PARTITION BY step) - 1) / 2 AS r FROM pairs)
-SELECT count(*) AS n_pairs, count_if(same) AS n_self, count_if(NOT same) AS n_cross,
+SELECT count(*) AS n_pairs, CAST(count_if(same) AS BIGINT) AS n_self, CAST(count_if(NOT same) AS BIGINT) AS n_cross,
   round(1 - (sum(r) FILTER (same) - count_if(same) * (count_if(same) + 1) / 2) / (CAST(count_if(same) AS DOUBLE) * count_if(NOT same)), 6) AS auc FROM ranked"""
 
 
@@ -166,7 +166,7 @@ SELECT label, n, mean, std, CAST(row_number() OVER (ORDER BY mean {'DESC' if mat
 
 
 def _tricks(group: str) -> str:
-    return f"WITH {FOLD_ROWS} SELECT {group}, count(*) AS n_folds, count_if(delta_natural_vs_generated < 0) AS n_tricks, round(count_if(delta_natural_vs_generated < 0) / count(*), 6) AS trick_rate FROM v GROUP BY {group}"
+    return f"WITH {FOLD_ROWS} SELECT {group}, count(*) AS n_folds, CAST(count_if(delta_natural_vs_generated < 0) AS BIGINT) AS n_tricks, round(count_if(delta_natural_vs_generated < 0) / count(*), 6) AS trick_rate FROM v GROUP BY {group}"
 
 
 def _report_cols(n: str, what: str) -> str:
@@ -176,8 +176,8 @@ def _report_cols(n: str, what: str) -> str:
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 SQL: dict[str, str] = {
-    "text_normalized": f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, length({_norm('text')}) AS n_chars_norm FROM documents",
-    "text_counts": f"SELECT doc_id, len({_words('text')}) AS n_words, len({_tokens('text')}) AS n_tokens, len({_pieces('text')}) AS n_pieces, {_estimate(f'len({_pieces("text")})')} AS model_tokens FROM documents",
+    "text_normalized": f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, CAST(length({_norm('text')}) AS INTEGER) AS n_chars_norm FROM documents",
+    "text_counts": f"SELECT doc_id, CAST(len({_words('text')}) AS INTEGER) AS n_words, CAST(len({_tokens('text')}) AS INTEGER) AS n_tokens, CAST(len({_pieces('text')}) AS INTEGER) AS n_pieces, CAST({_estimate(f'len({_pieces("text")})')} AS INTEGER) AS model_tokens FROM documents",
     "test_articles": f"WITH {ESSAYS} SELECT article_id, author, config, split, topic, lang, md5(text) AS text_md5 FROM articles",
     "reference_articles": f"WITH {REFERENCE} SELECT article_id, author, config, split, md5(text) AS text_md5 FROM reference",
     "article_summary": f"WITH {BOTH} SELECT author, count(*) AS n_articles, {_report_cols(f'len({_pieces("text")})', 'words')} FROM both_slices GROUP BY author",
@@ -225,7 +225,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distanc
     "permutation_auc": f"WITH {_space(CHUNK)}, {UNIT}, {_pairs('unit', COSINE)}, {PERMUTED} SELECT k, n_self, round(auc, 6) AS auc FROM permuted",
     "permutation_summary": f"""WITH {_space(CHUNK)}, {UNIT}, {_pairs('unit', COSINE)}, {PERMUTED},
 observed AS (SELECT 1 - (sum(r) - count(*) * (count(*) + 1) / 2) / (CAST(count(*) AS DOUBLE) * ((SELECT count(*) FROM pairs) - count(*))) AS auc FROM ranked JOIN pairs USING (i, j) WHERE same),
-x AS (SELECT count(*) AS n_valid, avg(auc) AS mean, coalesce(stddev_samp(auc), 0) AS std, median(auc) AS median, quantile_cont(auc, 0.95) AS q95, quantile_cont(auc, 0.99) AS q99, count_if(auc >= (SELECT auc FROM observed)) AS n_at_least FROM permuted)
+x AS (SELECT count(*) AS n_valid, avg(auc) AS mean, coalesce(stddev_samp(auc), 0) AS std, median(auc) AS median, quantile_cont(auc, 0.95) AS q95, quantile_cont(auc, 0.99) AS q99, CAST(count_if(auc >= (SELECT auc FROM observed)) AS BIGINT) AS n_at_least FROM permuted)
 SELECT n_valid, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, round(q95, 6) AS q95, round(q99, 6) AS q99, n_at_least, round((1 + n_at_least) / (1 + n_valid), 6) AS p_value FROM x""",
     "distance_histogram": f"""WITH {_space(CHUNK)}, {UNIT}, {_pairs('unit', COSINE)},
 e AS (SELECT same, step, min(step) OVER (PARTITION BY same) AS lo, max(step) OVER (PARTITION BY same) AS hi FROM pairs)
@@ -270,7 +270,7 @@ FROM base LEFT JOIN per ON per.doc = target_article_id LEFT JOIN gn ON gn.doc =
     "author_breakdown": f"""WITH {FOLD_ROWS}, m AS (SELECT author, model_alias, round(avg(delta_natural_vs_generated), 6) AS d FROM v GROUP BY ALL)
 SELECT author, max(d) FILTER (model_alias = 'inkwell-mini') AS "inkwell-mini", max(d) FILTER (model_alias = 'marlow-70b') AS "marlow-70b", max(d) FILTER (model_alias = 'quill-3.1') AS "quill-3.1", max(d) FILTER (model_alias = 'tessera-2') AS "tessera-2" FROM m GROUP BY author""",
     "tricks_by_model": f"""WITH {FOLD_ROWS}, x AS (SELECT *, delta_natural_vs_generated AS d FROM v)
-SELECT coalesce(model_alias, 'all_models_pooled') AS model_alias, count(*) AS n_folds, count_if(d < 0) AS n_tricks, round(count_if(d < 0) / count(*), 6) AS trick_rate, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta,
+SELECT coalesce(model_alias, 'all_models_pooled') AS model_alias, count(*) AS n_folds, CAST(count_if(d < 0) AS BIGINT) AS n_tricks, round(count_if(d < 0) / count(*), 6) AS trick_rate, round(avg(d), 6) AS mean_delta, round(median(d), 6) AS median_delta,
   first(target_article_id ORDER BY d, target_article_id) FILTER (d < 0) AS best_trick FROM x GROUP BY ROLLUP (model_alias)""",
     "tricks_by_author": _tricks("author"),
     "tricks_by_model_author": _tricks("model_alias, author"),
