@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space in Unicode; written out because `\\s` means other characters in every engine.
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Any character but white space.
+INK = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD2 = r"[\p{L}\p{N}_]{2,}"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +14,11 @@ from inkstone.functions import text as T
 from inkstone.plans.lineage import written
 
 LEAST_WORDS, MOST_WORDS = 100, 1000
-
-
-def word_rows(docs: DataFrame, lower: bool = True) -> DataFrame:
-    """(id, at, word): every word of every text; a text without words has one row of nulls."""
-    return docs.select("id", F.posexplode_outer(T.words("text", lower)).alias("at", "word"))
+EPS = 1e-12
+#: Terms with their idf that may be sent to every task; more are joined.
+MOST_TERMS = 300_000
+#: Words whose grams a worker remembers; beyond it the memory is emptied, never the work.
+CACHE_WORDS = 200_000
 
 
 def most_frequent(docs: DataFrame, n: int, order: list[str] = ("id",), lower: bool = True) -> DataFrame:
@@ -25,59 +30,148 @@ def most_frequent(docs: DataFrame, n: int, order: list[str] = ("id",), lower: bo
     return top.select((F.row_number().over(by) - 1).alias("idx"), "term", "cnt")
 
 
-def word_counts(docs: DataFrame, vocab: DataFrame, lower: bool = True) -> DataFrame:
-    """(id, idx, cnt): counts of vocabulary words by text; idx null for all others together, cnt 0 for a text without words."""
-    known = F.broadcast(vocab.select("idx", F.col("term").alias("word")))  # at most MOST_WORDS rows
-    return word_rows(docs, lower).join(known, "word", "left").groupBy("id", "idx").agg(F.count("word").alias("cnt"))
+def vectors(docs: DataFrame, vocab: list[str], lower: bool = True, mu: list[float] | None = None, sigma: list[float] | None = None, keep: list[str] = ()) -> DataFrame:
+    """(id, keep..., vec): relative frequencies of the vocabulary's words, or their deviations from mu in sigmas.
+
+    The words are found in the JVM; counting them into dense rows is one narrow stage on Arrow arrays, where an
+    aggregation would shuffle more bytes than the texts have. Zeros for a text without words; where sigma is 0 values
+    are only centred.
+    """
+    centre, scale = (np.array(mu), np.where(np.array(sigma) > EPS, sigma, 1.0)) if mu is not None else (None, None)
+
+    def count(batches):
+        for batch in batches:
+            rf = _frequencies(batch.column(batch.num_columns - 1), vocab)
+            if centre is not None:
+                rf = (rf - centre) / scale
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(rf)], [*batch.schema.names[:-1], "vec"])
+
+    rows = docs.select("id", *keep, T.words("text", lower).alias("vec"))
+    return rows.mapInArrow(count, ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", vec array<double>")
+
+
+def _frequencies(words: pa.ListArray, vocab: list[str]) -> np.ndarray:
+    n, lengths = len(vocab), np.diff(words.offsets.to_numpy())
+    idx = pc.fill_null(pc.index_in(words.flatten(), value_set=pa.array(vocab, pa.string())), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    hit = idx >= 0
+    counts = np.bincount(row[hit] * n + idx[hit], minlength=len(lengths) * n).reshape(len(lengths), n)
+    return counts / np.maximum(lengths, 1)[:, None]
 
 
-def relative(counts: DataFrame) -> DataFrame:
-    """(id, idx, rf): counts as parts of all words of the text."""
-    total = F.sum("cnt").over(Window.partitionBy("id"))  # a text's vocabulary words
-    return counts.withColumn("total", total).where("idx is not null").select("id", "idx", (F.col("cnt") / F.col("total")).alias("rf"))
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def dense(counts: DataFrame, n: int) -> DataFrame:
-    """(id, vec): relative frequencies of all n vocabulary words; zeros for a text without words."""
-    per = counts.groupBy("id").agg(F.sum("cnt").alias("total"), F.map_from_entries(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "cnt")))).alias("m"))
-    zero = F.lit(0).cast("long")
-    return per.select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero) / F.greatest("total", F.lit(1))).alias("vec"))
+def frequencies(docs: DataFrame, vocab: list[str], lower: bool = True) -> DataFrame:
+    """(id, idx, rf): the vocabulary words that a text has, as parts of all its words."""
+    return vectors(docs, vocab, lower).select("id", F.posexplode("vec").alias("idx", "rf")).where("rf > 0")
 
 
-def column_stats(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def column_stats(docs: DataFrame, vocab: list[str], lower: bool = True) -> DataFrame:
     """(idx, mu, sigma): mean and population deviation of each word's relative frequency over all texts, zeros included.
 
-    Deviations are summed around the mean, so nothing cancels. Without texts both are 0.
+    Batches are reduced to their number, means and squared deviations, which are then combined, so nothing cancels.
+    Without texts both are 0.
     """
-    n = counts.select("id").distinct().count()
-    if not n:
-        return vocab.select("idx", F.lit(0.0).alias("mu"), F.lit(0.0).alias("sigma"))
-    rf = relative(counts)
-    mean = rf.groupBy("idx").agg(F.sum("rf").alias("s"))
-    both = vocab.select("idx").join(mean, "idx", "left").select("idx", (F.coalesce("s", F.lit(0.0)) / n).alias("mu"))  # a row a word
-    off = rf.join(F.broadcast(both), "idx").groupBy("idx").agg(F.sum((F.col("rf") - F.col("mu")) * (F.col("rf") - F.col("mu"))).alias("q"), F.count("*").alias("k"))
-    var = (F.coalesce("q", F.lit(0.0)) + (n - F.coalesce("k", F.lit(0))) * F.col("mu") * F.col("mu")) / n
-    return both.join(off, "idx", "left").select("idx", "mu", F.sqrt(var).alias("sigma"))
 
+    def reduce(batches):
+        for batch in batches:
+            rf = _frequencies(batch.column(0), vocab)
+            if len(rf):
+                mean = rf.mean(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([len(rf)]), _lists(mean[None]), _lists(((rf - mean) ** 2).sum(axis=0)[None])], ["n", "m", "q"])
+
+    parts = written(docs.select(T.words("text", lower).alias("w")).mapInArrow(reduce, "n long, m array<double>, q array<double>").select("n", F.posexplode(F.arrays_zip("m", "q")).alias("idx", "x")).select("n", "idx", "x.m", "x.q"), "parts")
+    mean = parts.groupBy("idx").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
+    off = F.col("m") - F.col("mu")
+    both = parts.join(F.broadcast(mean), "idx").groupBy("idx", "mu", "all").agg(F.sum(F.col("q") + F.col("n") * off * off).alias("q"))  # a row a word
+    found = both.select("idx", "mu", F.sqrt(F.col("q") / F.col("all")).alias("sigma"))
+    every = docs.sparkSession.range(len(vocab)).select(F.col("id").cast("int").alias("idx"))
+    return every.join(found, "idx", "left").na.fill(0.0, ["mu", "sigma"])
+
+
+def _tally(batches, expand):
+    """Per text its different terms in order, with their counts."""
+    seen: dict = {}
+    for batch in batches:
+        out = []
+        for terms in batch.column(1).to_pylist():
+            if expand is not None:
+                counts: Counter = Counter()
+                for w, n in Counter(terms).items():
+                    if w not in seen:
+                        if len(seen) > CACHE_WORDS:
+                            seen.clear()
+                        seen[w] = expand(w)
+                    for g in seen[w]:
+                        counts[g] += n
+            else:
+                counts = Counter(terms)
+            out.append(sorted(counts.items()))
+        ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+        flat = [x for items in out for x in items]
+        terms, counts = zip(*flat) if flat else ((), ())
+        lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (pa.array(terms, pa.string()), pa.array(counts, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "terms", "tf"])
+
+
+def term_lists(docs: DataFrame, terms, expand=None) -> DataFrame:
+    """(id, terms, tf): each text's different terms and counts as two arrays, in one narrow stage.
+
+    terms: an array column; expand(term), if given, gives the grams of each term and is remembered by the worker.
+    """
+    return docs.select("id", terms.alias("t")).mapInArrow(lambda it: _tally(it, expand), "id string, terms array<string>, tf array<long>")
+
+
+def padded_grams(low: int, high: int):
+    """Grams of one word as functions.text.char_grams defines them."""
+
+    def grams(word: str) -> list[str]:
+        p = f" {word} "
+        return [p[i : i + n] for n in range(low, high + 1) if n == low or len(p) >= n for i in range(max(len(p) - n + 1, 1))]
 
-def gram_tf(docs: DataFrame, grams) -> DataFrame:
-    """(id, gram, tf) of the given array of grams."""
-    return docs.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    return grams
 
 
-def gram_idf(tf: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    """(gram, df, idf) of grams in at least min_df texts: ln((1 + n) / (1 + df)) + 1; the most frequent ones only, if limited."""
+def idf_of(lists: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """(gram, df, idf) of terms in at least min_df texts: ln((1 + n) / (1 + df)) + 1; the most frequent ones only, if limited."""
+    tf = lists.select(F.explode(F.arrays_zip("terms", "tf")).alias("x")).select(F.col("x.terms").alias("gram"), "x.tf")
     df = tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= min_df)
     if max_features is not None:
         df = df.orderBy(F.desc("n"), "gram").limit(max_features)
     return df.select("gram", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, gram, w): (1 + ln tf) * idf, each text at length 1."""
-    raw = tf.join(idf, "gram").select("id", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.withColumn("l", length).select("id", "gram", (F.col("w") / F.col("l")).alias("w"))
+def _weigh(batches, shared):
+    terms, idf = shared.value
+    for batch in batches:
+        lists, tf = batch.column(1), batch.column(2)
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        hit = at >= 0
+        w, row = (1 + np.log(tf.flatten().to_numpy()[hit])) * idf[at[hit]], row[hit]
+        length = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32))
+        kept = lists.flatten().filter(pa.array(hit))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, kept), pa.ListArray.from_arrays(ends, pa.array(w / length[row]))], ["id", "terms", "w"])
+
+
+def tfidf(lists: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, terms, w): (1 + ln tf) * idf of the known terms as two arrays, each text at length 1.
+
+    A table of at most MOST_TERMS terms goes to the tasks, and nothing is shuffled; a larger one is joined.
+    """
+    if idf.count() <= MOST_TERMS:
+        known = idf.select("gram", "idf").toArrow()  # at most MOST_TERMS rows
+        shared = idf.sparkSession.sparkContext.broadcast((known.column("gram").combine_chunks(), known.column("idf").to_numpy()))
+        return lists.mapInArrow(lambda it: _weigh(it, shared), "id string, terms array<string>, w array<double>")
+    raw = lists.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).join(idf, F.col("x.terms") == F.col("gram"))
+    x = raw.select("id", F.struct("gram", ((1 + F.log("x.tf")) * F.col("idf")).alias("w")).alias("x")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # the terms of one text
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y["w"] * y["w"]))
+    both = lists.select("id").join(x.withColumn("l", length), "id", "left")
+    none = F.array()
+    return both.select("id", F.coalesce(F.transform("x", lambda y: y["gram"]), none.cast("array<string>")).alias("terms"), F.coalesce(F.transform("x", lambda y: y["w"] / F.col("l")), none.cast("array<double>")).alias("w"))
 
 
 class FeatureExtractor:
@@ -113,21 +207,20 @@ class MostFrequentWords(FeatureExtractor):
 
     def fit(self, docs, reference=None):
         self.vocab = written(most_frequent(docs, self.n, self.order, self.lowercase), "vocabulary")
-        self.size = self.vocab.count()
-        self.stats = written(column_stats(word_counts(docs if reference is None else reference, self.vocab, self.lowercase), self.vocab), "stats")
+        self.terms = [r.term for r in self.vocab.orderBy("idx").collect()]  # at most MOST_WORDS rows
+        self.size = len(self.terms)
+        self.stats = written(column_stats(docs if reference is None else reference, self.terms, self.lowercase), "stats")
         return self
 
     def transform(self, docs):
         self._fitted()
-        return dense(word_counts(docs, self.vocab, self.lowercase), self.size)
+        return vectors(docs, self.terms, self.lowercase)
 
-    def standardized(self, docs: DataFrame) -> DataFrame:
-        """(id, vec) in deviations from the reference means; only centred where the deviation is 0."""
+    def standardized(self, docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """(id, keep..., vec) in deviations from the reference means; only centred where the deviation is 0."""
         self._fitted()
         stats = self.stats.orderBy("idx").collect()  # at most MOST_WORDS rows
-        mu = F.array(*(F.lit(r.mu) for r in stats)).cast("array<double>")
-        sigma = F.array(*(F.lit(r.sigma if r.sigma > 1e-12 else 1.0) for r in stats)).cast("array<double>")
-        return self.transform(docs).select("id", F.zip_with(F.zip_with("vec", mu, lambda x, m: x - m), sigma, lambda x, s: x / s).alias("vec"))
+        return vectors(docs, self.terms, self.lowercase, [r.mu for r in stats], [r.sigma for r in stats], keep)
 
     def names(self):
         self._fitted()
@@ -148,17 +241,17 @@ class CharNGrams(FeatureExtractor):
     def __init__(self, ngram_range: tuple[int, int] = (3, 4), min_df: int = 2, max_features: int | None = None):
         self.range, self.min_df, self.max_features, self.idf = ngram_range, min_df, max_features, None
 
-    def _tf(self, docs):
-        return gram_tf(docs, T.char_grams("text", *self.range))
+    def lists(self, docs):
+        return term_lists(docs, T.pieces("text"), padded_grams(*self.range))
 
     def fit(self, docs, reference=None):
-        self.idf = written(gram_idf(self._tf(docs), docs.count(), self.min_df, self.max_features), "idf")
+        self.idf = written(idf_of(self.lists(docs), docs.count(), self.min_df, self.max_features), "idf")
         return self
 
     def transform(self, docs):
         if self.idf is None:
             raise RuntimeError("fit comes before transform")
-        return tfidf(self._tf(docs), self.idf)
+        return tfidf(self.lists(docs), self.idf)
 
     def names(self):
         return self.idf.select("gram").orderBy("gram")

@@ -53,7 +53,7 @@ def latest(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:
 def usable_recreations(recreations: DataFrame) -> DataFrame:
     """(target_article_id, model_alias, body): the last answer (by rec_id) for an essay and model that isn't blank."""
     named = recreations.select("rec_id", F.coalesce("source_article_id", "article_id").alias("target_article_id"), T.name_key("model_alias").alias("model_alias"), "body")
-    kept = named.where((T.normalize("body") != "") & F.col("target_article_id").isNotNull() & F.col("model_alias").isNotNull())
+    kept = named.where(F.col("body").rlike(T.INK) & F.col("target_article_id").isNotNull() & F.col("model_alias").isNotNull())
     return latest(kept, ["target_article_id", "model_alias"], ["rec_id"])
 
 
@@ -102,7 +102,7 @@ def score_folds(essays: DataFrame, reference: DataFrame, recreations: DataFrame,
     gen = written(chunk(answers), "generated")
     ref = reference.select(F.col("article_id").alias("id"), "text")
     space = features.MostFrequentWords(n_words).fit(own, ref)
-    unit = lambda docs: space.standardized(docs).select("id", V.unit(F.col("vec")).alias("vec")).join(docs.select("id", "doc"), "id")
+    unit = lambda docs: space.standardized(docs, keep=["doc"]).select("id", "doc", V.unit(F.col("vec")).alias("vec"))
     nat = written(vector_sums(unit(own), "doc", space.size), "sums").select(F.col("key").alias("target_article_id"), F.col("n").alias("tn"), F.col("s").alias("ts"))
     g = vector_sums(unit(gen), "doc", space.size).select(F.col("key").alias("gen_id"), F.col("n").alias("gn"), F.col("s").alias("gs"))
     total = vector_sums(nat.join(author, "target_article_id").select("author", F.col("ts").alias("vec")), "author", space.size).select(F.col("key").alias("author"), F.col("s").alias("us"))

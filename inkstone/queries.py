@@ -130,8 +130,8 @@ def mfw_head(spark, d):
 
 def mfw_frequencies(spark, d):
     docs = written(_docs(spark, d), "docs")
-    vocab = features.most_frequent(docs, WORDS, ["doc", "chunk_index"])
-    return features.relative(features.word_counts(docs, vocab)).select("id", "idx", F.round("rf", 9).alias("rf"))
+    vocab = [r.term for r in features.most_frequent(docs, WORDS, ["doc", "chunk_index"]).orderBy("idx").collect()]  # WORDS rows
+    return features.frequencies(docs, vocab).select("id", "idx", F.round("rf", 9).alias("rf"))
 
 
 def mfw_reference_stats(spark, d):
@@ -141,8 +141,7 @@ def mfw_reference_stats(spark, d):
 
 def _standard(spark, d):
     docs = written(_docs(spark, d), "docs")
-    z = _space(spark, d, docs).standardized(docs)
-    return written(z.join(docs.select("id", "doc", "author"), "id"), "standard")
+    return written(_space(spark, d, docs).standardized(docs, ["doc", "author"]), "standard")
 
 
 def mfw_zscores(spark, d):
@@ -150,7 +149,7 @@ def mfw_zscores(spark, d):
 
 
 def _essay_texts(spark, d):
-    return corpus.test_slice(spark, d).select(F.col("article_id").alias("id"), F.col("article_id").alias("doc"), "author", "text")
+    return written(corpus.test_slice(spark, d).select(F.col("article_id").alias("id"), F.col("article_id").alias("doc"), "author", "text"), "essays")
 
 
 def _char_weights(spark, d):
@@ -158,19 +157,23 @@ def _char_weights(spark, d):
     return features.CharNGrams().fit(docs).transform(docs)
 
 
+def _idf(lists, docs, **limits):
+    return features.idf_of(lists, docs.count(), **limits)
+
+
 def char_gram_idf(spark, d):
     docs = _essay_texts(spark, d)
-    return features.gram_idf(features.gram_tf(docs, T.char_grams("text")), docs.count()).select("gram", "df", F.round("idf", 9).alias("idf"))
+    return _idf(features.CharNGrams().lists(docs), docs).select("gram", "df", F.round("idf", 9).alias("idf"))
 
 
 def char_gram_weights(spark, d):
-    return _char_weights(spark, d).select("id", "gram", F.round("w", 9).alias("w"))
+    return _char_weights(spark, d).select("id", F.explode(F.arrays_zip("terms", "w")).alias("x")).select("id", F.col("x.terms").alias("gram"), F.round("x.w", 9).alias("w"))
 
 
 def char_gram_top(spark, d):
     """The 500 most frequent grams as vocabulary."""
     docs = _essay_texts(spark, d)
-    return features.gram_idf(features.gram_tf(docs, T.char_grams("text")), docs.count(), max_features=500).select("gram", "df")
+    return _idf(features.CharNGrams().lists(docs), docs, max_features=500).select("gram", "df")
 
 
 def content_words(spark, d):
@@ -180,7 +183,7 @@ def content_words(spark, d):
 
 def leakage_idf(spark, d):
     docs = _essay_texts(spark, d)
-    return features.gram_idf(features.gram_tf(docs, T.long_words("text")), docs.count()).select(F.col("gram").alias("word"), "df", F.round("idf", 9).alias("idf"))
+    return _idf(features.term_lists(docs, T.long_words("text")), docs).select(F.col("gram").alias("word"), "df", F.round("idf", 9).alias("idf"))
 
 
 def leakage_folds(spark, d):
@@ -213,9 +216,7 @@ def burrows_delta_nearest(spark, d):
 
 
 def _sparse(spark, d):
-    w = written(_char_weights(spark, d), "weights").withColumn("idx", F.xxhash64("gram"))
-    rows = w.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("x"))  # the grams of one text
-    rows = rows.select("id", F.transform("x", lambda x: x["idx"]).alias("idx"), F.transform("x", lambda x: x["w"]).alias("val"))
+    rows = _char_weights(spark, d).select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("idx"), F.col("w").alias("val"))
     return written(rows.join(_essay_texts(spark, d).select("id", "doc", "author"), "id"), "sparse")
 
 
