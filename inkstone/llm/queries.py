@@ -149,5 +149,25 @@ def p10_languages(spark, d):
     return lang_labels.languages(_t(spark, d, "documents"), _t(spark, d, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p4_found, p4_defects, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_shares, p9_drawn, p10_found, p10_languages)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p4_found, p4_defects, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_drawn, p9_shares, p10_found, p10_languages)}
+_NAME = "nullif(nullif(lower(trim(regexp_replace(author, '[\\t-\\r \\x{85}\\x{a0}]+', ' ', 'g'), ' ')), ''), 'unknown')"
+
+SQL: dict[str, str] = {
+    "p1_found": """WITH r AS (
+  SELECT 'essays' AS rec_table, article_id AS rec_key, min(text) AS text FROM essays WHERE article_id IS NOT NULL GROUP BY article_id
+  UNION ALL SELECT 'recreation', CAST(rec_id AS VARCHAR), min(body) FROM recreation WHERE rec_id IS NOT NULL GROUP BY rec_id),
+w AS (SELECT rec_table, rec_key, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM r WHERE text IS NOT NULL),
+s AS (SELECT rec_table, rec_key, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50),
+h AS (SELECT rec_table, rec_key, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM s),
+k AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT rec_table || ' ' || rec_key) > 1),
+f AS (SELECT *, lag(i) OVER (PARTITION BY rec_table, rec_key ORDER BY i) AS p FROM h SEMI JOIN k USING (h)),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_table, rec_key ORDER BY i) AS run FROM f)
+SELECT rec_table, rec_key, min(i) AS first_word, max(i) + 50 - min(i) AS n_words FROM g GROUP BY rec_table, rec_key, run""",
+    "p2_found": f"""WITH RECURSIVE a AS (SELECT DISTINCT source_doc_id AS s, {_NAME} AS n FROM chunk WHERE trim(source_doc_id, ' ') <> ''),
+e AS (SELECT DISTINCT x.n AS a, y.n AS b FROM a x JOIN a y ON x.s = y.s AND x.n <> y.n),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT a AS author_a, b AS author_b FROM c WHERE a < b""",
+    "p3_found": """SELECT DISTINCT 'essays' AS item_table, article_id AS item_id FROM essays
+WHERE article_id IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) > 1200
+UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunk WHERE chunk_id IS NOT NULL AND len(tokens) > 400""",
+}
