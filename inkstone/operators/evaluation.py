@@ -122,7 +122,8 @@ def author_matrix(rows: DataFrame, exclude_same_doc: bool = True) -> DataFrame:
         out = pd.DataFrame({"author_i": x, "author_j": y, "n_pairs": np.where(x == y, n[i, j] // 2, n[i, j]), "mean_distance": mean[i, j]})
         return out if same else pd.concat([out, out.rename(columns={"author_i": "author_j", "author_j": "author_i"})])
 
-    return D.cells(sums, value, "author_i string, author_j string, n_pairs long, mean_distance double")
+    got = D.cells(sums, value, "author_i string, author_j string, n_pairs long, mean_distance double")
+    return got.withColumn("mean_distance", F.coalesce("mean_distance", F.lit(float("nan"))))  # pandas hands NaN over as null
 
 
 def similarity(matrix: DataFrame, normalize: bool = True) -> DataFrame:
