@@ -68,19 +68,18 @@ def plan(sized: DataFrame, weights: DataFrame, total_tokens: int | None = None)
     """(budgets by source, counts by source and length) of a mix.
 
     sized: doc key, source, n_tokens. weights: source, target_share, max_repeats; rows without a source, share or
-    repeats and repeated sources (but the first by share) are left out. total_tokens is the size of the mix; by default
-    the largest at which every source that has tokens reaches its share within its repeats. A source that can't reach
-    its share of a given total is used max_repeats times, and its shortfall is reported.
+    repeats and repeated sources (but the first by share) are left out. total_tokens is the size that the shares are of;
+    by default all tokens of sized. A source that can't reach its share is used max_repeats times, and its shortfall is
+    reported, but not made up by others, as these would then exceed their shares.
     """
     weights = weights.where("source is not null and target_share is not null and max_repeats is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     counts = sized.where("n_tokens > 0 and source is not null").groupBy("source", "n_tokens").agg(F.count("*").alias("docs"))
     sizes = counts.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("available"))
     both = weights.join(sizes, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     most = F.col("available") * F.col("max_repeats")
-    everywhere = Window.partitionBy()  # a row a source
-    largest = F.coalesce(F.floor(F.min(F.when((F.col("available") > 0) & (F.col("target_share") > 0), most / F.col("target_share"))).over(everywhere)), F.lit(0))
-    total = largest if total_tokens is None else F.lit(total_tokens)
-    budgets = both.withColumn("total_tokens", total.cast("long")).withColumn("budget", F.least(F.floor(F.col("total_tokens") * F.col("target_share")), most).cast("long"))
+    if total_tokens is None:
+        total_tokens = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    budgets = both.withColumn("total_tokens", F.lit(total_tokens).cast("long")).withColumn("budget", F.least(F.floor(F.col("total_tokens") * F.col("target_share")), most).cast("long"))
     budgets = budgets.select("source", "target_share", "max_repeats", "available", "total_tokens", "budget")
     chosen = counts.join(budgets.select("source", "budget"), "source").groupBy("source").applyInPandas(_fit_source, "source string, n_tokens long, passes long, extra long")  # a row for each length of a source
     return budgets, chosen
@@ -95,8 +94,13 @@ def draw(sized: DataFrame, chosen: DataFrame, seed: int = 17, key: str = "doc_id
 
 
 def shares(budgets: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Each source with its target and the documents, tokens and share that it reached; a source without documents reaches 0."""
+    """Each source with what it reached: its share of total_tokens, of the drawn tokens, and the tokens that it is short of.
+
+    A source without documents reaches 0.
+    """
     got = drawn.groupBy("source").agg(F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
-    all_tokens = F.sum("tokens").over(Window.partitionBy())
-    rows = budgets.join(got, "source", "left").na.fill(0, ["documents", "most_repeats", "tokens"])  # a row a source
-    return rows.select("source", "target_share", "max_repeats", "available", "budget", "documents", "most_repeats", "tokens", F.when(all_tokens > 0, F.col("tokens") / all_tokens).otherwise(0.0).alias("share"), (F.greatest(F.floor(F.col("total_tokens") * F.col("target_share")) - F.col("tokens"), F.lit(0))).cast("long").alias("short_tokens"))
+    everywhere = F.sum("tokens").over(Window.partitionBy())  # a row a source
+    rows = budgets.join(got, "source", "left").na.fill(0, ["documents", "most_repeats", "tokens"])
+    part = lambda whole: F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)
+    short = F.greatest(F.floor(F.col("total_tokens") * F.col("target_share")) - F.col("tokens"), F.lit(0)).cast("long")
+    return rows.select("source", "target_share", "max_repeats", "available", "documents", "most_repeats", "tokens", part(F.col("total_tokens")).alias("share"), part(everywhere).alias("share_of_drawn"), short.alias("short_tokens"))
