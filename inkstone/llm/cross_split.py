@@ -6,7 +6,9 @@ the containment of five-word shingles is computed on the whole texts, and pairs
 words leaves of them are settled by their word edit distance.
 
 The n-grams are of 8 words, two chained five-word shingles: a tenth of changed words leaves a run of 8 words in any
-text of 40 words. Shorter texts use single five-word shingles, texts under ten words their hash, as they bear no change.
+text of 40 words. From 160 words on, one of a text's stretches of 40 words has at most 4 of the changes, so that the
+words around a hit rule out most others; below, every hit is followed. Texts under 45 words use single five-word
+shingles, texts under ten words their hash, as they bear no change.
 Texts that are equal byte for byte are one class; classes are compared and then named by their records.
 """
 
@@ -26,6 +28,8 @@ from inkstone.plans.lineage import written
 SHINGLE = 5
 CHANGED = 0.1
 SHORT = 45
+#: Words from which the surroundings of a hit decide; 160, and a tenth more for the longer text of a pair.
+LONG = 180
 TINY = 10
 
 
@@ -72,7 +76,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, key: str = "article_id"
     named = lambda df: df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     q, c = named(evaluation), named(training)
     similar = f"abs(q_n - c_n) <= {CHANGED} * greatest(q_n, c_n)"
-    long_pairs = passages.candidates(q, c).where(similar).select("q", "c")
+    long_pairs = passages.candidates(q, c, f"greatest(q_n, c_n) < {LONG}").where(similar).select("q", "c")
     few = F.length("text") < 40 * SHORT  # bounds Python's work; words of 40 characters on average don't occur
     short = lambda df, i: df.where(few).select("id", "text").mapInArrow(_short_rows, "g long, id long, n int").repartition("g").dropDuplicates(["g", "id"]).select("g", F.col("id").alias(i), F.col("n").alias(f"{i}_n"))
     short_pairs = short(q, "q").join(short(c, "c"), "g").where(similar).select("q", "c")

@@ -122,9 +122,11 @@ def seeds(docs: DataFrame, tables=None) -> DataFrame:
     return docs.select("id", "text").where("text is not null").mapInArrow(lambda it: _seed_rows(it, tables), SEED)
 
 
-def candidates(queries: DataFrame, stored: DataFrame) -> DataFrame:
+def candidates(queries: DataFrame, stored: DataFrame, anyway: str = "false") -> DataFrame:
     """Places (q, c, q_pos, c_pos, q_n, c_n) at which a stored text may hold 40 words of a query text.
 
+    anyway: a condition on q_n and c_n under which a common run of PATTERN words is enough, whatever stands around it.
+
     queries, stored: id and text, where equal texts have equal ids; copies then count once.
     """
     tables = queries.sparkSession.sparkContext.broadcast(Tables(queries))
@@ -132,4 +134,4 @@ def candidates(queries: DataFrame, stored: DataFrame) -> DataFrame:
     a = seeds(queries).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"q_{x}") for x in ("id", "pos", "n", "before", "after")))
     b = seeds(stored, tables).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"c_{x}") for x in ("id", "pos", "n", "before", "after")))
     near = " or ".join(f"(bit_count(q_{s} & ~c_{s}) <= {LOST_BITS} and bit_count(c_{s} & ~q_{s}) <= {LOST_BITS} and bit_count(q_{s}) > {LOST_BITS})" for s in ("before", "after"))
-    return a.join(b, "g").where(near).select(F.col("q_id").alias("q"), F.col("c_id").alias("c"), "q_pos", "c_pos", "q_n", "c_n")
+    return a.join(b, "g").where(f"{near} or {anyway}").select(F.col("q_id").alias("q"), F.col("c_id").alias("c"), "q_pos", "c_pos", "q_n", "c_n")
