@@ -76,7 +76,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, key: str = "article_id"
     named = lambda df: df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     q, c = named(evaluation), named(training)
     similar = f"abs(q_n - c_n) <= {CHANGED} * greatest(q_n, c_n)"
-    long_pairs = passages.candidates(q, c, f"greatest(q_n, c_n) < {LONG}").where(similar).select("q", "c")
+    long_pairs = passages.candidates(q, c, LONG).where(similar).select("q", "c")
     few = F.length("text") < 40 * SHORT  # bounds Python's work; words of 40 characters on average don't occur
     short = lambda df, i: df.where(few).select("id", "text").mapInArrow(_short_rows, "g long, id long, n int").repartition("g").dropDuplicates(["g", "id"]).select("g", F.col("id").alias(i), F.col("n").alias(f"{i}_n"))
     short_pairs = short(q, "q").join(short(c, "c"), "g").where(similar).select("q", "c")

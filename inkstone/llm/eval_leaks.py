@@ -42,7 +42,7 @@ def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", cor
     Rows with a null key or text hold and leak nothing; repeated rows count once; empty tables give no row.
     """
     q, c = _texts(tests, test_key, text), _texts(corpus, corpus_key, text)
-    places = passages.candidates(q, c).groupBy("q", "c").agg(F.collect_list(F.struct("q_pos", "c_pos")).alias("places"))  # at most one text's places
+    places = passages.candidates(q, c).groupBy("q", "c").agg(F.collect_set(F.struct("q_pos", "c_pos")).alias("places"))  # at most one text's places
     places = written(places, "p6-places")
     one = lambda df, i: df.groupBy("id").agg(F.first("text").alias(f"{i}_text")).withColumnRenamed("id", i)
     wanted = lambda df, i: df.join(places.select(F.col(i).alias("id")).distinct(), "id", "left_semi")

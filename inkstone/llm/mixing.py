@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The last part of a budget, in longest documents, that the knapsack program fits; bounds its table, not its input.
 TAIL = 4
+#: Slices in which documents of one source and length are ordered.
+SLICES = 256
 
 
 def _knapsack(lengths: list[tuple[int, int]], want: int) -> dict[int, int]:
@@ -86,11 +88,19 @@ def plan(sized: DataFrame, weights: DataFrame, total_tokens: int | None = None)
 
 
 def draw(sized: DataFrame, chosen: DataFrame, seed: int = 17, key: str = "doc_id") -> DataFrame:
-    """(key, source, n_tokens, repeats): each drawn document and how often it is used, at most max_repeats times."""
-    order = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    ranked = sized.where("n_tokens > 0 and source is not null").join(chosen, ["source", "n_tokens"]).withColumn("r", F.row_number().over(order))
-    drawn = ranked.withColumn("repeats", (F.col("passes") + (F.col("r") <= F.col("extra")).cast("int")).cast("int"))
-    return drawn.where("repeats > 0").select(key, "source", "n_tokens", "repeats")
+    """(key, source, n_tokens, repeats): each drawn document and how often it is used, at most max_repeats times.
+
+    Documents of a source and length stand in the order of a seeded hash. It is taken in SLICES slices that are counted
+    first, so that one crowded length, such as that of many copies, is ordered by many tasks.
+    """
+    group = ["source", "n_tokens"]
+    hashed = sized.where("n_tokens > 0 and source is not null").select(key, *group).withColumn("h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("slice", F.pmod(F.shiftright("h", 32), F.lit(SLICES)))
+    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a length
+    slices = hashed.groupBy(*group, "slice").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(chosen, group)
+    order = Window.partitionBy(*group, "slice").orderBy("h", key)
+    ranked = hashed.withColumn("r", F.row_number().over(order)).join(slices, [*group, "slice"])
+    drawn = ranked.withColumn("repeats", (F.col("passes") + (F.col("ahead") + F.col("r") <= F.col("extra")).cast("int")).cast("int"))
+    return drawn.where("repeats > 0").select(key, *group, "repeats")
 
 
 def shares(budgets: DataFrame, drawn: DataFrame) -> DataFrame:

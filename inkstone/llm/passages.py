@@ -2,12 +2,17 @@
 
 A passage of 40 words with at most 4 changed words keeps a run of 8 words (36 kept words in 5 runs). These runs are the
 patterns of a Wu-Manber search: a table of block shifts rules out positions, an occupancy table of pattern hashes
-rules out more, and what is left is matched to the patterns by their hash. Both tables have a fixed size whatever the
+rules out more, and what is left is matched to the patterns by their hash. The tables have a fixed size whatever the
 data, so they may be broadcast; when they fill up, they only rule out less.
 
 Around every place stand two 64-bit sets of the 16 words before and after it. A passage reaches 16 words beyond its
 kept run on at least one side, and 4 changes take at most 4 bits from either set, so other places are dropped inside
 the join, before any row is made of them.
+
+A run that very many query texts have (boilerplate) would pair all of them with all stored texts that have it. A third
+table of fixed size counts the runs; those of crowded entries are not matched by themselves, but together with each
+triple of words in the 20 words before or after: of the 16 words of a passage on one side, at most 4 are changed, so 3
+in a row are kept. Both sides do the same, so no passage is lost, and copies of the run in other surroundings part.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ SHIFT_BLOCK = 3
 #: Entries of the shift table (a byte each) and bits of the occupancy table: 1 MB and 8 MB.
 SHIFT_SLOTS = 1 << 20
 HASH_BITS = 1 << 26
+#: Entries of the table that counts runs; an entry is crowded from CROWD runs more than CROWD_TIMES the mean.
+COUNT_SLOTS = 1 << 20
+CROWD, CROWD_TIMES = 256, 8
+TRIPLE, REACH = 3, CONTEXT + LOST_BITS
 
 _CACHE = W.PlainHashes()
 SEED = "g long, id long, pos int, n int, before long, after long"
@@ -36,16 +45,23 @@ def _slots(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _table_rows(batches):
-    """(kind, slot, bits): kind 0 the occupancy of pattern hashes by 64-bit words, kind 1 the shifts of blocks as bits."""
+    """(kind, slot, bits, n): kind 0 the occupancy of pattern hashes by 64-bit words, 1 the shifts of blocks as bits, 2 the counts of patterns."""
     for batch in batches:
         for _, ends, hashes in W.blocks(batch.column(1), True, _CACHE):
             room = W.room(ends, len(hashes))
-            for kind, slot, bit in (_occupied(hashes, room), _shifts(hashes, room, W.rows_of(ends)[1])):
+            for kind, slot, bit in (_occupied(hashes, room), _shifts(hashes, room, W.rows_of(ends)[1]), _counted(hashes, room)):
                 if len(slot):
                     order = np.argsort(slot, kind="stable")
                     slot, bit = slot[order], bit[order]
                     new = np.flatnonzero(np.diff(slot, prepend=-1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int8)), pa.array(slot[new].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit, new).view(np.int64))], ["kind", "slot", "bits"])
+                    bits = np.bitwise_or.reduceat(bit, new).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), kind, np.int8)), pa.array(slot[new].astype(np.int32)), pa.array(bits), pa.array(np.diff(np.append(new, len(slot))))], ["kind", "slot", "bits", "n"])
+
+
+def _counted(hashes, room):
+    gram = W.grams(hashes, PATTERN)
+    slot = _slots(gram[room[: len(gram)] >= PATTERN], COUNT_SLOTS)
+    return 2, slot, np.zeros(len(slot), np.uint64)
 
 
 def _occupied(hashes, room):
@@ -63,11 +79,15 @@ def _shifts(hashes, room, pos):
 
 
 class Tables:
-    """The two fixed-size tables of a set of query texts."""
+    """The three fixed-size tables of a set of query texts."""
 
     def __init__(self, queries: DataFrame):
-        rows = queries.select("id", "text").where("text is not null").mapInArrow(_table_rows, "kind byte, slot int, bits long").groupBy("kind", "slot").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-        kind, slot, bits = (rows.column(c).to_numpy() for c in ("kind", "slot", "bits"))
+        rows = queries.select("id", "text").where("text is not null").mapInArrow(_table_rows, "kind byte, slot int, bits long, n long").groupBy("kind", "slot").agg(F.expr("bit_or(bits)").alias("bits"), F.sum("n").alias("n"))
+        rows = rows.where(f"kind < 2 or n > {CROWD}").toArrow()  # at most HASH_BITS / 64 + SHIFT_SLOTS + COUNT_SLOTS rows
+        kind, slot, bits, n = (rows.column(c).to_numpy() for c in ("kind", "slot", "bits", "n"))
+        counts = np.zeros(COUNT_SLOTS, np.int64)
+        counts[slot[kind == 2]] = n[kind == 2]
+        self.crowded = counts > CROWD + CROWD_TIMES * counts.mean()
         self.held = np.zeros(HASH_BITS >> 6, np.uint64)
         self.held[slot[kind == 0]] = bits[kind == 0].view(np.uint64)
         self.shift = np.full(SHIFT_SLOTS, PATTERN - SHIFT_BLOCK + 1, np.uint8)
@@ -97,15 +117,19 @@ def _neighbourhood(hashes, row):
     return before, after
 
 
-def _seed_rows(batches, tables):
-    held = tables and tables.value
+def _batch(g, ids, pos, n, before, after):
+    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(before.view(np.int64)), pa.array(after.view(np.int64))], ["g", "id", "pos", "n", "before", "after"])
+
+
+def _seed_rows(batches, tables, select: bool, plain: int):
+    held = tables.value
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, ends, hashes in W.blocks(batch.column(1), True, _CACHE):
             gram = W.grams(hashes, PATTERN)
             ok = W.room(ends, len(hashes))[: len(gram)] >= PATTERN
-            if held:
-                ok &= held.may_match(hashes, gram) if len(gram) else ok
+            if select and len(gram):
+                ok &= held.may_match(hashes, gram)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -114,24 +138,41 @@ def _seed_rows(batches, tables):
             beyond = np.minimum(at + PATTERN, len(hashes) - 1)
             right = np.where((at + PATTERN < len(hashes)) & (row[beyond] == row[at]), after[beyond], np.uint64(0))
             n = np.diff(ends, prepend=0)[row[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(ids[row[at] + first]), pa.array(pos[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(before[at].view(np.int64)), pa.array(right.view(np.int64))], ["g", "id", "pos", "n", "before", "after"])
-
-
-def seeds(docs: DataFrame, tables=None) -> DataFrame:
-    """Rows SEED of all runs of PATTERN words of docs (id, text), or of those that the broadcast tables let through."""
-    return docs.select("id", "text").where("text is not null").mapInArrow(lambda it: _seed_rows(it, tables), SEED)
+            crowded = held.crowded[_slots(gram[at], COUNT_SLOTS)]
+            rows = lambda k, g: _batch(g, ids[row[at[k]] + first], pos[at[k]], n[k], before[at[k]], right[k])
+            if len(alone := np.flatnonzero(~crowded | (n < plain))):
+                yield rows(alone, gram[at[alone]])
+            far = np.flatnonzero(crowded & (n >= plain * 8 // 9))
+            if len(far):
+                triple = W.grams(hashes, TRIPLE)
+                for side, starts in ((1, range(PATTERN, PATTERN + REACH - TRIPLE + 1)), (2, range(-REACH, -TRIPLE + 1))):
+                    for d in starts:
+                        b = at[far] + d
+                        inside = (b >= 0) & (b + TRIPLE <= len(hashes))
+                        k, b = far[inside], b[inside]
+                        same = (row[b] == row[at[k]]) & (row[b + TRIPLE - 1] == row[at[k]])
+                        k, b = k[same], b[same]
+                        if len(k):
+                            yield rows(k, W.mix(gram[at[k]] + np.uint64(side) * triple[b]))
+
+
+def seeds(docs: DataFrame, tables, select: bool, plain: int = 0) -> DataFrame:
+    """Rows SEED of all runs of PATTERN words of docs (id, text), or, on select, of those that the broadcast tables let through.
+
+    plain: texts of fewer words give crowded runs by themselves too; those of fewer than 8/9 of it only so.
+    """
+    return docs.select("id", "text").where("text is not null").mapInArrow(lambda it: _seed_rows(it, tables, select, plain), SEED)
 
 
-def candidates(queries: DataFrame, stored: DataFrame, anyway: str = "false") -> DataFrame:
+def candidates(queries: DataFrame, stored: DataFrame, plain: int = 0) -> DataFrame:
     """Places (q, c, q_pos, c_pos, q_n, c_n) at which a stored text may hold 40 words of a query text.
 
-    anyway: a condition on q_n and c_n under which a common run of PATTERN words is enough, whatever stands around it.
-
-    queries, stored: id and text, where equal texts have equal ids; copies then count once.
+    queries, stored: id and text, where equal texts have equal ids; copies then count once. plain: for two texts of
+    fewer words a common run of PATTERN words is enough, whatever stands around it.
     """
     tables = queries.sparkSession.sparkContext.broadcast(Tables(queries))
     kept = ["g", "id", "pos"]
-    a = seeds(queries).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"q_{x}") for x in ("id", "pos", "n", "before", "after")))
-    b = seeds(stored, tables).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"c_{x}") for x in ("id", "pos", "n", "before", "after")))
+    a = seeds(queries, tables, False, plain).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"q_{x}") for x in ("id", "pos", "n", "before", "after")))
+    b = seeds(stored, tables, True, plain).repartition("g").dropDuplicates(kept).select("g", *(F.col(x).alias(f"c_{x}") for x in ("id", "pos", "n", "before", "after")))
     near = " or ".join(f"(bit_count(q_{s} & ~c_{s}) <= {LOST_BITS} and bit_count(c_{s} & ~q_{s}) <= {LOST_BITS} and bit_count(q_{s}) > {LOST_BITS})" for s in ("before", "after"))
-    return a.join(b, "g").where(f"{near} or {anyway}").select(F.col("q_id").alias("q"), F.col("c_id").alias("c"), "q_pos", "c_pos", "q_n", "c_n")
+    return a.join(b, "g").where(f"{near} or greatest(q_n, c_n) < {plain}").select(F.col("q_id").alias("q"), F.col("c_id").alias("c"), "q_pos", "c_pos", "q_n", "c_n")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkstone.llm import _align, _bpe, _kn, _words, cross_split, eval_leaks, group_splits, lang_labels, mixing, pairs, pieces, shared_spans, tokens
+from inkstone.llm import _align, _bpe, _kn, _words, cross_split, eval_leaks, group_splits, lang_labels, mixing, pairs, passages, pieces, shared_spans, tokens
 
 RNG = random.Random(5)
 VOCABULARY = ["".join(RNG.choices(string.ascii_lowercase, k=RNG.randint(2, 8))) for _ in range(400)]
@@ -367,6 +367,24 @@ def test_leaks_find_edited_passages_only(spark):
     assert eval_leaks.leaks(t.limit(0), c).count() == 0
 
 
+def test_crowded_runs_part_by_their_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CROWD", 5)
+    monkeypatch.setattr(passages, "CROWD_TIMES", 0)
+    rng = random.Random(13)
+    slogan = say(12, rng)
+    tests = {f"t{i}": say(50, rng) + slogan + say(50, rng) for i in range(30)}
+    corpus = {f"c{i}": say(30, rng) + slogan + say(30, rng) for i in range(30)}
+    want = set()
+    for i in range(10):  # the slogan is the only common run of 8 words, as a change follows each 7 others
+        w = tests[f"t{i}"][42:82] if i % 2 else tests[f"t{i}"][30:70]
+        at = [p for p in (5, 27, 33, 37) if i % 2] or [2, 7, 13, 37]
+        corpus[f"e{i}"] = say(20, rng) + [f"new{i}" if p in at and 0 < p < 39 else x for p, x in enumerate(w)] + say(20, rng)
+        want.add((f"e{i}", f"t{i}"))
+    df = lambda d: spark.createDataFrame([(k, " ".join(w)) for k, w in d.items()], "article_id string, text string")
+    assert passages.Tables(df(tests).withColumnRenamed("article_id", "id")).crowded.sum() == 5
+    assert rows(eval_leaks.leaks(df(tests), df(corpus)), "corpus_key", "test_key") == sorted(want)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
