@@ -77,8 +77,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, key: str = "article_id"
     q, c = named(evaluation), named(training)
     similar = f"abs(q_n - c_n) <= {CHANGED} * greatest(q_n, c_n)"
     long_pairs = passages.candidates(q, c, LONG).where(similar).select("q", "c")
-    few = F.length("text") < 40 * SHORT  # bounds Python's work; words of 40 characters on average don't occur
-    short = lambda df, i: df.where(few).select("id", "text").mapInArrow(_short_rows, "g long, id long, n int").repartition("g").dropDuplicates(["g", "id"]).select("g", F.col("id").alias(i), F.col("n").alias(f"{i}_n"))
+    short = lambda df, i: df.select("id", "text").mapInArrow(_short_rows, "g long, id long, n int").repartition("g").dropDuplicates(["g", "id"]).select("g", F.col("id").alias(i), F.col("n").alias(f"{i}_n"))
     short_pairs = short(q, "q").join(short(c, "c"), "g").where(similar).select("q", "c")
     pairs = written(long_pairs.union(short_pairs).distinct(), "p7-pairs")
     one = lambda df, i: df.join(pairs.select(F.col(i).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias(f"{i}_text")).withColumnRenamed("id", i)
