@@ -5,8 +5,8 @@ passages.py for the two fixed-size tables that rule out most of their n-grams).
 the containment of five-word shingles is computed on the whole texts, and pairs that reach what a tenth of changed
 words leaves of them are settled by their word edit distance.
 
-The n-grams are of 8 words, two chained five-word shingles: a tenth of changed words leaves a run of 8 words in any
-text of 40 words. From 160 words on, one of a text's stretches of 40 words has at most 4 of the changes, so that the
+The n-grams are of 7 words, chained five-word shingles, every other one (see passages.py): a tenth of changed words
+leaves a run of 8 words, and so a pattern, in any text of 40 words. From 160 words on, one of a text's stretches of 40 words has at most 4 of the changes, so that the
 words around a hit rule out most others; below, every hit is followed. Texts under 45 words use single five-word
 shingles, texts under ten words their hash, as they bear no change.
 Texts that are equal byte for byte are one class; classes are compared and then named by their records.

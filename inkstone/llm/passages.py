@@ -1,7 +1,7 @@
 """Common ground of problems 6 and 7: places where a stored text may hold a passage of a query text.
 
-A passage of 40 words with at most 4 changed words keeps a run of 8 words (36 kept words in 5 runs). These runs are the
-patterns of a Wu-Manber search: a table of block shifts rules out positions, an occupancy table of pattern hashes
+A passage of 40 words with at most 4 changed words keeps a run of 8 words (36 kept words in 5 runs). Of its two runs
+of 7 words the one of lesser hash is taken, in all texts alike. These are the patterns of a Wu-Manber search: a table of block shifts rules out positions, an occupancy table of pattern hashes
 rules out more, and what is left is matched to the patterns by their hash. The tables have a fixed size whatever the
 data, so they may be broadcast; when they fill up, they only rule out less.
 
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from inkstone.llm import _words as W
 
-PATTERN = 8
+#: Words of a pattern, and consecutive patterns of which the least is taken.
+PATTERN, LEAST_OF = 7, 2
 CONTEXT = 16
 LOST_BITS = 4
 SHIFT_BLOCK = 3
@@ -59,14 +60,20 @@ def _table_rows(batches):
 
 
 def _counted(hashes, room):
-    gram = W.grams(hashes, PATTERN)
-    slot = _slots(gram[room[: len(gram)] >= PATTERN], COUNT_SLOTS)
+    gram, at = _patterns(hashes, room)
+    slot = _slots(gram[at], COUNT_SLOTS)
     return 2, slot, np.zeros(len(slot), np.uint64)
 
 
-def _occupied(hashes, room):
+def _patterns(hashes, room):
+    """Hashes of the words from each position, and the positions of those taken as patterns."""
     gram = W.grams(hashes, PATTERN)
-    slot = _slots(gram[room[: len(gram)] >= PATTERN], HASH_BITS)
+    return gram, W.winnow(gram, room[: len(gram)] >= PATTERN, LEAST_OF)
+
+
+def _occupied(hashes, room):
+    gram, at = _patterns(hashes, room)
+    slot = _slots(gram[at], HASH_BITS)
     return 0, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64)
 
 
@@ -126,11 +133,9 @@ def _seed_rows(batches, tables, select: bool, plain: int):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, ends, hashes in W.blocks(batch.column(1), True, _CACHE):
-            gram = W.grams(hashes, PATTERN)
-            ok = W.room(ends, len(hashes))[: len(gram)] >= PATTERN
-            if select and len(gram):
-                ok &= held.may_match(hashes, gram)
-            at = np.flatnonzero(ok)
+            gram, at = _patterns(hashes, W.room(ends, len(hashes)))
+            if select and len(at):
+                at = at[held.may_match(hashes, gram)[at]]
             if not len(at):
                 continue
             row, pos = W.rows_of(ends)
@@ -157,7 +162,7 @@ def _seed_rows(batches, tables, select: bool, plain: int):
 
 
 def seeds(docs: DataFrame, tables, select: bool, plain: int = 0) -> DataFrame:
-    """Rows SEED of all runs of PATTERN words of docs (id, text), or, on select, of those that the broadcast tables let through.
+    """Rows SEED of all patterns of docs (id, text), or, on select, of those that the broadcast tables let through.
 
     plain: texts of fewer words give crowded runs by themselves too; those of fewer than 8/9 of it only so.
     """
@@ -168,7 +173,7 @@ def candidates(queries: DataFrame, stored: DataFrame, plain: int = 0) -> DataFra
     """Places (q, c, q_pos, c_pos, q_n, c_n) at which a stored text may hold 40 words of a query text.
 
     queries, stored: id and text, where equal texts have equal ids; copies then count once. plain: for two texts of
-    fewer words a common run of PATTERN words is enough, whatever stands around it.
+    fewer words a common pattern is enough, whatever stands around it.
     """
     tables = queries.sparkSession.sparkContext.broadcast(Tables(queries))
     kept = ["g", "id", "pos"]
