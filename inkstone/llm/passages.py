@@ -1,9 +1,10 @@
 """Common ground of problems 6 and 7: places where a stored text may hold a passage of a query text.
 
 A passage of 40 words with at most 4 changed words keeps a run of 8 words (36 kept words in 5 runs). Of its two runs
-of 7 words the one of lesser hash is taken, in all texts alike. These are the patterns of a Wu-Manber search: a table of block shifts rules out positions, an occupancy table of pattern hashes
-rules out more, and what is left is matched to the patterns by their hash. The tables have a fixed size whatever the
-data, so they may be broadcast; when they fill up, they only rule out less.
+of 7 words the one of lesser hash is taken, in all texts alike. These are the patterns of a Wu-Manber search: a table
+of block shifts rules out positions, an occupancy table of pattern hashes rules out more, and what is left is matched
+to the patterns by their hash. The tables have a fixed size whatever the data, so they may be broadcast; when they
+fill up, they only rule out less.
 
 Around every place stand two 64-bit sets of the 16 words before and after it. A passage reaches 16 words beyond its
 kept run on at least one side, and 4 changes take at most 4 bits from either set, so other places are dropped inside
