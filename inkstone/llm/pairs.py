@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm import _kn, lang_labels
+from inkstone.llm import _words as W
 from inkstone.plans.lineage import written
 
 #: In the order of their weight: a pair with several defects is named after the first.
@@ -55,6 +56,7 @@ REFUSALS = (
     r"\b(?:извините|простите|к сожалению|я не могу|вынужден\w* отказать\w*|не могу)\b[^.]*\b(?:написать|помочь|выполнить|текст|просьб\w*|задани\w*|запрос\w*|не могу)\b",
 )
 
+_BARE = W.PlainHashes()
 _HIDDEN = re.compile("[\\s​-‏‪-‮⁠﻿­­]+")
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I)
 _NARRATED = re.compile(r"\b(?:he|she|they|we|clerk|minister) (?:said|says|wrote|told|replied|answered)\b|\b(?:wrote back|the end of it)\b|^\W*(?:he|she|they)\b", re.I)
@@ -88,19 +90,17 @@ def is_copy(body: str, prompt: str | None) -> bool:
     """Most words of the body stand in word triples of the prompt, and these make up most of the prompt."""
     if not prompt:
         return False
-    words = lambda t: [w for x in t.lower().split() if (w := re.sub(r"[\W_]+", "", x))]
-    a, b = words(prompt), words(body)
+    a, b = (np.array([h for w in t.lower().split() if (h := _BARE[w])], np.uint64) for t in (prompt, body))
     k = min(COPY_SHINGLE, len(a))
     if not k or len(b) < k:
         return False
 
-    def covered(x: list, y: list) -> float:
-        there, on = set(zip(*(y[i:] for i in range(k)))), np.zeros(len(x), bool)
-        for i, g in enumerate(zip(*(x[i:] for i in range(k)))):
-            if g in there:
-                on[i : i + k] = True
-        gap = np.flatnonzero(~on)
-        on[[i for i in gap if 0 < i < len(x) - 1 and on[i - 1] and on[i + 1]]] = True  # a single changed word between copied ones
+    def covered(x: np.ndarray, y: np.ndarray) -> float:
+        at = np.flatnonzero(np.isin(W.grams(x, k), W.grams(y, k)))
+        on = np.zeros(len(x), bool)
+        for i in range(k):
+            on[at + i] = True
+        on[1:-1] |= on[:-2] & on[2:]  # a single changed word between copied ones
         return float(on.mean())
 
     return covered(b, a) >= COPIED and covered(a, b) >= 0.5
@@ -139,18 +139,19 @@ def is_foreign(body: str, prompt: str | None, scorer: lang_labels.Scorer) -> boo
     """Most words of the body stand in sentences of another language than the prompt's; or in another script."""
     if not prompt:
         return False
-    texts = [_kn.clean(t).split() for t in (prompt, *_SENTENCE.split(body))]
+    texts = [_kn.clean(t).split() for t in (prompt, body)]
     rows = scorer.rows(texts)
-    asked, *said = (scorer.scores[r].sum(axis=0, dtype=np.float64) for r in rows)
-    if not asked[-1]:
-        return False
+    asked, said = scorer.scores[rows[0]].sum(axis=0, dtype=np.float64), scorer.scores[rows[1]]
+    total = said.sum(axis=0, dtype=np.float64)
     own = int(asked[:-1].argmax())
-    other = words = 0
-    for x, t in zip(texts[1:], said):
-        if t[-1]:
-            words += len(x)
-            other += len(x) * bool(t[:-1].max() - t[own] > 3.0)
-    return words > 0 and other > FOREIGN * words
+    if not asked[-1] or not total[-1] or total[:-1].argmax() == own:  # no word outweighs others, so most are in the best language
+        return False
+    ended = np.fromiter((w[-1] in ".!?" or w.rstrip(_CLOSERS)[-1:] in (".", "!", "?") for w in texts[1]), bool, len(said))
+    begins = np.concatenate([[0], np.flatnonzero(ended[:-1]) + 1])
+    sums, words = np.add.reduceat(said.astype(np.float64), begins, axis=0), np.diff(np.append(begins, len(said)))
+    told = sums[:, -1] > 0
+    other = told & (sums[:, :-1].max(axis=1) - sums[:, own] > 3.0)
+    return words[other].sum() > FOREIGN * words[told].sum()
 
 
 def _judged(batches, model):
