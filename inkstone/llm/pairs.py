@@ -26,6 +26,11 @@ COPIED = 0.6
 COPY_SHINGLE = 3
 FOREIGN = 0.5
 HEADING_WORDS = 14
+#: No stand-in has more words, whatever hidden characters stand in it.
+STAND_IN_WORDS = 4
+
+#: Pairs whose words are scored together.
+ROWS = 500
 
 #: Stand-ins for no content, without their brackets, quotes and marks.
 STAND_INS = frozenset(
@@ -75,6 +80,8 @@ def is_empty(body: str | None) -> bool:
     """Null, blank, only marks, or a stand-in for no content."""
     if body is None or not _ALNUM.search(body):
         return True
+    if len(body.split()) > STAND_IN_WORDS:
+        return False
     bare = _HIDDEN.sub(" ", body).strip().strip("\"'“”‘’«»()[]{}<>*_-–—.… ").lower()
     return not bare or bare in STAND_INS
 
@@ -156,8 +163,9 @@ def is_foreign(body: str, prompt: str | None, scorer: lang_labels.Scorer) -> boo
 
 def _judged(batches, model):
     scorer = lang_labels.scorer_of(model)
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, max(b.num_rows, 1), ROWS)):
         rows = []
+        scorer.rows([_kn.clean(t).split() for i in (1, 3) for t in batch.column(i).to_pylist() if t])  # new words of many pairs are scored at once
         for rec, body, count, prompt in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if is_empty(body):
                 rows.append((rec, True, False, False, False, False, None))
