@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 
-def reach(a: list, b: list, most: int) -> list[int]:
+def reach(a: list, b: list, most: int, after: int = 2) -> list[int]:
     """For 0..most edits, how many words of a from its start are covered by a start of b.
 
-    An edited stretch counts only if at least two equal words follow it, so that a passage ends in equal words.
+    An edited stretch counts only if at least after equal words follow it.
     """
     out, best, front = [], 0, {}
     for e in range(most + 1):
@@ -21,18 +21,20 @@ def reach(a: list, b: list, most: int) -> list[int]:
             while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
                 i += 1
             now[d] = i
-            if i - came >= (2 if e else 1):
+            if i - came >= (after if e else 1):
                 best = max(best, i)
         front = now
         out.append(best)
     return out
 
 
-def holds_passage(query: list, stored: list, places: list[tuple[int, int]], words: int, changes: int, run: int) -> bool:
-    """Does stored hold at least words consecutive words of query with at most changes edits, around one of places?
+def holds_passage(query: list, stored: list, places: list[tuple[int, int]], words: int, per: int, longest: int, run: int, after: int = 2) -> bool:
+    """Does stored hold n >= words consecutive words of query with at most n // per edits, around one of places?
 
-    places: starts (in query, in stored) of equal runs of at least run words.
+    places: starts (in query, in stored) of equal runs of at least run words. longest: what the shortest such passage
+    of any length may measure.
     """
+    changes = longest // per
     ends: dict[int, int] = {}  # by diagonal, the query position up to which it was tried
     for i, j in sorted(places):
         if ends.get(j - i, -1) >= i:
@@ -44,9 +46,9 @@ def holds_passage(query: list, stored: list, places: list[tuple[int, int]], word
         if r - i >= words:
             return True
         s = r + j - i
-        right = reach(query[r : r + words], stored[s : s + words + changes], changes)
-        left = reach(query[max(0, i - words) : i][::-1], stored[max(0, j - words - changes) : j][::-1], changes)
-        if any(left[e] + r - i + right[changes - e] >= words for e in range(changes + 1)):
+        right = reach(query[r : r + longest], stored[s : s + longest + changes], changes, after)
+        left = reach(query[max(0, i - longest) : i][::-1], stored[max(0, j - longest - changes) : j][::-1], changes, after)
+        if any(x + r - i + y >= max(words, per * (d + e)) for d, x in enumerate(left) for e, y in enumerate(right)):
             return True
     return False
 

@@ -17,21 +17,24 @@ from inkstone.llm._align import holds_passage
 from inkstone.plans.lineage import written
 
 WORDS = 40
-CHANGED = 0.1
+#: Words for each change.
+PER = 10
+#: A passage that holds no shorter one within its own limit has 40 to 49, 50, 60 or 70 words (see passages.py).
+LONGEST = 70
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
 
 
-def _confirm(batches, words: int, changes: int):
+def _confirm(batches, words: int, per: int, longest: int):
     cache = passages._CACHE
     for batch in batches:
         q, c, places = batch.column(2), batch.column(3), batch.column(4)
         good = []
         for i in range(batch.num_rows):
             x, y = ([h for w in W.plain_words(t) if (h := cache[w])] for t in (q[i].as_py(), c[i].as_py()))
-            good.append(holds_passage(x, y, [(p["q_pos"], p["c_pos"]) for p in places[i].as_py()], words, changes, passages.PATTERN))
+            good.append(holds_passage(x, y, [(p["q_pos"], p["c_pos"]) for p in places[i].as_py()], words, per, longest, passages.PATTERN))
         yield batch.select([0, 1]).filter(pa.array(np.array(good, bool)))
 
 
@@ -39,6 +42,7 @@ def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", cor
     """(corpus_key, test_key) of every stored text that holds at least WORDS consecutive words of a test text.
 
     Case, punctuation, accents, markup and white space are ignored; at most a tenth of the words may be changed.
+    A passage ends in words that are equal (two after a change), as a change at its end can't be told from the end of a shorter quotation.
     Rows with a null key or text hold and leak nothing; repeated rows count once; empty tables give no row.
     """
     q, c = _texts(tests, test_key, text), _texts(corpus, corpus_key, text)
@@ -47,6 +51,6 @@ def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", cor
     one = lambda df, i: df.groupBy("id").agg(F.first("text").alias(f"{i}_text")).withColumnRenamed("id", i)
     wanted = lambda df, i: df.join(places.select(F.col(i).alias("id")).distinct(), "id", "left_semi")
     pairs = places.join(one(wanted(q, "q"), "q"), "q").join(one(wanted(c, "c"), "c"), "c").select("q", "c", "q_text", "c_text", "places")
-    found = pairs.mapInArrow(lambda it: _confirm(it, WORDS, int(WORDS * CHANGED)), "q long, c long")
+    found = pairs.mapInArrow(lambda it: _confirm(it, WORDS, PER, LONGEST), "q long, c long")
     q_key, c_key = q.select(F.col("id").alias("q"), F.col("key").alias("test_key")).distinct(), c.select(F.col("id").alias("c"), F.col("key").alias("corpus_key")).distinct()
     return found.join(q_key, "q").join(c_key, "c").select("corpus_key", "test_key").distinct()

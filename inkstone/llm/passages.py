@@ -3,7 +3,11 @@
 A passage of 40 words with at most 4 changed words keeps a run of 8 words (36 kept words in 5 runs). Of its two runs
 of 7 words the one of lesser hash is taken, in all texts alike. These are the patterns of a Wu-Manber search: a table
 of block shifts rules out positions, an occupancy table of pattern hashes rules out more, and what is left is matched
-to the patterns by their hash. The tables have a fixed size whatever the data, so they may be broadcast; when they
+to the patterns by their hash. Longer passages may have a tenth of their words changed. One that holds no shorter
+passage within its own limit has 50 words and 5 changes, 60 and 6, or 70 and 7: with fewer changes, or a length
+between, its last word could go, and from 80 words on its first 40 have over 4 changes, so that the rest is within the
+limit. All sets of so many changed words were tried: each leaves two patterns in a row in one kept run, both with at
+most 4 changes in the 16 words on one side, so what is said here of 40 words holds for these. The tables have a fixed size whatever the data, so they may be broadcast; when they
 fill up, they only rule out less.
 
 Around every place stand two 64-bit sets of the 16 words before and after it. A passage reaches 16 words beyond its

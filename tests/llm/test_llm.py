@@ -367,6 +367,31 @@ def test_leaks_find_edited_passages_only(spark):
     assert eval_leaks.leaks(t.limit(0), c).count() == 0
 
 
+def test_leaks_grow_with_the_passage(spark):
+    rng = random.Random(17)
+    tests, corpus, want = {}, {}, set()
+    for i, n in enumerate([*range(40, 81), 50, 60, 70] * 2):
+        w = say(n + 40, rng)
+        part = w[20 : 20 + n]
+        if i < 44:
+            at = rng.sample(range(2, n - 2), n // 10)  # anywhere but at the ends
+        elif i % 2:
+            at = range(10, 10 + n // 10)  # clustered after the tenth word
+        else:
+            at = [10 + 5 * k for k in range(n // 10)]
+            at = at if n >= 50 else [2 + 9 * k for k in range(n // 10)]
+        tests[f"t{i}"] = w
+        corpus[f"c{i}"] = say(30, rng) + [f"new{p}" if p in at else x for p, x in enumerate(part)] + say(30, rng)
+        want.add((f"c{i}", f"t{i}"))
+    for i in range(10):  # a passage's end can't be told from a shorter quotation's
+        tests[f"s{i}"] = w = say(100, rng)
+        corpus[f"s{i}"] = say(30, rng) + w[30 : 66 + i % 4] + say(30, rng)
+        tests[f"m{i}"] = w = say(100, rng)
+        corpus[f"m{i}"] = say(30, rng) + [f"new{p}" if p % 8 == 5 else x for p, x in enumerate(w[20:80])] + say(30, rng)  # more than a tenth, in any 40 words
+    df = lambda d: spark.createDataFrame([(k, " ".join(w)) for k, w in d.items()], "article_id string, text string")
+    assert rows(eval_leaks.leaks(df(tests), df(corpus)), "corpus_key", "test_key") == sorted(want)
+
+
 def test_crowded_runs_part_by_their_surroundings(spark, monkeypatch):
     monkeypatch.setattr(passages, "CROWD", 5)
     monkeypatch.setattr(passages, "CROWD_TIMES", 0)
