@@ -100,7 +100,7 @@ def pair_histogram(rows: DataFrame, metric: str = "cosine", block: int | None =
     return each.groupBy("step").agg(F.sum("n_self").alias("n_self"), F.sum("n_cross").alias("n_cross"))
 
 
-def permuted_ranks(rows: DataFrame, middle: dict[int, float], metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+def permuted_ranks(rows: DataFrame, middle: dict[int, float], metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(k, rank_sum, n_self) of each relabelling k: rows has labels, an array of them; middle: the mid-rank of each step."""
     keys = np.array(sorted(middle), np.int64)
     shared = rows.sparkSession.sparkContext.broadcast((keys, np.array([middle[k] for k in keys])))  # steps of a fixed grid
@@ -118,7 +118,7 @@ def permuted_ranks(rows: DataFrame, middle: dict[int, float], metric: str = "cos
             out.append((k, float(rank[same].sum()), int((counts & same).sum())))
         return pd.DataFrame(out, columns=["k", "rank_sum", "n_self"])
 
-    each = _tiled(rows, block).groupBy("lo", "hi").applyInPandas(add, "k int, rank_sum double, n_self long")
+    each = _tiled(rows, block or (BLOCK if "vec" in rows.columns else SPARSE_BLOCK)).groupBy("lo", "hi").applyInPandas(add, "k int, rank_sum double, n_self long")
     return each.groupBy("k").agg(F.sum("rank_sum").alias("rank_sum"), F.sum("n_self").alias("n_self"))
 
 

@@ -64,7 +64,7 @@ def run(essays: DataFrame, reference: DataFrame, config: Config) -> dict:
         rows, kind = metric_rows(metric, docs, space)
         histogram = written(distance.pair_histogram(rows, kind), "histogram")
         found = evaluation.auc(histogram).first().asDict()
-        if kind == "cosine" and "vec" in rows.columns or metric == "burrows_delta":
+        if config.permutations > 0:
             found["permutations"] = evaluation.permutation_summary(evaluation.permutation_test(rows, config.permutations, config.seed, kind), found["auc"]).first().asDict()
         found["histogram"] = [r.asDict() for r in evaluation.histogram_bins(histogram).orderBy("is_self", "bin").collect()]  # bins
         out["metrics"][metric] = found

@@ -31,6 +31,14 @@ def test_run_tells_authors_apart(spark):
     assert out["metrics"]["cosine_delta"]["permutations"]["p_value"] < 0.2
 
 
+def test_every_metric_has_its_permutation_test(spark):
+    essays, ref = small_corpus(spark)
+    out = pipeline.run(essays, ref, pipeline.Config(chunk_size=50, mfw_n=100, permutations=20, topic_leakage=False))
+    for m in out["metrics"].values():
+        p = m["permutations"]
+        assert p["n_valid"] == 20 and abs(p["mean"] - 0.5) < 0.1 and p["p_value"] == pytest.approx(1 / 21)
+
+
 def test_config_refuses_what_it_does_not_know(tmp_path):
     with pytest.raises(ValueError):
         pipeline.Config.read(None, no_such=1)
