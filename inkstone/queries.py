@@ -15,7 +15,7 @@ from inkstone.sources import corpus
 CHUNK = 200
 FOLD_CHUNK = 100
 WORDS = 100
-PERMUTATIONS = 5
+PERMUTATIONS = 250
 FEWEST_CHUNKS = 12
 
 

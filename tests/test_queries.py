@@ -39,6 +39,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), columns)
 
 
+def test_permutations_are_those_of_the_operator(spark):
+    got = entry.queries()["permutation_auc"](spark, FOLDER).select("k").collect()
+    assert sorted(r.k for r in got) == list(range(250))
+    assert entry.queries()["permutation_summary"](spark, FOLDER).first().n_valid == 250
+
+
 def test_every_query_has_sql_or_a_reason():
     without = {n for n in entry.queries() if n not in entry.oracle_sql() and not re.match(r"p\d+_", n)}
     assert without == {"leakage_check"}
