@@ -273,3 +273,14 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "l.json").write_text('[{"a": 1, "b": NaN}, {"a": null}]')
     assert corpus.load_json(spark, str(tmp_path / "l.json"), "a int, b double").count() == 2
     assert corpus.find_recreations(str(tmp_path)).endswith("l.json") and corpus.find_recreations("/nowhere") is None
+
+
+def test_leakage_weighs_every_word_as_the_reference_does(spark):
+    many = [f"w{i}" for i in range(20_100)]
+    texts = {"a": many + ["all"] * 3, "b": many + ["all"], "c": ["all", "lone"], "d": ["none"]}
+    rows = spark.createDataFrame(list(texts.items()), "id string, w array<string>")
+    got = {r.id: r.features for r in leakage.tfidf_rows(rows).collect()}
+    assert all(v.size == 20_101 for v in got.values()) and got["c"].numNonzeros() == 1 and got["d"].numNonzeros() == 0
+    every, pair = math.log(5 / 4) + 1, math.log(5 / 3) + 1
+    length = math.hypot((1 + math.log(3)) * every, pair * math.sqrt(20_100))
+    assert got["a"][0] == pytest.approx((1 + math.log(3)) * every / length) and got["a"][1] == pytest.approx(pair / length)
