@@ -8,7 +8,7 @@ words leaves of them are settled by their word edit distance.
 The n-grams are of 7 words, chained five-word shingles, every other one (see passages.py): a tenth of changed words
 leaves a run of 8 words, and so a pattern, in any text of 40 words. From 160 words on, one of a text's stretches of 40 words has at most 4 of the changes, so that the
 words around a hit rule out most others; below, every hit is followed. Texts under 45 words use single five-word
-shingles, texts under ten words their hash, as they bear no change.
+shingles from nine words on, as ten words may lack one; texts of up to ten words use their hash.
 Texts that are equal byte for byte are one class; classes are compared and then named by their records.
 """
 
@@ -40,7 +40,7 @@ def _short_rows(batches):
         for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
             hashes = [h for w in W.plain_words(cell.as_py()) if (h := cache[w])]
             n = len(hashes)
-            if TINY <= n < SHORT:
+            if TINY - 1 <= n < SHORT:
                 flat = np.array(hashes, np.uint64)
                 out += [(int(g), i, n) for g in np.unique(W.grams(flat, SHINGLE)).view(np.int64)]
             if 0 < n <= TINY:

@@ -123,7 +123,7 @@ def _neighbourhood(hashes, row):
     for d in range(1, CONTEXT + 1):
         same = row[d:] == row[:-d]
         before[d:] |= np.where(same, bit[:-d], np.uint64(0))
-    for d in range(CONTEXT):
+    for d in range(min(CONTEXT, len(row))):
         same = row[d:] == row[: len(row) - d]
         after[: len(row) - d] |= np.where(same, bit[d:], np.uint64(0))
     return before, after
