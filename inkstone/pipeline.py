@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import chunking, distance, evaluation, features, leakage, reports
+from inkstone.plans import lineage
 from inkstone.plans.lineage import written
 from inkstone.sources import corpus, sinks
 
@@ -112,6 +113,7 @@ def main(argv: list[str] | None = None) -> None:
         text = final_report(corpus.table(spark, args.data, "fold_result"), corpus.table(spark, args.data, "model_map"))
         with open(args.out, "w", encoding="utf-8") as f:
             f.write(text)
+    lineage.forget(spark)
 
 
 if __name__ == "__main__":

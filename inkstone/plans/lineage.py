@@ -11,10 +11,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, a single machine), a folder of our own."""
+    """The folder that the session names in spark.checkpoint.dir; where it is unset on one machine, a folder of our own.
+
+    On a cluster the setting is needed: in a folder of its own each executor would keep its part of a table to itself.
+    """
     context = spark.sparkContext
-    if named := context.getConf().get("spark.checkpoint.dir"):
+    if named := spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if context.applicationId not in _own:
         _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="inkstone-")
     return _own[context.applicationId]

@@ -1,5 +1,6 @@
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.functions import vectors as V
 from inkstone.operators import chunking, distance, evaluation, features, folds, leakage, reports
+from inkstone.plans import lineage
 from inkstone.plans.ranks import numbered
 from inkstone.sources import corpus, sinks
 
@@ -193,6 +195,15 @@ def test_scored_auc_and_roc(spark):
     assert points["m", 0.8] == (1.0, 0.5) and points["one", 0.5] == (1.0, 0.0)
 
 
+def test_tables_between_stages_need_a_shared_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda *_: None)
+    on = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: conf))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            lineage.shared_dir(on(master))
+    assert lineage.shared_dir(on("local[4]")).startswith("file://")
+
+
 def test_numbered_is_global(spark):
     df = spark.range(1000).withColumn("w", F.lit(2)).repartition(7)
     got = numbered(df, [F.desc("id")], "n").orderBy("n").collect()
