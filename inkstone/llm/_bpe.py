@@ -11,6 +11,7 @@ import base64
 import heapq
 import os
 import re
+from collections import Counter
 from itertools import chain
 
 import regex
@@ -146,7 +147,7 @@ class Encoder:
         if not text:
             return 0
         head, *rest = words(text)
-        return self._head_n[head] + sum(map(self._n.__getitem__, rest))
+        return self._head_n[head] + sum(n * self._n[w] for w, n in Counter(rest).items())
 
 
 _ENCODERS: dict[str, Encoder] = {}

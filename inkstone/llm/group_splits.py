@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from inkstone.plans.lineage import written
 
 SPLITS = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
-#: Slices in which a band of component sizes is accumulated, so that no task orders a whole band.
-SLICES = 256
+#: Hexadecimal digits of the slices in which a band of component sizes is accumulated, so that no task orders a whole band.
+SLICE_DIGITS = 3
 
 
 def author_name(author) -> Column:
@@ -65,29 +65,41 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return forest, of
 
 
+def _source(source: str) -> Column:
+    return F.when(F.trim(F.col(source)) != "", F.col(source))
+
+
 def _links(rows: DataFrame, source: str, author: str) -> DataFrame:
-    """Different (source, author) with the rows of each; blank sources are null."""
-    name = F.when(F.trim(F.col(source)) != "", F.col(source))
-    return rows.groupBy(name.alias("source"), author_name(F.col(author)).alias("author")).agg(F.count("*").alias("rows"))
+    """Different (source, author); blank sources are null."""
+    return rows.select(_source(source).alias("source"), author_name(F.col(author)).alias("author")).distinct()
 
 
 def author_components(rows: DataFrame, source: str = "source_doc_id", author: str = "author") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, forest, components of linked authors) of rows."""
+    """(links, forest, components of linked authors) of rows; a component's root is its least author."""
     links = written(_links(rows, source, author), "p2-links")
     known = links.where("source is not null and author is not null")
     centre = known.groupBy("source").agg(F.min("author").alias("a"), F.max("author").alias("z")).where("a <> z").drop("z")
     star = known.join(centre, "source").where("author <> a").select("a", F.col("author").alias("b"), F.col("source").alias("weight"))
     forest, of = spanning_forest(star)
-    return links, forest, of
+    least = of.groupBy("root").agg(F.min("node").alias("least"))
+    return links, forest, written(of.join(least, "root").select("node", F.col("least").alias("root")), "p2-authors")
 
 
 def linked_authors(rows: DataFrame, source: str = "source_doc_id", author: str = "author") -> DataFrame:
-    """(author_a, author_b), author_a < author_b: authors that must share a split."""
+    """(author_a, author_b), author_a < author_b: authors that must share a split.
+
+    That is all pairs of a component; members() gives the same in a row an author.
+    """
     of = author_components(rows, source, author)[2]
     b = of.select(F.col("node").alias("author_b"), "root")
     return of.select(F.col("node").alias("author_a"), "root").join(b, "root").where("author_a < author_b").select("author_a", "author_b")
 
 
+def members(rows: DataFrame, source: str = "source_doc_id", author: str = "author") -> DataFrame:
+    """(author, root) of every author that is linked to another one; authors of one root must share a split."""
+    return author_components(rows, source, author)[2].select(F.col("node").alias("author"), "root")
+
+
 def _part(x: Column, splits) -> Column:
     edge, part = 0.0, F
     for name, share in splits[:-1]:
@@ -102,9 +114,9 @@ def dealt(components: DataFrame, splits=SPLITS) -> DataFrame:
     Within a band components stand in the order of their hash; the place of a component's middle row, as a part of the
     band's rows, decides its split. So each band is divided in proportion, to within one component.
     """
-    banded = components.withColumn("band", F.floor(F.log2(F.col("rows"))).cast("int")).withColumn("h", F.xxhash64("root")).withColumn("slice", F.pmod(F.shiftright("h", 32), F.lit(SLICES)))
+    banded = components.withColumn("band", F.floor(F.log2(F.col("rows"))).cast("int")).withColumn("h", F.md5("root")).withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     slices = banded.groupBy("band", "slice").agg(F.sum("rows").alias("in_slice"))
-    order = Window.partitionBy("band").orderBy("slice")  # SLICES rows a band
+    order = Window.partitionBy("band").orderBy("slice")  # at most 4096 rows a band
     slices = slices.withColumn("ahead", F.sum("in_slice").over(order) - F.col("in_slice")).withColumn("in_band", F.sum("in_slice").over(Window.partitionBy("band")))
     inner = Window.partitionBy("band", "slice").orderBy("h", "root")
     placed = banded.withColumn("upto", F.sum("rows").over(inner)).join(slices, ["band", "slice"])
@@ -115,22 +127,19 @@ def dealt(components: DataFrame, splits=SPLITS) -> DataFrame:
 def splits(rows: DataFrame, key: str = "chunk_id", source: str = "source_doc_id", author: str = "author", proportions=SPLITS) -> DataFrame:
     """(key, source, root, split): every row's split, the same for all rows linked by sources or authors.
 
-    A row without source and author stands alone, under its key. Repeated rows come out once. A component larger than
+    A row without source and author stands alone, under its key. Repeated rows come out once and count once; a key of
+    several sources comes out with each, and links nothing by itself. A component larger than
     a split's share can't be divided; its band then leans to the split that its middle falls in.
     """
     links, _, of = author_components(rows, source, author)
     of = of.withColumnRenamed("node", "author")
     rooted = links.where("author is not null").join(of, "author", "left").withColumn("root", F.concat(F.lit("author:"), F.coalesce("root", "author")))
-    by_source = rooted.where("source is not null").groupBy("source").agg(F.min("root").alias("root"))
+    by_source = rooted.where("source is not null").groupBy("source").agg(F.min("root").alias("root"))  # one value, as a source's authors are linked
     by_author = rooted.groupBy("author").agg(F.min("root").alias("root"))
-    sources = links.where("source is not null").groupBy("source").agg(F.sum("rows").alias("rows"))
-    sources = written(sources.join(by_source, "source", "left").withColumn("root", F.coalesce("root", F.concat(F.lit("source:"), "source"))), "p2-sources")
-    alone = rows.where(author_name(F.col(author)).isNull() & (F.coalesce(F.trim(F.col(source)), F.lit("")) == ""))
-    own = F.concat(F.lit("row:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    sizes = sources.select("root", "rows").union(rooted.where("source is null").select("root", "rows")).union(alone.select(own, F.lit(1).cast("long")))
-    deal = written(dealt(sizes.groupBy("root").agg(F.sum("rows").alias("rows")), proportions), "p2-deal")
-    each = rows.select(F.col(key).alias("k"), F.when(F.trim(F.col(source)) != "", F.col(source)).alias("s"), author_name(F.col(author)).alias("n")).distinct()
-    in_source = each.where("s is not null").select("k", "s").distinct().join(sources.select(F.col("source").alias("s"), "root"), "s").select("k", "s", "root")
-    no_source = each.where("s is null").join(by_author.withColumnRenamed("author", "n").withColumnRenamed("root", "r"), "n", "left")
-    no_source = no_source.select("k", "s", F.coalesce("r", F.concat(F.lit("row:"), F.coalesce(F.col("k").cast("string"), F.lit("")))).alias("root"))
-    return in_source.union(no_source).join(deal.select("root", "split"), "root").select(F.col("k").alias(key), F.col("s").alias(source), "root", "split")
+    each = rows.select(F.col(key).alias("k"), _source(source).alias("source"), author_name(F.col(author)).alias("author"))
+    in_source = each.where("source is not null").select("k", "source").distinct().join(by_source, "source", "left").select("k", "source", F.coalesce("root", F.concat(F.lit("source:"), "source")).alias("root"))
+    own = F.concat(F.lit("row:"), F.coalesce(F.col("k").cast("string"), F.lit("")))
+    no_source = each.where("source is null").distinct().join(by_author, "author", "left").select("k", "source", F.coalesce("root", own).alias("root"))
+    placed = written(in_source.union(no_source).distinct(), "p2-placed")
+    deal = dealt(placed.groupBy("root").agg(F.count("*").alias("rows")), proportions)
+    return placed.join(deal.select("root", "split"), "root").select(F.col("k").alias(key), F.col("source").alias(source), "root", "split")

@@ -87,6 +87,16 @@ def plan(sized: DataFrame, weights: DataFrame, total_tokens: int | None = None)
     return budgets, chosen
 
 
+def reachable_total(sized: DataFrame, weights: DataFrame) -> int:
+    """The most tokens of which every source with documents can give its share within its repeats; for plan's total_tokens.
+
+    With it no source falls short, so the shares of what is drawn are the targets too (sources without documents aside).
+    """
+    by = sized.where("n_tokens > 0 and source is not null").groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    asked = weights.where("target_share > 0 and max_repeats is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("times"))
+    return by.join(asked, "source").agg(F.min(F.floor(F.col("available") * F.col("times") / F.col("share")))).first()[0] or 0
+
+
 def draw(sized: DataFrame, chosen: DataFrame, seed: int = 17, key: str = "doc_id") -> DataFrame:
     """(key, source, n_tokens, repeats): each drawn document and how often it is used, at most max_repeats times.
 

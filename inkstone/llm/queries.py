@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import cross_split, eval_leaks, group_splits, lang_labels, mixing, pairs, pieces, shared_spans, tokens
+from inkstone.llm.oracle import SQL  # noqa: F401
 from inkstone.plans.lineage import written
 from inkstone.sources import corpus
 
@@ -48,6 +49,10 @@ def p2_forest(spark, d):
     return forest.select(F.col("a").alias("author_a"), F.col("b").alias("author_b"), F.col("weight").alias("source_doc_id"))
 
 
+def p2_members(spark, d):
+    return group_splits.members(_t(spark, d, "chunk"))
+
+
 def p2_splits(spark, d):
     return group_splits.splits(_t(spark, d, "chunk"))
 
@@ -55,12 +60,17 @@ def p2_splits(spark, d):
 # Problem 3
 
 
-def p3_pieces(spark, d):
+def _p3(spark, d):
     return pieces.essay_pieces(_t(spark, d, "essays")).union(pieces.chunk_pieces(_t(spark, d, "chunk")))
 
 
+def p3_pieces(spark, d):
+    """All pieces; the text of a chunk's piece is its tokens, joined by spaces."""
+    return _p3(spark, d).withColumn("text", F.coalesce("text", F.array_join("tokens", " ", ""))).drop("tokens")
+
+
 def p3_found(spark, d):
-    return p3_pieces(spark, d).groupBy("item_table", "item_id").agg(F.max("piece").alias("last")).where("last > 0").select("item_table", "item_id")
+    return _p3(spark, d).groupBy("item_table", "item_id").agg(F.max("piece").alias("last")).where("last > 0").select("item_table", "item_id")
 
 
 # Problem 4
@@ -82,14 +92,26 @@ def p4_found(spark, d):
 # Problems 5, 8 and 9
 
 
-def p5_budget(spark, d):
+_P5_GROUPS = ["source", "lang", "topic"]
+
+
+def _p5_sized(spark, d):
     """Tokens of essays and recreations by source, language and topic; blank names are null, each key counts once."""
     tidy = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
-    essays = _t(spark, d, "essays").dropDuplicates(["article_id"])
-    place = essays.select(F.col("article_id").alias("essay"), tidy("lang").alias("lang"), tidy("topic").alias("topic"))
-    made = _t(spark, d, "recreation").dropDuplicates(["rec_id"]).select(F.coalesce("source_article_id", "article_id").alias("essay"), tidy("model_alias").alias("source"), F.col("body").alias("text")).join(place, "essay", "left")
-    original = essays.select(tidy("config").alias("source"), tidy("lang").alias("lang"), tidy("topic").alias("topic"), "text")
-    return tokens.budget(original.unionByName(made.select("source", "lang", "topic", "text")), ["source", "lang", "topic"])
+    essays = _t(spark, d, "essays").select("article_id", tidy("config").alias("source"), tidy("lang").alias("lang"), tidy("topic").alias("topic"), "text")
+    essays = written(tokens.once(tokens.count(essays, "article_id", keep=["source", "lang", "topic"]), "article_id"), "p5-essays")
+    made = _t(spark, d, "recreation").select("rec_id", tidy("model_alias").alias("source"), F.coalesce("source_article_id", "article_id").alias("article_id"), "body")
+    made = tokens.once(tokens.count(made, "rec_id", "body", keep=["source", "article_id"]), "rec_id")
+    place = essays.where("article_id is not null").select("article_id", "lang", "topic")
+    return essays.select("source", "lang", "topic", "n_tokens").unionByName(made.join(place, "article_id", "left").select("source", "lang", "topic", "n_tokens"))
+
+
+def p5_budget(spark, d):
+    return tokens.budget(_p5_sized(spark, d), _P5_GROUPS)
+
+
+def p5_totals(spark, d):
+    return tokens.totals(_p5_sized(spark, d), _P5_GROUPS)
 
 
 def p8_ids(spark, d):
@@ -98,7 +120,7 @@ def p8_ids(spark, d):
 
 def _p9(spark, d):
     documents = _t(spark, d, "documents")
-    sized = written(documents.select("doc_id", "source").join(tokens.count(documents), "doc_id"), "p9-sizes")
+    sized = written(tokens.once(tokens.count(documents, keep=["source"])), "p9-sizes")
     budgets, chosen = mixing.plan(sized, _t(spark, d, "source_weights"))
     budgets = written(budgets, "p9-budgets")
     return budgets, mixing.draw(sized, written(chosen, "p9-lengths"))
@@ -150,25 +172,4 @@ def p10_languages(spark, d):
     return lang_labels.languages(_t(spark, d, "documents"), _t(spark, d, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_splits, p3_found, p3_pieces, p4_found, p4_defects, p5_budget, p6_found, p7_found, p7_report, p8_ids, p9_drawn, p9_shares, p10_found, p10_languages)}
-_NAME = "nullif(nullif(lower(trim(regexp_replace(author, '[\\t-\\r \\x{85}\\x{a0}]+', ' ', 'g'), ' ')), ''), 'unknown')"
-
-SQL: dict[str, str] = {
-    "p1_found": """WITH r AS (
-  SELECT 'essays' AS rec_table, article_id AS rec_key, min(text) AS text FROM essays WHERE article_id IS NOT NULL GROUP BY article_id
-  UNION ALL SELECT 'recreation', CAST(rec_id AS VARCHAR), min(body) FROM recreation WHERE rec_id IS NOT NULL GROUP BY rec_id),
-w AS (SELECT rec_table, rec_key, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM r WHERE text IS NOT NULL),
-s AS (SELECT rec_table, rec_key, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50),
-h AS (SELECT rec_table, rec_key, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM s),
-k AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT rec_table || ' ' || rec_key) > 1),
-f AS (SELECT *, lag(i) OVER (PARTITION BY rec_table, rec_key ORDER BY i) AS p FROM h SEMI JOIN k USING (h)),
-g AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_table, rec_key ORDER BY i) AS run FROM f)
-SELECT rec_table, rec_key, min(i) AS first_word, max(i) + 50 - min(i) AS n_words FROM g GROUP BY rec_table, rec_key, run""",
-    "p2_found": f"""WITH RECURSIVE a AS (SELECT DISTINCT source_doc_id AS s, {_NAME} AS n FROM chunk WHERE trim(source_doc_id, ' ') <> ''),
-e AS (SELECT DISTINCT x.n AS a, y.n AS b FROM a x JOIN a y ON x.s = y.s AND x.n <> y.n),
-c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
-SELECT a AS author_a, b AS author_b FROM c WHERE a < b""",
-    "p3_found": """SELECT DISTINCT 'essays' AS item_table, article_id AS item_id FROM essays
-WHERE article_id IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) > 1200
-UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunk WHERE chunk_id IS NOT NULL AND len(tokens) > 400""",
-}
+QUERIES = {f.__name__: f for f in (p1_found, p1_factors, p1_shared, p2_found, p2_forest, p2_members, p2_splits, p3_found, p3_pieces, p4_found, p4_defects, p5_budget, p5_totals, p6_found, p7_found, p7_report, p8_ids, p9_drawn, p9_shares, p10_found, p10_languages)}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,63 +33,42 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = _
 def _counted(batches, path: str):
     enc = _bpe.encoder(path)
     for batch in batches:
-        n = pa.array([enc.count(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), n], ["id", "n_tokens"])
+        n = pa.array([enc.count(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*batch.schema.names[:-1], "n"])
 
 
-def count(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = _bpe.DEFAULT_FILE) -> DataFrame:
-    """(key, n_tokens) of each row; 0 for an empty or null text."""
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(lambda it: _counted(it, path), f"id {kind}, n_tokens long").withColumnRenamed("id", key)
+def count(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = _bpe.DEFAULT_FILE, keep: list[str] = ()) -> DataFrame:
+    """(key, keep..., n_tokens) of each row; 0 for an empty or null text. Rows and null keys are kept.
+
+    A word is merged once by a worker, by the linked list and queue of _bpe.count_by_queue, and weighted by its
+    frequency in the text. One narrow stage: only numbers and the kept columns go on.
+    """
+    names = [f"c{i}" for i in range(len(keep) + 1)]
+    cols = df.select(*(F.col(c).alias(n) for c, n in zip([key, *keep], names)), F.col(text).alias("t"))
+    out = cols.mapInArrow(lambda it: _counted(it, path), ", ".join(f"{n} {t}" for n, t in cols.dtypes[:-1]) + ", n long")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, [key, *keep])), F.col("n").alias("n_tokens"))
 
 
-def _word_rows(batches, groups: int):
-    """Per batch the words of each group with their frequencies; first marks those at a text's start."""
-    for batch in batches:
-        heads, bodies = defaultdict(Counter), defaultdict(Counter)
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(groups))))
-        for key, text in zip(keys, batch.column(groups).to_pylist()):
-            if text:
-                head, *rest = _bpe.words(text)
-                heads[key][head] += 1
-                bodies[key].update(rest)
-        rows = [(*key, word, first, n) for first, by in ((True, heads), (False, bodies)) for key, c in by.items() for word, n in c.items()]
-        if rows:
-            cols = list(zip(*rows))
-            types = [pa.string()] * (groups + 1) + [pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [f"c{i}" for i in range(groups + 3)])
-
-
-def _word_tokens(batches, path: str):
-    ranks = _bpe.encoder(path).ranks
-    seen: dict[str, int] = {}
-    for batch in batches:
-        out = []
-        for word, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total = 0
-            for p in _bpe.pieces(word, first):
-                if p not in seen:
-                    if len(seen) > _bpe.CACHE_WORDS:
-                        seen.clear()
-                    seen[p] = _bpe.count_by_queue(p.encode(errors="replace"), ranks)
-                total += seen[p]
-            out.append(total)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["word", "first", "tokens"])
-
-
-def budget(records: DataFrame, groups: list[str], text: str = "text", path: str = _bpe.DEFAULT_FILE) -> DataFrame:
-    """Tokens of records by groups (string columns, null being a group of its own): groups, records, tokens.
-
-    Words are counted by group in each batch and then overall; every different word is merged once, by the linked
-    list and queue of _bpe.count_by_queue, and weighted by its frequency. So hot groups are aggregated before any
-    shuffle, and the sum is exact. A null or empty text is a record of no tokens.
+def once(sized: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row a key, the least by its other columns; each row without a key is a record of its own."""
+    rest = [c for c in sized.columns if c != key]
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = sized.select(F.col(key).alias("k"), own.alias("own"), F.struct(*rest).alias("r")).groupBy("k", "own").agg(F.min("r").alias("r"))
+    return rows.select(F.col("k").alias(key), "r.*")
+
+
+def budget(sized: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, records, tokens) of sized records (groups, n_tokens), null being a group of its own."""
+    return sized.groupBy(*groups).agg(F.count("*").alias("records"), F.sum("n_tokens").alias("tokens"))
+
+
+def totals(sized: DataFrame, groups: list[str]) -> DataFrame:
+    """(level, groups, records, tokens): the budget rolled up to all, to each group alone and to every set of groups.
+
+    level names the columns that a row is of, joined by `+`, or is `all`; the other columns are null. An empty table
+    has no records and no tokens in all.
     """
-    names = [f"c{i}" for i in range(len(groups))]
-    schema = ", ".join(f"{c} string" for c in names) + ", word string, first boolean, n long"
-    freq = records.select(*groups, text).mapInArrow(lambda it: _word_rows(it, len(groups)), schema).groupBy(*names, "word", "first").agg(F.sum("n").alias("n"))
-    each = freq.select("word", "first").distinct().mapInArrow(lambda it: _word_tokens(it, path), "word string, first boolean, tokens long")
-    tokens = freq.join(each, ["word", "first"]).groupBy(*names).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
-    rows = records.groupBy(*(F.col(g).alias(c) for g, c in zip(groups, names))).agg(F.count("*").alias("records"))
-    same = [rows[c].eqNullSafe(tokens[c]) for c in names]
-    both = rows.join(tokens, same, "left")
-    return both.select(*(rows[c].alias(g) for g, c in zip(groups, names)), "records", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    level = F.concat_ws("+", *(F.when(F.grouping(g) == 0, g) for g in groups))
+    cube = budget(sized, groups).cube(*groups).agg(level.alias("level"), F.sum("records").alias("records"), F.sum("tokens").alias("tokens"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "tokens")]
+    return cube.select(F.when(F.col("level") == "", "all").otherwise(F.col("level")).alias("level"), *groups, *zero)

@@ -280,13 +280,25 @@ def test_odd_texts_and_round_trip(spark):
 
 def test_budget_is_exact(spark):
     rng = random.Random(1)
-    data = [(rng.choice(["s", "t", None]), rng.choice(["en", None]), rng.choice([None, "", " ".join(say(20, rng)), *ODD])) for _ in range(200)]
-    df = spark.createDataFrame([(*r, "clash") for r in data], "source string, lang string, text string, word string")
-    want = {}
-    for s, x, t in data:
+    data = [(i if i % 9 else None, rng.choice(["s", "t", None]), rng.choice(["en", None]), rng.choice([None, "", " ".join(say(20, rng)), *ODD])) for i in range(200)]
+    df = spark.createDataFrame([(*r, "clash") for r in data + [r for r in data[:40] if r[0]]], "key long, source string, lang string, text string, c0 string")
+    want, all_ = {}, 0
+    for _, s, x, t in data:
         n, k = want.get((s, x), (0, 0))
         want[s, x] = (n + 1, k + _bpe.encoder().count(t))
-    assert {(r.source, r.lang): (r.records, r.tokens) for r in tokens.budget(df, ["source", "lang"]).collect()} == want
+        all_ += _bpe.encoder().count(t)
+    sized = tokens.once(tokens.count(df, "key", keep=["source", "lang"]), "key")
+    assert {(r.source, r.lang): (r.records, r.tokens) for r in tokens.budget(sized, ["source", "lang"]).collect()} == want
+    total = {(r.level, r.source, r.lang): (r.records, r.tokens) for r in tokens.totals(sized, ["source", "lang"]).collect()}
+    assert total["all", None, None] == (200, all_) and total["source", "s", None] == tuple(map(sum, zip(*(v for (s, _), v in want.items() if s == "s"))))
+    assert {k[1:]: v for k, v in total.items() if k[0] == "source+lang"} == want
+    assert [tuple(r) for r in tokens.totals(sized.limit(0), ["source", "lang"]).collect()] in ([], [("all", None, None, 0, 0)])
+
+
+def test_repeated_keys_are_one_record(spark):
+    df = spark.createDataFrame([(1, "a", "one two"), (1, "a", "one two"), (1, "a", "one two"), (None, "a", "x"), (None, "a", "x")], "doc_id long, source string, text string")
+    got = tokens.once(tokens.count(df, keep=["source"]))
+    assert got.columns == ["doc_id", "source", "n_tokens"] and [r.doc_id for r in got.orderBy("doc_id").collect()] == [None, None, 1]
 
 
 @settings(max_examples=150, deadline=None)
@@ -330,6 +342,9 @@ def test_mix_reaches_shares(spark):
     assert rows(drawn, "doc_id", "repeats") == rows(mixing.draw(sized, chosen), "doc_id", "repeats")
     big = {r.source: r for r in mixing.shares(*(lambda b, c: (b, mixing.draw(sized, c)))(*mixing.plan(sized, weights, 10**6))).collect()}
     assert big["a"].most_repeats == 2 and big["a"].short_tokens > 0
+    most = mixing.reachable_total(sized, weights)
+    fair = {r.source: r for r in mixing.shares(*(lambda b, c: (b, mixing.draw(sized, c)))(*mixing.plan(sized, weights, most))).collect()}
+    assert all(r.short_tokens == 0 for s, r in fair.items() if s != "none") and mixing.reachable_total(sized.limit(0), weights) == 0
     assert mixing.draw(sized.limit(0), mixing.plan(sized.limit(0), weights)[1]).count() == 0
 
 
