@@ -55,3 +55,10 @@ SELECT item_table, id AS item_id, CAST(piece AS INTEGER) AS piece, CAST(f AS INT
   CASE item_table WHEN 'essays' THEN ltrim(array_to_string(texts.u[f + 1 : stop], ''), {_SPACED}) ELSE array_to_string(lists.u[f + 1 : stop], ' ') END AS text
 FROM cut JOIN items USING (item_table, id) LEFT JOIN texts USING (id) LEFT JOIN lists USING (id)""",
 }
+
+SQL["p1_shared"] = f"""WITH found AS ({SQL['p1_found']}),
+total AS (SELECT rec_table, rec_key, CAST(sum(n_words) AS BIGINT) AS n FROM found GROUP BY ALL),
+sized AS (SELECT 'essays' AS rec_table, article_id AS rec_key, min(text) AS text FROM essays WHERE article_id IS NOT NULL GROUP BY article_id
+  UNION ALL SELECT 'recreation', CAST(rec_id AS VARCHAR), min(body) FROM recreation WHERE rec_id IS NOT NULL GROUP BY rec_id),
+counted AS (SELECT rec_table, rec_key, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0) AS words FROM sized)
+SELECT rec_table, rec_key, words, coalesce(n, 0) AS shared_words, CASE WHEN words > 0 THEN coalesce(n, 0) / words ELSE 0.0 END AS share FROM counted LEFT JOIN total USING (rec_table, rec_key)"""
