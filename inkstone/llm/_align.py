@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+
+from inkstone.llm import _words as W
 
 
 def reach(a: list, b: list, most: int, after: int = 2) -> list[int]:
@@ -28,15 +33,36 @@ def reach(a: list, b: list, most: int, after: int = 2) -> list[int]:
     return out
 
 
-def holds_passage(query: list, stored: list, places: list[tuple[int, int]], words: int, per: int, longest: int, run: int, after: int = 2) -> bool:
+def common_runs(a: list, b: list, run: int) -> Iterator[tuple[int, int]]:
+    """Starts (in a, in b) of the maximal stretches of at least run equal words, diagonal by diagonal; never a table of all pairs."""
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    if min(len(x), len(y)) < run:
+        return
+    gx, gy = W.grams(x, run), W.grams(y, run)
+    order = np.argsort(gy, kind="stable")
+    lo, hi = np.searchsorted(gy[order], gx), np.searchsorted(gy[order], gx, "right")
+    seen = np.zeros(len(x) + len(y), bool)
+    for i in np.flatnonzero(hi > lo):
+        seen[order[lo[i] : hi[i]] - i + len(x)] = True
+    for d in (np.flatnonzero(seen) - len(x)).tolist():
+        at = max(0, -d)
+        n = min(len(x) - at, len(y) - at - d)
+        equal = np.concatenate([[False], x[at : at + n] == y[at + d : at + d + n], [False]])
+        edge = np.flatnonzero(equal[1:] != equal[:-1])
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if j - i >= run:
+                yield at + i, at + i + d
+
+
+def holds_passage(query: list, stored: list, places: Iterable[tuple[int, int]], words: int, per: int, longest: int, run: int, after: int = 2) -> bool:
     """Does stored hold n >= words consecutive words of query with at most n // per edits, around one of places?
 
-    places: starts (in query, in stored) of equal runs of at least run words. longest: what the shortest such passage
-    of any length may measure.
+    places: starts (in query, in stored) of equal runs of at least run words, ascending on each diagonal. longest:
+    what the shortest such passage of any length may measure.
     """
     changes = longest // per
     ends: dict[int, int] = {}  # by diagonal, the query position up to which it was tried
-    for i, j in sorted(places):
+    for i, j in places:
         if ends.get(j - i, -1) >= i:
             continue
         r = i

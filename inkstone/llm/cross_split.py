@@ -6,56 +6,35 @@ the containment of five-word shingles is computed on the whole texts, and pairs
 words leaves of them are settled by their word edit distance.
 
 The n-grams are of 7 words, chained five-word shingles, every other one (see passages.py): a tenth of changed words
-leaves a run of 8 words, and so a pattern, in any text of 40 words. From 160 words on, one of a text's stretches of 40 words has at most 4 of the changes, so that the
-words around a hit rule out most others; below, every hit is followed. Texts under 45 words use single five-word
-shingles from nine words on, as ten words may lack one; texts of up to ten words use their hash.
+leaves a run of 8 words, and so a pattern, in any text of 40 words. From 160 words on, one of a text's stretches of 40
+words has at most 4 of the changes, so that the words around a hit rule out most others; below, every hit is followed. A hit must stand at the same place, give or
+take the edits, in texts of like lengths. Texts under 45 words use single five-word shingles from nine words on, as ten
+words may lack one. One hash of all its words stands for each text, so that texts of the same words always meet.
 Texts that are equal byte for byte are one class; classes are compared and then named by their records.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm import _words as W
 from inkstone.llm import passages
 from inkstone.llm._align import distance, shared_shingles
 from inkstone.plans.lineage import written
 
-SHINGLE = 5
+SHINGLE = passages.SHINGLE
 CHANGED = 0.1
-SHORT = 45
 #: Words from which the surroundings of a hit decide; 160, and a tenth more for the longer text of a pair.
 LONG = 180
-TINY = 10
-
-
-def _short_rows(batches):
-    cache = passages._CACHE
-    for batch in batches:
-        out = []
-        for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-            hashes = [h for w in W.plain_words(cell.as_py()) if (h := cache[w])]
-            n = len(hashes)
-            if TINY - 1 <= n < SHORT:
-                flat = np.array(hashes, np.uint64)
-                out += [(int(g), i, n) for g in np.unique(W.grams(flat, SHINGLE)).view(np.int64)]
-            if 0 < n <= TINY:
-                out.append((xxhash.xxh3_64_intdigest(np.array(hashes, np.uint64).tobytes(), seed=n) - (1 << 63), i, n))
-        if out:
-            g, i, n = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int32())], ["g", "id", "n"])
 
 
 def _compare(batches, changed: float):
-    cache = passages._CACHE
+    q_texts, c_texts = passages.Texts(), passages.Texts()
     for batch in batches:
         good, contained, edits = [], [], []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = ([h for w in W.plain_words(t.as_py()) if (h := cache[w])] for t in (x, y))
+        for q, c, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            a, b = q_texts.of(q, x), c_texts.of(c, y)
             most = int(changed * max(len(a), len(b)))
             total = max(1, len(a) - SHINGLE + 1)
             shared = shared_shingles(a, b, SHINGLE)
@@ -73,15 +52,12 @@ def overlaps(evaluation: DataFrame, training: DataFrame, key: str = "article_id"
     Words are compared without case, punctuation, accents and markup; edits are counted against the longer text.
     Texts without words and rows with a null key or text overlap nothing; repeated rows count once.
     """
-    named = lambda df: df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    q, c = named(evaluation), named(training)
-    similar = f"abs(q_n - c_n) <= {CHANGED} * greatest(q_n, c_n)"
-    long_pairs = passages.candidates(q, c, LONG).where(similar).select("q", "c")
-    short = lambda df, i: df.select("id", "text").mapInArrow(_short_rows, "g long, id long, n int").repartition("g").dropDuplicates(["g", "id"]).select("g", F.col("id").alias(i), F.col("n").alias(f"{i}_n"))
-    short_pairs = short(q, "q").join(short(c, "c"), "g").where(similar).select("q", "c")
-    pairs = written(long_pairs.union(short_pairs).distinct(), "p7-pairs")
-    one = lambda df, i: df.join(pairs.select(F.col(i).alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias(f"{i}_text")).withColumnRenamed("id", i)
-    both = pairs.join(one(q, "q"), "q").join(one(c, "c"), "c").select("q", "c", "q_text", "c_text")
-    found = both.mapInArrow(lambda it: _compare(it, CHANGED), "q long, c long, containment double, edits int")
-    key_of = lambda df, i, k: df.select(F.col("id").alias(i), F.col("key").alias(k)).distinct()
-    return found.join(key_of(q, "q", "eval_key"), "q").join(key_of(c, "c", "train_key"), "c").select("eval_key", "train_key", "containment", "edits").distinct()
+    q, c = passages.texts(evaluation, key, text), passages.texts(training, key, text)
+    one = written(q.select("id", "text").dropDuplicates(["id"]), "p7-evaluation")
+    most = f"{CHANGED} * greatest(q_n, c_n)"
+    alike = f"abs(q_n - c_n) <= {most} and (q_pos < 0 or c_pos < 0 or abs(q_pos - c_pos) <= {most})"  # an edit moves what follows by one word
+    pairs = written(passages.candidates(one, c, LONG, short=True).where(alike).select("q", "c").distinct(), "p7-pairs")
+    both, c_key = passages.paired(pairs, one, c, "p7-texts")
+    found = both.select("q", "c", "q_text", "c_text").mapInArrow(lambda it: _compare(it, CHANGED), "q long, c long, containment double, edits int")
+    q_key = q.select(F.col("id").alias("q"), F.col("key").alias("eval_key")).distinct()
+    return found.join(q_key, "q").join(c_key.withColumnRenamed("key", "train_key"), "c").select("eval_key", "train_key", "containment", "edits").distinct()

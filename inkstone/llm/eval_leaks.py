@@ -6,14 +6,12 @@ Every place that it leaves is confirmed on the words themselves, allowing for a
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm import _words as W
 from inkstone.llm import passages
-from inkstone.llm._align import holds_passage
+from inkstone.llm._align import common_runs, holds_passage
 from inkstone.plans.lineage import written
 
 WORDS = 40
@@ -23,19 +21,19 @@ PER = 10
 LONGEST = 70
 
 
-def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-
-
 def _confirm(batches, words: int, per: int, longest: int):
-    cache = passages._CACHE
+    q_texts, c_texts, run = passages.Texts(), passages.Texts(), passages.PATTERN
     for batch in batches:
-        q, c, places = batch.column(2), batch.column(3), batch.column(4)
+        q_ids, c_ids = (batch.column(i).to_pylist() for i in (0, 1))
         good = []
-        for i in range(batch.num_rows):
-            x, y = ([h for w in W.plain_words(t) if (h := cache[w])] for t in (q[i].as_py(), c[i].as_py()))
-            good.append(holds_passage(x, y, [(p["q_pos"], p["c_pos"]) for p in places[i].as_py()], words, per, longest, passages.PATTERN))
-        yield batch.select([0, 1]).filter(pa.array(np.array(good, bool)))
+        for i, (q, c, places) in enumerate(zip(q_ids, c_ids, batch.column(4).to_pylist())):
+            x, y = q_texts.of(q, batch.column(2)[i]), c_texts.of(c, batch.column(3)[i])
+            at = sorted((p["q_pos"], p["c_pos"]) for p in places if min(p["q_pos"], p["c_pos"]) >= 0)
+            found = holds_passage(x, y, at, words, per, longest, run)
+            if not found and len(at) < len(places):  # a run that one of them repeats
+                found = holds_passage(x, y, common_runs(x, y, run), words, per, longest, run)
+            good.append(found)
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
 def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", corpus_key: str = "article_id", text: str = "text") -> DataFrame:
@@ -45,12 +43,11 @@ def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", cor
     A passage ends in words that are equal (two after a change), as a change at its end can't be told from the end of a shorter quotation.
     Rows with a null key or text hold and leak nothing; repeated rows count once; empty tables give no row.
     """
-    q, c = _texts(tests, test_key, text), _texts(corpus, corpus_key, text)
-    places = passages.candidates(q, c).groupBy("q", "c").agg(F.collect_set(F.struct("q_pos", "c_pos")).alias("places"))  # at most one text's places
+    q, c = passages.texts(tests, test_key, text), passages.texts(corpus, corpus_key, text)
+    one = written(q.select("id", "text").dropDuplicates(["id"]), "p6-tests")
+    places = passages.candidates(one, c).groupBy("q", "c").agg(F.collect_set(F.struct("q_pos", "c_pos")).alias("places"))  # at most REPEATS squared for each run
     places = written(places, "p6-places")
-    one = lambda df, i: df.groupBy("id").agg(F.first("text").alias(f"{i}_text")).withColumnRenamed("id", i)
-    wanted = lambda df, i: df.join(places.select(F.col(i).alias("id")).distinct(), "id", "left_semi")
-    pairs = places.join(one(wanted(q, "q"), "q"), "q").join(one(wanted(c, "c"), "c"), "c").select("q", "c", "q_text", "c_text", "places")
-    found = pairs.mapInArrow(lambda it: _confirm(it, WORDS, PER, LONGEST), "q long, c long")
-    q_key, c_key = q.select(F.col("id").alias("q"), F.col("key").alias("test_key")).distinct(), c.select(F.col("id").alias("c"), F.col("key").alias("corpus_key")).distinct()
-    return found.join(q_key, "q").join(c_key, "c").select("corpus_key", "test_key").distinct()
+    pairs, c_key = passages.paired(places, one, c, "p6-texts")
+    found = pairs.select("q", "c", "q_text", "c_text", "places").mapInArrow(lambda it: _confirm(it, WORDS, PER, LONGEST), "q long, c long")
+    q_key = q.select(F.col("id").alias("q"), F.col("key").alias("test_key")).distinct()
+    return found.join(q_key, "q").join(c_key.withColumnRenamed("key", "corpus_key"), "c").select("corpus_key", "test_key").distinct()
