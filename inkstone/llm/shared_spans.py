@@ -117,10 +117,10 @@ def factors(records: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK)
     shared = index.groupBy("block").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("block")
     held = index.join(shared, "block", "left_semi").groupBy("rec").agg(F.collect_list("pos").alias("held"))  # at most a record's length
     phrases = written(texts.join(held, "rec").select("rec", "text", "held").mapInArrow(lambda it: _phrase_rows(it, block, min_words), "phrase long, check int, rec long, start int"), "p1-phrases")
-    place = F.struct("rec", "start")
-    known = phrases.groupBy("phrase", "check").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.rec <> hi.rec")
-    lo, hi = (F.when(F.col("rec") == F.col(f"{a}.rec"), F.col(b)).otherwise(F.col(a)) for a, b in (("lo", "hi"), ("hi", "lo")))
-    found = phrases.join(known, ["phrase", "check"]).select("rec", F.struct("start", lo.rec.alias("lo"), lo.start.alias("lo_at"), hi.rec.alias("hi"), hi.start.alias("hi_at")).alias("p"))
+    ends = [f("rec").alias(a) for a, f in (("lo", F.min), ("hi", F.max))] + [f("start", "rec").alias(f"{a}_at") for a, f in (("lo", F.min_by), ("hi", F.max_by))]
+    known = phrases.groupBy("phrase", "check").agg(*ends).where("lo <> hi")  # numbers only, which a hash aggregate takes
+    other = lambda a, b, c: F.when(F.col("rec") == F.col(a), F.col(b + c)).otherwise(F.col(a + c)).alias(a + c)
+    found = phrases.join(known, ["phrase", "check"]).select("rec", F.struct("start", other("lo", "hi", ""), other("lo", "hi", "_at"), other("hi", "lo", ""), other("hi", "lo", "_at")).alias("p"))
     each = found.groupBy("rec").agg(F.collect_set("p").alias("phrases"))  # at most a record's length
     made = each.mapInArrow(lambda it: _factor_rows(it, min_words), "rec long, first_word long, n_words long, ref long, ref_word long")
     return _named(written(made, "p1-factors"), records)
