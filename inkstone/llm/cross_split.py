@@ -53,11 +53,10 @@ def overlaps(evaluation: DataFrame, training: DataFrame, key: str = "article_id"
     Texts without words and rows with a null key or text overlap nothing; repeated rows count once.
     """
     q, c = passages.texts(evaluation, key, text), passages.texts(training, key, text)
-    one = written(q.select("id", "text").dropDuplicates(["id"]), "p7-evaluation")
+    one, stored = written(passages.unique(q), "p7-evaluation"), passages.unique(c)
     most = f"{CHANGED} * greatest(q_n, c_n)"
     alike = f"abs(q_n - c_n) <= {most} and (q_pos < 0 or c_pos < 0 or abs(q_pos - c_pos) <= {most})"  # an edit moves what follows by one word
-    pairs = written(passages.candidates(one, c, LONG, short=True).where(alike).select("q", "c").distinct(), "p7-pairs")
-    both, c_key = passages.paired(pairs, one, c, "p7-texts")
-    found = both.select("q", "c", "q_text", "c_text").mapInArrow(lambda it: _compare(it, CHANGED), "q long, c long, containment double, edits int")
-    q_key = q.select(F.col("id").alias("q"), F.col("key").alias("eval_key")).distinct()
-    return found.join(q_key, "q").join(c_key.withColumnRenamed("key", "train_key"), "c").select("eval_key", "train_key", "containment", "edits").distinct()
+    pairs = written(passages.candidates(one, stored, LONG, short=True).where(alike).select("q", "c").distinct(), "p7-pairs")
+    both = passages.paired(pairs, one, stored).select("q", "c", "q_text", "c_text")
+    found = written(both.mapInArrow(lambda it: _compare(it, CHANGED), "q long, c long, containment double, edits int"), "p7-found")
+    return passages.keys_of(passages.keys_of(found, "q", q, "eval_key"), "c", c, "train_key").select("eval_key", "train_key", "containment", "edits").distinct()

@@ -44,10 +44,9 @@ def leaks(tests: DataFrame, corpus: DataFrame, test_key: str = "article_id", cor
     Rows with a null key or text hold and leak nothing; repeated rows count once; empty tables give no row.
     """
     q, c = passages.texts(tests, test_key, text), passages.texts(corpus, corpus_key, text)
-    one = written(q.select("id", "text").dropDuplicates(["id"]), "p6-tests")
-    places = passages.candidates(one, c).groupBy("q", "c").agg(F.collect_set(F.struct("q_pos", "c_pos")).alias("places"))  # at most REPEATS squared for each run
+    one, stored = written(passages.unique(q), "p6-tests"), passages.unique(c)
+    places = passages.candidates(one, stored).groupBy("q", "c").agg(F.collect_set(F.struct("q_pos", "c_pos")).alias("places"))  # at most REPEATS squared for each run
     places = written(places, "p6-places")
-    pairs, c_key = passages.paired(places, one, c, "p6-texts")
-    found = pairs.select("q", "c", "q_text", "c_text", "places").mapInArrow(lambda it: _confirm(it, WORDS, PER, LONGEST), "q long, c long")
-    q_key = q.select(F.col("id").alias("q"), F.col("key").alias("test_key")).distinct()
-    return found.join(q_key, "q").join(c_key.withColumnRenamed("key", "corpus_key"), "c").select("corpus_key", "test_key").distinct()
+    pairs = passages.paired(places, one, stored).select("q", "c", "q_text", "c_text", "places")
+    found = written(pairs.mapInArrow(lambda it: _confirm(it, WORDS, PER, LONGEST), "q long, c long"), "p6-found")
+    return passages.keys_of(passages.keys_of(found, "q", q, "test_key"), "c", c, "corpus_key").select("corpus_key", "test_key").distinct()

@@ -281,17 +281,27 @@ def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
 
 
+def unique(docs: DataFrame) -> DataFrame:
+    """(id, text) of docs, each id once. Only texts that stand in several rows are moved, if their ids may go to every task."""
+    rows = docs.select("id", "text")
+    again = written(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if again.count() > MOST_IDS:
+        return rows.dropDuplicates(["id"])
+    ids = F.broadcast(again)
+    return rows.join(ids, "id", "left_anti").unionByName(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+
 def candidates(queries: DataFrame, stored: DataFrame, plain: int = 0, short: bool = False) -> DataFrame:
     """Places (q, c, q_pos, c_pos, q_n, c_n) at which a stored text may hold 40 words of a query text.
 
-    queries: id and text, each id once. stored: id and text, where equal texts have equal ids; copies count once, and
-    are put together before the join, so that a run which very many stored texts have is only ever a plain, splittable
-    side of it. plain: for two texts of fewer words a common pattern is enough, whatever stands around it.
+    queries, stored: id and text, each id once (see unique); so a run that very many stored texts have is a plain side
+    of the join, which may be split. plain: for two texts of fewer words a common pattern is enough, whatever stands
+    around it.
     """
     tables = queries.sparkSession.sparkContext.broadcast(Tables(queries, short))  # of a fixed size
     side = lambda df, x: df.select("g", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "pos", "n", "before", "after")))
     a = side(seeds(queries, tables, False, plain, short), "q")
-    b = side(seeds(stored, tables, True, plain, short).distinct(), "c")
+    b = side(seeds(stored, tables, True, plain, short), "c")
     like = lambda s: f"bit_count(q_{s} & ~c_{s}) <= {LOST_BITS} and bit_count(c_{s} & ~q_{s}) <= {LOST_BITS}"
     left = f"q_pos >= {CONTEXT} and c_pos >= {CONTEXT - LOST_BITS} and {like('before')}"
     right = f"q_n - q_pos >= {PATTERN + CONTEXT} and c_n - c_pos >= {PATTERN + CONTEXT - LOST_BITS} and {like('after')}"
@@ -299,16 +309,20 @@ def candidates(queries: DataFrame, stored: DataFrame, plain: int = 0, short: boo
     return a.join(b, "g").where(kept).select(F.col("q_id").alias("q"), F.col("c_id").alias("c"), "q_pos", "c_pos", "q_n", "c_n")
 
 
-def paired(pairs: DataFrame, queries: DataFrame, stored: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs with q_text and c_text, keys (c, key) of the stored texts in pairs); pairs is a written table of q, c and more.
+def paired(pairs: DataFrame, queries: DataFrame, stored: DataFrame) -> DataFrame:
+    """pairs, a written table of q, c and more, with q_text and c_text; queries, stored: id and text, each id once.
 
     The ids of up to MOST_IDS pairs go to the tasks that read the stored texts, so that only texts in pairs are moved.
     """
     ids = pairs.select(F.col("c").alias("id")).distinct()
-    wanted = written(stored.join(F.broadcast(ids) if pairs.count() <= MOST_IDS else ids, "id", "left_semi"), label)
-    one = wanted.select(F.col("id").alias("c"), F.col("text").alias("c_text")).dropDuplicates(["c"])
-    both = pairs.join(queries.select(F.col("id").alias("q"), F.col("text").alias("q_text")), "q").join(one, "c")
-    return both, wanted.select(F.col("id").alias("c"), "key").distinct()
+    wanted = stored.join(F.broadcast(ids) if pairs.count() <= MOST_IDS else ids, "id", "left_semi")
+    one = lambda df, x: df.select(F.col("id").alias(x), F.col("text").alias(f"{x}_text"))
+    return pairs.join(one(queries, "q"), "q").join(one(wanted, "c"), "c")
+
+
+def keys_of(found: DataFrame, side: str, docs: DataFrame, name: str) -> DataFrame:
+    """found with the keys of its texts: a row for each record that has the text. docs: id, key."""
+    return found.join(docs.select(F.col("id").alias(side), F.col("key").alias(name)).distinct(), side)
 
 
 class Texts(OrderedDict):
