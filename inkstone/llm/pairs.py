@@ -1,8 +1,9 @@
 """Problem 4: broken prompt and response pairs, by ordered rules that emit every defect they see.
 
-Emptiness, refusal phrases in eight languages, copied prompts, another script or language, and abrupt endings. A last
-line without a full stop is no cut if it is a sign-off, label, heading or mark after a whole sentence; headings are
-told by the words of the titles in the data, which are joined, not gathered.
+Emptiness, refusals in eight languages, copied prompts and prefixes, another script or language, unclosed delimiters
+and abrupt endings. Every rule reads the whole body. A last line without a full stop is no cut if it is a sign-off,
+label, heading or mark after a whole sentence; headings are told by the words of the titles in the data, which are
+joined, not gathered. Scripts are compared first; the language models of problem 10 tell languages of one script.
 """
 
 from __future__ import annotations
@@ -20,15 +21,12 @@ from inkstone.plans.lineage import written
 
 #: In the order of their weight: a pair with several defects is named after the first.
 DEFECTS = ("empty", "refusal", "copy", "wrong_lang", "truncated")
-REFUSAL_WORDS = 160
-REFUSAL_SENTENCES = 4
 COPIED = 0.6
 COPY_SHINGLE = 3
+#: A body that begins with the whole prompt is a copy if the prompt makes up so much of it.
+PREFIX = 1 / 3
 FOREIGN = 0.5
 HEADING_WORDS = 14
-#: No stand-in has more words, whatever hidden characters stand in it.
-STAND_IN_WORDS = 4
-
 #: Pairs whose words are scored together.
 ROWS = 500
 
@@ -38,33 +36,62 @@ STAND_INS = frozenset(
     "leer|kein text|keine antwort|vide|aucun|aucune réponse|vacío|sin respuesta|ninguno|vuoto|nessuno|vazio|nenhum|leeg|geen|нет|пусто|coming soon|lorem ipsum".split("|")
 )
 
-_TASK = r"(?:request|assignment|task|brief|piece|text|essay|article|column|prompt|this|that|it|one|you|something|so|“[^”]*”|\"[^\"]*\")"
-#: How an answer declines its task, by language.
-REFUSALS = (
-    rf"\bI(?:’m| am|'m)?\s*(?:sorry,? but I )?(?:can ?not|can[’']t|won[’']t|will not|could not|am unable to|am not able to|must decline to|have to decline to|need to decline to|respectfully decline to)\s+(?:\w+ ){{0,2}}?(?:write|help|assist|fulfil|fulfill|complete|comply|produce|provide|create|recreate|do|generate|accept|answer|imitate|continue|take on)\b(?! noticing| but)",
-    rf"\bI(?:’m|'m| am) (?:not able|unable) to\b[^.]*{_TASK}",
-    r"\bI (?:have|need|must) to (?:decline|refuse)\b[^.,]*\b(?:request|assignment|task|brief|piece|this)\b",
-    r"\bI (?:must |have to |will )?(?:respectfully |politely )?(?:pass on|decline|refuse) (?:it|this|that|the|your)\b(?:[^.,]*)[.!]?$",
-    r"^Sorry,? (?:I )?(?:can[’']t|cannot|can not|won[’']t) (?:do|help|write)",
-    r"\bnot something I (?:can|could|will|am able to) do\b",
-    r"\banswer has to be no\b",
-    r"\b(?:would|is) not (?:be )?(?:appropriate|right|possible) for me to\b",
-    r"\bgoes against (?:the|my) (?:guidelines|rules|polic)",
-    r"\bAs an? (?:AI|artificial intelligence|large language model|language model|virtual assistant|AI assistant|AI model)\b[^.]*\b(?:cannot|can[’']t|decline|unable|not able)",
-    r"\b(?:es tut mir leid|tut mir leid|leider|entschuldigung)\b[^.]*\b(?:kann|darf|möchte|werde)\b[^.]*\bnicht\b",
-    r"\bich (?:kann|darf|werde|möchte)\b[^.]*\bnicht (?:helfen|schreiben|verfassen|erstellen|erfüllen|dienen|nachkommen|übernehmen|ausführen|bearbeiten)\b|\bich (?:muss|möchte)\b[^.]*\bablehnen\b",
-    r"\b(?:il m[’']est impossible|je (?:ne peux|ne puis|suis incapable|dois (?:refuser|décliner)|refuse)|je suis (?:désolée?)|désolée?,)\b[^.]*\b(?:demande|tâche|texte|cela|aider|écrire|répondre|article|pas)\b",
-    r"\b(?:lo siento|no puedo|me es imposible|debo (?:rechazar|declinar)|no me es posible|lamento)\b[^.]*\b(?:escribir|ayudar|texto|tarea|solicitud|petición|encargo|hacer|cumplir|artículo)\b",
-    r"\b(?:mi dispiace|non posso|mi è impossibile|devo (?:rifiutare|declinare))\b[^.]*\b(?:scrivere|aiutare|testo|richiesta|compito|articolo|questo)\b",
-    r"\b(?:lamento|desculpe|sinto muito|não posso|não consigo|devo recusar)\b[^.]*\b(?:escrever|ajudar|texto|pedido|tarefa|artigo|isso)\b",
-    r"\b(?:het spijt me|sorry)\b[^.]*\b(?:kan|mag)\b[^.]*\bniet\b|\bik (?:kan|mag|moet)\b[^.]*\b(?:niet (?:schrijven|helpen|maken|uitvoeren)|weigeren|afwijzen)\b",
-    r"\b(?:извините|простите|к сожалению|я не могу|вынужден\w* отказать\w*|не могу)\b[^.]*\b(?:написать|помочь|выполнить|текст|просьб\w*|задани\w*|запрос\w*|не могу)\b",
+_THING = r"(?:request|assignments?|task|brief|commission|piece|texts?|essays?|articles?|columns?|stor(?:y|ies)|prompt|work|answer|response|reply|draft|content|opinion)"
+_MAKE = r"(?:write|compose|draft|produce|create|generate|provide|supply|deliver|prepare|continue|finish|complete|do|take(?: on)?|accept|answer|make|offer|submit|handle|go through with)"
+_COPY = r"(?:imitate|mimic|impersonate|recreate|re-create|reproduce|fulfil|fulfill|comply|assist|help(?: you)?(?: out)?(?: with)?)"
+_CANNOT = r"(?:can ?not|can[’']t|won[’']t|will not|could not|couldn[’']t|wouldn[’']t|would not|(?:am|[’']m) (?:simply |just )?(?:not able|unable|not willing|unwilling|not allowed|not permitted|not in a position|not comfortable|not going)|(?:will not|won[’']t|would not|wouldn[’']t) be able|would rather not|[’']d rather not|(?:would )?prefer not|do not want|don[’']t want|must decline|have to decline|need to decline|decline|refuse|must refuse|have to refuse)"
+_OBJECT = rf"(?:(?:this|that|it|one|so)\b(?! (?:again|any ?more|any longer))|(?:an?|the|your|any|such an?|these|those|this|that)\s+(?:[\w-]+\s+){{0,3}}?{_THING}\b|“[^”]*”|\"[^\"]*\")"
+_UNWILLING = (
+    "can't can’t cannot won't won’t unable unwilling declin refus".split()
+    + "can not,will not,could not,couldn't,couldn’t,would not,wouldn't,wouldn’t,'d rather,’d rather,would rather,not able,not willing,not allowed,not permitted,not in a position,not comfortable,not going,prefer not,not want,don't want,don’t want".split(",")
 )
+#: How an answer declines its task: words of which a sentence has one (in lower case), and what it says.
+REFUSALS = (
+    (_UNWILLING, rf"\bI\b[^.!?]{{0,60}}?{_CANNOT}\s+(?:to\s+)?(?:\w+ly )?(?:{_COPY}\b(?! (?:but|\w+ing)\b)|{_MAKE}\s+(?:you\s+|up\s+|for you\s+)?{_OBJECT})"),
+    (("sorry", "apolog", "unfortunately"), rf"^\W*(?:sorry|apologies|unfortunately)\b[^.!?]{{0,20}}?{_CANNOT}\s+(?:to\s+)?(?:{_MAKE}|{_COPY})\b"),
+    (("pass on", "declin", "refus", "reject", "turn down"), rf"\bI (?:have to |must |need to |will )?(?:respectfully |politely |kindly )*(?:pass on|decline|refuse|reject|turn down) (?:it\b|this|that|{_OBJECT})"),
+    (("not something", "nothing"), rf"\b{_THING}\b[^.!?]* (?:is|are) (?:not something|nothing) (?:that )?I\b|\bnot something (?:that )?I (?:can|could|will|would|am able to|am willing to|feel able to) (?:do|write|help|provide|offer|produce)"),
+    (("be no", "is no", "say no"), r"\bmy answer (?:has to be|must be|is|will be) no\b|\bI (?:have|need) to say no\b"),
+    (("for me to",), rf"\b(?:would|is|will)(?: not|n[’']t) (?:be )?(?:appropriate|right|possible|acceptable|proper) for me to (?:{_MAKE}|{_COPY})\b"),
+    (("goes against", "runs against", "counter to"), rf"\b(?:this|that|the|your|such an?) {_THING} (?:goes|runs) (?:against|counter to)\b"),
+    (("as an ai", "as a large", "as a language", "as a virtual", "as an artificial"), r"\bas an? (?:ai|artificial intelligence|(?:large )?language model|(?:virtual|ai) assistant|ai model)\b[^.!?]*\b(?:cannot|can[’']t|decline|unable|not able)\b"),
+    (
+        ("nicht", "ablehn", "verweiger", "außerstande", "verzicht"),
+        r"^(?=.*\b(?:aufgabe|auftrag|anfrage|bitte|wunsch|text|aufsatz|artikel|essay|kolumne|beitrag|stück|dabei|schreiben|verfassen|erstellen|nachahmen|imitieren|helfen|dienen|übernehmen|nachkommen))"
+        r"(?=.*\bich\b).*(?:\b(?:kann|darf|will|werde|möchte|mag)\b.*\bnicht\b|\b(?:ablehn|verweiger|außerstande|verzicht))",
+    ),
+    (
+        ("je ne", "je n’", "je n'", "je dois", "je préfère", "je me vois", "je refuse", "je décline", "impossible", "désolé"),
+        r"^(?=.*\b(?:demande|tâche|consigne|commande|texte|article|essai|chronique|écrire|rédiger|composer|imiter|aider|répondre|cela)).*"
+        r"(?:\bje (?:ne |n[’'])(?:peux|puis|saurais|pourrai|veux|souhaite|suis pas en mesure)|\bje (?:dois|préfère|me vois)\b.*\b(?:refus|déclin|ne pas)|\bje (?:refuse|décline)\b|\bil m[’']est impossible|\bdésolée?\b.*\b(?:ne|n[’'])\b)",
+    ),
+    (
+        ("no puedo", "no podré", "no voy", "no me es", "no quiero", "no soy capaz", "me es imposible", "rechazar", "declinar", "prefiero no", "me niego"),
+        r"^(?=.*\b(?:solicitud|petición|encargo|tarea|texto|artículo|ensayo|columna|escribir|redactar|componer|imitar|ayudar|hacerlo|esto))"
+        r".*\b(?:no puedo|no podré|no voy a|no me es posible|no quiero|no soy capaz|me es imposible|(?:debo|tengo que|he de) (?:rechazar|declinar)|prefiero no|me niego a)\b",
+    ),
+    (
+        ("non posso", "non potrò", "non sono in grado", "è impossibile", "rifiut", "declinare", "preferisco non"),
+        r"^(?=.*\b(?:richiesta|compito|incarico|testo|articolo|saggio|scrivere|redigere|comporre|imitare|aiutare|farlo|questo)).*\b(?:non posso|non potrò|non sono in grado|mi è impossibile|(?:devo|debbo) (?:rifiutare|declinare)|preferisco non|mi rifiuto)\b",
+    ),
+    (
+        ("não posso", "não poderei", "não vou", "não consigo", "não me é", "recus", "declinar", "prefiro não"),
+        r"^(?=.*\b(?:pedido|tarefa|encomenda|texto|artigo|ensaio|escrever|redigir|compor|imitar|ajudar|fazê-lo|isso|isto)).*\b(?:não posso|não poderei|não vou|não consigo|não me é possível|(?:devo|tenho de|tenho que) (?:recusar|declinar)|prefiro não|recuso-me)\b",
+    ),
+    (("niet", "weiger", "afwijzen"), r"^(?=.*\b(?:verzoek|opdracht|taak|tekst|artikel|essay|stuk|schrijven|opstellen|nabootsen|imiteren|helpen|hierbij|dit)\b)(?=.*\bik\b).*(?:\b(?:kan|mag|wil|zal|ga)\b.*\bniet\b|\b(?:weiger|afwijzen))"),
+    (
+        ("не могу", "не смогу", "не буду", "не стану", "не хочу", "отказ", "отклон"),
+        r"^(?=.*(?:просьб|задани|запрос|текст|стать|эссе|написать|сочинить|помочь|выполнить|подражать|имитировать)).*(?:\bне (?:могу|смогу|буду|стану|хочу)\b|\bвынужден\w* отказ|\bотказываюсь\b|\bотклон)",
+    ),
+)
 
 _BARE = W.PlainHashes()
 _HIDDEN = re.compile("[\\s​-‏‪-‮⁠﻿­­]+")
-_REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I)
-_NARRATED = re.compile(r"\b(?:he|she|they|we|clerk|minister) (?:said|says|wrote|told|replied|answered)\b|\b(?:wrote back|the end of it)\b|^\W*(?:he|she|they)\b", re.I)
+_REFUSAL = [(stems, re.compile(x, re.I | re.S)) for stems, x in REFUSALS]
+_SPOKEN = re.compile("“[^“”\r\n]*”|\"[^\"\r\n]*\"|«[^«»\r\n]*»|„[^„“”\r\n]*[“”]")
+_OPEN, _CLOSE = "([{«„", ")]}»"
+_SCRIPTS = re.compile("([A-Za-zÀ-ʯ]+)|([Ѐ-ԯ]+)|([Ͱ-Ͽ]+)|([֐-׿]+)|([؀-ۿ]+)|([ऀ-ॿ]+)|([぀-ヿ一-鿿가-힯]+)")
+_REMARK = re.compile(r"[(\[{<*_]+[^()\[\]{}<>.!?\r\n]+[)\]}>*_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSERS = "\"'”’»)]}*_ "
@@ -77,24 +104,33 @@ _DOTS = re.compile(r"(?:\.\.+|…)[\"'”’»)\]]*$")
 
 
 def is_empty(body: str | None) -> bool:
-    """Null, blank, only marks, or a stand-in for no content."""
+    """Null, blank, only marks, stand-ins for no content, or one bracketed remark in its place."""
     if body is None or not _ALNUM.search(body):
         return True
-    if len(body.split()) > STAND_IN_WORDS:
-        return False
-    bare = _HIDDEN.sub(" ", body).strip().strip("\"'“”‘’«»()[]{}<>*_-–—.… ").lower()
-    return not bare or bare in STAND_INS
+    if _REMARK.fullmatch(body.strip()):
+        return True
+    lines = [_HIDDEN.sub(" ", x).strip("\"'“”‘’«»()[]{}<>*_-–—.…: ").lower() for x in re.split(r"[\r\n]+|\*\s+\*", body)]
+    return all(not x or x in STAND_INS or not _ALNUM.search(x) for x in lines)
 
 
 def is_refusal(body: str) -> bool:
-    """A short answer that declines the task in one of its first sentences; telling of others who declined is none."""
-    if len(body.split()) > REFUSAL_WORDS:
-        return False
-    return any(_REFUSAL.search(s) and not _NARRATED.search(s) for s in _SENTENCE.split(body.strip())[:REFUSAL_SENTENCES])
+    """A sentence of the body declines the task. Speech in quotation marks is another's, unless all of the body is quoted."""
+    body = body.strip()
+    if body[:1] in "“\"«„" and body[-1:] in "”\"»“":
+        body = body[1:-1]
+    low = body.lower()
+    rules = [r for r in _REFUSAL if any(x in low for x in r[0])]
+    for s in _SENTENCE.split(_SPOKEN.sub('"…"', body)) if rules else ():
+        low = s.lower()
+        for stems, says in rules:
+            if any(x in low for x in stems) and says.search(s):
+                return True
+    return False
 
 
 def is_copy(body: str, prompt: str | None) -> bool:
-    """Most words of the body stand in word triples of the prompt, and these make up most of the prompt."""
+    """Most words of the body stand in word triples of the prompt, and these make up most of the prompt; or the body
+    begins with the prompt, and that is a good part of it."""
     if not prompt:
         return False
     a, b = (np.array([h for w in t.lower().split() if (h := _BARE[w])], np.uint64) for t in (prompt, body))
@@ -110,9 +146,37 @@ def is_copy(body: str, prompt: str | None) -> bool:
         on[1:-1] |= on[:-2] & on[2:]  # a single changed word between copied ones
         return float(on.mean())
 
+    if len(b) * PREFIX <= len(a) <= len(b) and (a == b[: len(a)]).all():
+        return True
     return covered(b, a) >= COPIED and covered(a, b) >= 0.5
 
 
+def is_open(body: str) -> bool:
+    """A code fence that isn't closed, or a bracket or quotation mark that the last paragraph opens and doesn't close."""
+    if body.count("```") % 2:
+        return True
+    last = re.split(r"(?:\r?\n\s*){2,}|</p>", body.rstrip())[-1]
+    depth = {}
+    for i, c in enumerate(last):
+        if c in _OPEN:
+            depth[c] = depth.get(c, 0) + 1
+        elif c in _CLOSE and (o := _OPEN[_CLOSE.index(c)]) in depth:
+            depth[o] -= 1
+        elif c in "“”" and depth.get("„"):
+            depth["„"] -= 1
+    return any(n > 0 for n in depth.values()) or last.count("“") > last.count("”") + last.count("„")
+
+
+def script(text: str) -> int | None:
+    """The script that most letters of a text are of, by number; None without letters of a known one."""
+    if text.isascii():
+        return 1 if _ALNUM.search(text) else None
+    sizes = {}
+    for m in _SCRIPTS.finditer(text):
+        sizes[m.lastindex] = sizes.get(m.lastindex, 0) + len(m.group())
+    return max(sizes, key=sizes.get) if sizes else None
+
+
 def ending(body: str) -> tuple[str, list[str]]:
     """`whole`, `cut`, or `heading` with the words of a last line that may be one."""
     lines = [x for x in (y.strip() for y in re.split(r"[\r\n]+|</p>", body)) if x and x not in ("<p>", "</p>")]
@@ -143,15 +207,17 @@ def ending(body: str) -> tuple[str, list[str]]:
 
 
 def is_foreign(body: str, prompt: str | None, scorer: lang_labels.Scorer) -> bool:
-    """Most words of the body stand in sentences of another language than the prompt's; or in another script."""
+    """Most letters of the body are of another script than the prompt's, or most of its words stand in sentences of another language."""
     if not prompt:
         return False
-    texts = [_kn.clean(t).split() for t in (prompt, body)]
+    clean = [_kn.clean(t) for t in (prompt, body)]
+    if None not in (scripts := [script(t) for t in clean]) and scripts[0] != scripts[1]:
+        return True
+    texts = [t.split() for t in clean]
     rows = scorer.rows(texts)
     asked, said = scorer.scores[rows[0]].sum(axis=0, dtype=np.float64), scorer.scores[rows[1]]
-    total = said.sum(axis=0, dtype=np.float64)
     own = int(asked[:-1].argmax())
-    if not asked[-1] or not total[-1] or total[:-1].argmax() == own:  # no word outweighs others, so most are in the best language
+    if not asked[-1] or not said[:, -1].any():
         return False
     ended = np.fromiter((w[-1] in ".!?" or w.rstrip(_CLOSERS)[-1:] in (".", "!", "?") for w in texts[1]), bool, len(said))
     begins = np.concatenate([[0], np.flatnonzero(ended[:-1]) + 1])
@@ -172,7 +238,7 @@ def _judged(batches, model):
                 continue
             short = bool(count) and 2 * len(body.split()) < count
             end, heading = ending(body)
-            rows.append((rec, False, is_refusal(body), is_copy(body, prompt), is_foreign(body, prompt, scorer), short or end == "cut", heading if end == "heading" and not short else None))
+            rows.append((rec, False, is_refusal(body), is_copy(body, prompt), is_foreign(body, prompt, scorer), short or end == "cut" or is_open(body), heading if end == "heading" and not short else None))
         cols = list(zip(*rows)) or [()] * 7
         types = [batch.schema.field(0).type, *[pa.bool_()] * 5, pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", *DEFECTS, "heading"])
@@ -181,13 +247,14 @@ def _judged(batches, model):
 def defects(pairs: DataFrame, titles: DataFrame, samples: DataFrame, key: str = "rec_id") -> DataFrame:
     """(key, defect, rank): every defect of every pair, rank 1 being the one it is named after.
 
-    pairs: key, body, word_count, prompt, one row a key. A null prompt can be neither copied nor in another language,
+    pairs: key, body, word_count, prompt; repeated rows of a key are judged once each and count once, so that bodies
+    aren't moved to be told apart. A null prompt can be neither copied nor in another language,
     a null word_count proves no truncation. titles: title, whose words tell headings; nulls are ignored.
     """
     kind = pairs.schema[key].dataType.simpleString()
     model = lang_labels.broadcast_model(samples)
     flags = ", ".join(f"{d} boolean" for d in DEFECTS)
-    judged = written(pairs.select(F.col(key).alias("key"), "body", "word_count", "prompt").mapInArrow(lambda it: _judged(it, model), f"key {kind}, {flags}, heading array<string>"), "p4-judged")
+    judged = written(pairs.select(F.col(key).alias("key"), "body", "word_count", "prompt").mapInArrow(lambda it: _judged(it, model), f"key {kind}, {flags}, heading array<string>").dropDuplicates(["key"]), "p4-judged")
     split = F.split(F.lower(F.trim("title")), r"(?U)\s+")
     word = titles.where("title is not null").select(F.posexplode(split).alias("at", "word"), F.size(split).alias("n")).groupBy("word").agg(F.max((F.col("at") == F.col("n") - 1)).alias("last"))
     asked = judged.where("heading is not null").select("key", F.size("heading").alias("n"), F.posexplode("heading").alias("at", "word"))

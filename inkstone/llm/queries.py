@@ -79,9 +79,8 @@ def p3_found(spark, d):
 def p4_defects(spark, d):
     detail = _t(spark, d, "detail")
     prompt = detail.where("assignment is not null").groupBy("article_id", "model_slug").agg(F.max("assignment").alias("prompt"))
-    recreations = _t(spark, d, "recreation").where("rec_id is not null").dropDuplicates(["rec_id"])
+    recreations = _t(spark, d, "recreation").where("rec_id is not null")
     both = recreations.join(prompt, ["article_id", "model_slug"], "left").select("rec_id", "body", "word_count", "prompt")
-    both = both.repartition(spark.sparkContext.defaultParallelism)  # judging a pair takes longer than moving it
     return pairs.defects(both, detail.select("title"), _t(spark, d, "lang_samples"))
 
 

@@ -285,6 +285,33 @@ def library():
     return t
 
 
+@pytest.mark.parametrize("text", [
+    "I'm sorry, the minister wrote about this before and I cannot write this essay.", "I won't be able to imitate her.", "Apologies: I’d rather not compose an article in her voice.", "My answer has to be no.",
+    "Diese Aufgabe muss ich leider ablehnen.", "Je dois décliner cette tâche.", "No me es posible ayudar con esta petición.", "Non posso scrivere questo articolo.", "Não posso escrever este texto.", "Ik kan deze tekst niet schrijven.", "Я не могу написать этот текст.",
+    " ".join(["The town waits."] * 120) + " I must decline this request.", "“I cannot help with that.”",
+])
+def test_refusals_of_any_length_and_language(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", [
+    "I will not write about the weather again, I promised, and here I am.", "I cannot help noticing the bridge.", "The clerk said: “I cannot write this essay.” So it went.", "The town cannot afford it, and I will not miss it.",
+    "Ich kann den Fluss nicht sehen.", "Non posso dormire.", "He declined the request.",
+])
+def test_no_refusals(text):
+    assert not pairs.is_refusal(text)
+
+
+def test_delimiters_prefixes_remarks_and_scripts():
+    whole = "It was late. The town slept."
+    assert not pairs.is_open(whole) and not pairs.is_open("He said (twice) “no”. „Ja“, sagte er.")
+    assert all(pairs.is_open(x) for x in (whole + " It was [late.", "```\ncode.", whole + " “And so on."))
+    ask = "Write forty words about the bridge over the river and close with a memory of school."
+    assert pairs.is_copy(ask + " " + " ".join(say(20)), ask) and not pairs.is_copy(ask + " " + " ".join(say(200)), ask)
+    assert pairs.is_empty("[intentionally left blank by the author here]") and pairs.is_empty("* * * null * * *") and pairs.is_empty("N/A\nN/A") and not pairs.is_empty("[He slept.] Then he woke.")
+    assert pairs.script("Мост over") == 2 and pairs.script("abc") == 1 and pairs.script("123 …") is None
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_encoding_equals_the_library(text):
