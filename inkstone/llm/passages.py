@@ -99,7 +99,7 @@ def _short(hashes, ends):
 
 
 def _table_rows(batches, short: bool):
-    """(kind, part, slot, n): kind 0 the number of patterns in an entry of the occupancy table, kind 1 the least shift of a block."""
+    """(kind, part, slots, n), packed: kind 0 the number of patterns in entries of the occupancy table, kind 1 the least shift of blocks."""
     for batch in batches:
         for _, ends, hashes in W.blocks(batch.column(1), True, _CACHE):
             gram, at = _patterns(hashes, W.room(ends, len(hashes)))
@@ -115,26 +115,26 @@ def _table_rows(batches, short: bool):
 
 
 def _table_batch(kind, slot, n, bits):
-    part = slot >> (bits - PARTS_BITS)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind, np.int8)), pa.array(part.astype(np.int32)), pa.array((slot - (part << (bits - PARTS_BITS))).astype(np.int32)), pa.array(n.astype(np.int32))], ["kind", "part", "slot", "n"])
+    """A row for each part that has slots; they are in order."""
+    edge = np.searchsorted(slot, np.arange((1 << PARTS_BITS) + 1) << (bits - PARTS_BITS))
+    part = np.flatnonzero(np.diff(edge))
+    packed = lambda x: pa.array([x[edge[p] : edge[p + 1]].astype(np.int32).tobytes() for p in part], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.astype(np.int32)), packed(slot & ((1 << bits - PARTS_BITS) - 1)), packed(n)], ["kind", "part", "slots", "n"])
 
 
 def _add_up(batches, crowd: int, times: int):
     """(kind, part, bits, crowded) of the parts in a task: packed bits, or a byte for each shift."""
     counts, shifts = {}, {}
     for batch in batches:
-        kind, part, slot, n = (batch.column(i).to_numpy() for i in range(4))
-        for p in np.unique(part):
-            for k, store, size in ((0, counts, HASH_BITS - PARTS_BITS), (1, shifts, SHIFT_BITS - PARTS_BITS)):
-                here = (part == p) & (kind == k)
-                if not here.any():
-                    continue
-                if p not in store:
-                    store[p] = np.full(1 << size, PATTERN - SHIFT_BLOCK + 1, np.uint8) if k else np.zeros(1 << size, np.int64)
-                if k:
-                    np.minimum.at(store[p], slot[here], n[here].astype(np.uint8))
-                else:
-                    np.add.at(store[p], slot[here], n[here])
+        for kind, part, slots, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            slot, n = np.frombuffer(slots, np.int32), np.frombuffer(n, np.int32)  # a slot stands in a row once
+            if kind:
+                table = shifts.setdefault(part, np.full(1 << SHIFT_BITS - PARTS_BITS, PATTERN - SHIFT_BLOCK + 1, np.uint8))
+                table[slot] = np.minimum(table[slot], n)
+            else:
+                if part not in counts:
+                    counts[part] = np.zeros(1 << HASH_BITS - PARTS_BITS, np.int64)
+                counts[part][slot] += n
     for p, c in counts.items():
         bits = [np.packbits(x).tobytes() for x in (c > 0, c > crowd + times * c.mean())]
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([p], pa.int32()), *(pa.array([b]) for b in bits)], ["kind", "part", "bits", "crowded"])
@@ -146,7 +146,7 @@ class Tables:
     """The fixed-size tables of a set of query texts: occupied and crowded entries, and the shifts of blocks."""
 
     def __init__(self, queries: DataFrame, short: bool = False):
-        rows = queries.select("id", "text").where("text is not null").mapInArrow(lambda it: _table_rows(it, short), "kind byte, part int, slot int, n int")
+        rows = queries.select("id", "text").where("text is not null").mapInArrow(lambda it: _table_rows(it, short), "kind byte, part int, slots binary, n binary")
         crowd, times = CROWD, CROWD_TIMES
         parts = rows.repartition(1 << PARTS_BITS, "part").mapInArrow(lambda it: _add_up(it, crowd, times), "kind byte, part int, bits binary, crowded binary").toArrow()  # the tables' own size
         size = (1 << HASH_BITS - PARTS_BITS) >> 3
