@@ -76,21 +76,22 @@ def fit(samples: DataFrame, lang: str = "lang", text: str = "text", key: str = "
 
 
 class Scorer:
-    """Scores of words, remembered by a worker: raw word -> row of scores."""
+    """Scores of words, and whether they end a sentence, remembered by a worker: raw word -> row."""
 
     def __init__(self, languages: _kn.Languages):
         self.languages, self.row = languages, {}
-        self.scores = np.zeros((0, len(languages.names) + 1), np.float32)
+        self.scores, self.ended = np.zeros((0, len(languages.names) + 1), np.float32), np.zeros(0, bool)
 
     def rows(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Row numbers in self.scores of each document's words."""
         new = list({w for words in docs for w in words} - self.row.keys())
         if len(self.row) + len(new) > CACHE_WORDS:
-            self.row, self.scores = {}, self.scores[:0]
+            self.row, self.scores, self.ended = {}, self.scores[:0], self.ended[:0]
             new = list({w for words in docs for w in words})
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
         if new:
             self.scores = np.concatenate([self.scores, bounded(self.languages.score([_kn.letters(w) for w in new])).astype(np.float32)])
+            self.ended = np.concatenate([self.ended, np.fromiter((bool(_ENDED.search(w)) for w in new), bool, len(new))])
         return [np.fromiter(map(self.row.__getitem__, words), np.int64, len(words)) for words in docs]
 
 
@@ -156,8 +157,7 @@ def label(texts: list, scorer: Scorer, most: float) -> list[list[tuple]]:
     while doubtful:
         many = max(1, TOGETHER // len(docs[doubtful[0]]))
         part, doubtful = doubtful[:many], doubtful[many:]
-        ended = [np.fromiter((bool(_ENDED.search(w)) for w in docs[i]), bool, len(docs[i])) for i in part]
-        for i, state in zip(part, _decode([scorer.scores[rows[i]][:, :-1] for i in part], ended)):
+        for i, state in zip(part, _decode([scorer.scores[rows[i]][:, :-1] for i in part], [scorer.ended[rows[i]] for i in part])):
             edge = np.concatenate([[0], np.flatnonzero(np.diff(state)) + 1, [len(state)]])
             for b, e in zip(edge[:-1], edge[1:]):
                 t = scorer.scores[rows[i][b:e]].sum(axis=0, dtype=np.float64)

@@ -87,12 +87,14 @@ REFUSALS = (
 
 _BARE = W.PlainHashes()
 _HIDDEN = re.compile("[\\s​-‏‪-‮⁠﻿­­]+")
-_REFUSAL = [(stems, re.compile(x, re.I | re.S)) for stems, x in REFUSALS]
+_REFUSAL = [(frozenset(stems), re.compile(x, re.I | re.S)) for stems, x in REFUSALS]
+_STEMS = sorted({x for stems, _ in REFUSALS for x in stems})
 _SPOKEN = re.compile("“[^“”\r\n]*”|\"[^\"\r\n]*\"|«[^«»\r\n]*»|„[^„“”\r\n]*[“”]")
 _OPEN, _CLOSE = "([{«„", ")]}»"
 _SCRIPTS = re.compile("([A-Za-zÀ-ʯ]+)|([Ѐ-ԯ]+)|([Ͱ-Ͽ]+)|([֐-׿]+)|([؀-ۿ]+)|([ऀ-ॿ]+)|([぀-ヿ一-鿿가-힯]+)")
+_OTHER_SCRIPT = re.compile("[Ͱ-ԯ֐-ۿऀ-ॿ぀-ヿ一-鿿가-힯]")
 _REMARK = re.compile(r"[(\[{<*_]+[^()\[\]{}<>.!?\r\n]+[)\]}>*_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+")
+_STOP = re.compile(r"[.!?][\"'”’»)\]]*\s+")
 _ALNUM = re.compile(r"[^\W_]")
 _CLOSERS = "\"'”’»)]}*_ "
 _LABEL = re.compile(r"[^\W\d_][\w ]{0,30}:\s*\S[^.!?]{0,60}$")
@@ -119,8 +121,9 @@ def is_refusal(body: str) -> bool:
     if body[:1] in "“\"«„" and body[-1:] in "”\"»“":
         body = body[1:-1]
     low = body.lower()
-    rules = [r for r in _REFUSAL if any(x in low for x in r[0])]
-    for s in _SENTENCE.split(_SPOKEN.sub('"…"', body)) if rules else ():
+    seen = {x for x in _STEMS if x in low}
+    rules = [r for r in _REFUSAL if not seen.isdisjoint(r[0])] if seen else ()
+    for s in _STOP.split(_SPOKEN.sub('"…"', body)) if rules else ():
         low = s.lower()
         for stems, says in rules:
             if any(x in low for x in stems) and says.search(s):
@@ -137,6 +140,11 @@ def is_copy(body: str, prompt: str | None) -> bool:
     k = min(COPY_SHINGLE, len(a))
     if not k or len(b) < k:
         return False
+    if len(b) * PREFIX <= len(a) <= len(b) and (a == b[: len(a)]).all():
+        return True
+    asked = set(a.tolist())
+    if sum(map(asked.__contains__, b.tolist())) < COPIED * k / (k + 1) * len(b):  # between copied stretches of k words stands at most one other
+        return False
 
     def covered(x: np.ndarray, y: np.ndarray) -> float:
         at = np.flatnonzero(np.isin(W.grams(x, k), W.grams(y, k)))
@@ -146,8 +154,6 @@ def is_copy(body: str, prompt: str | None) -> bool:
         on[1:-1] |= on[:-2] & on[2:]  # a single changed word between copied ones
         return float(on.mean())
 
-    if len(b) * PREFIX <= len(a) <= len(b) and (a == b[: len(a)]).all():
-        return True
     return covered(b, a) >= COPIED and covered(a, b) >= 0.5
 
 
@@ -155,7 +161,9 @@ def is_open(body: str) -> bool:
     """A code fence that isn't closed, or a bracket or quotation mark that the last paragraph opens and doesn't close."""
     if body.count("```") % 2:
         return True
-    last = re.split(r"(?:\r?\n\s*){2,}|</p>", body.rstrip())[-1]
+    last = body.rstrip().replace("\r\n", "\n").rsplit("\n\n", 1)[-1]
+    if not any(c in last for c in _OPEN + "“"):
+        return False
     depth = {}
     for i, c in enumerate(last):
         if c in _OPEN:
@@ -169,7 +177,7 @@ def is_open(body: str) -> bool:
 
 def script(text: str) -> int | None:
     """The script that most letters of a text are of, by number; None without letters of a known one."""
-    if text.isascii():
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
         return 1 if _ALNUM.search(text) else None
     sizes = {}
     for m in _SCRIPTS.finditer(text):
@@ -206,39 +214,46 @@ def ending(body: str) -> tuple[str, list[str]]:
     return ("heading", [w.lower() for w in words]) if title else ("cut", [])
 
 
-def is_foreign(body: str, prompt: str | None, scorer: lang_labels.Scorer) -> bool:
-    """Most letters of the body are of another script than the prompt's, or most of its words stand in sentences of another language."""
-    if not prompt:
-        return False
-    clean = [_kn.clean(t) for t in (prompt, body)]
-    if None not in (scripts := [script(t) for t in clean]) and scripts[0] != scripts[1]:
-        return True
-    texts = [t.split() for t in clean]
-    rows = scorer.rows(texts)
-    asked, said = scorer.scores[rows[0]].sum(axis=0, dtype=np.float64), scorer.scores[rows[1]]
-    own = int(asked[:-1].argmax())
-    if not asked[-1] or not said[:, -1].any():
-        return False
-    ended = np.fromiter((w[-1] in ".!?" or w.rstrip(_CLOSERS)[-1:] in (".", "!", "?") for w in texts[1]), bool, len(said))
-    begins = np.concatenate([[0], np.flatnonzero(ended[:-1]) + 1])
-    sums, words = np.add.reduceat(said.astype(np.float64), begins, axis=0), np.diff(np.append(begins, len(said)))
+def foreign(bodies: list, prompts: list, scorer: lang_labels.Scorer) -> list[bool]:
+    """For each pair, whether most letters of the body are of another script than the prompt's, or most of its words stand
+    in sentences of another language. An empty text is in none."""
+    clean = [[_kn.clean(t) if t else "" for t in side] for side in (prompts, bodies)]
+    out = [None not in (both := (script(p), script(b))) and both[0] != both[1] for p, b in zip(*clean)]
+    words = [[t.split() for t in side] for side in clean]
+    rows = scorer.rows(words[0] + words[1])
+    asked, said = rows[: len(prompts)], rows[len(prompts) :]
+    some = [i for i in range(len(out)) if not out[i] and len(asked[i]) and len(said[i])]
+    if not some:
+        return out
+    add = lambda parts: np.add.reduceat(scorer.scores[np.concatenate(parts)].astype(np.float64), np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+    own = add([asked[i] for i in some])
+    flat, lengths = np.concatenate([said[i] for i in some]), np.array([len(said[i]) for i in some])
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    first[1:] |= scorer.ended[flat[:-1]]
+    begins = np.flatnonzero(first)  # of sentences
+    of = np.repeat(np.arange(len(some)), lengths)[begins]
+    sums, sizes = np.add.reduceat(scorer.scores[flat].astype(np.float64), begins, axis=0), np.diff(np.append(begins, len(flat)))
     told = sums[:, -1] > 0
-    other = told & (sums[:, :-1].max(axis=1) - sums[:, own] > 3.0)
-    return words[other].sum() > FOREIGN * words[told].sum()
+    other = told & (sums[:, :-1].max(axis=1) - sums[np.arange(len(of)), own[:, :-1].argmax(axis=1)[of]] > 3.0)
+    n, k = (np.bincount(of[x], weights=sizes[x], minlength=len(some)) for x in (told, other))
+    for i, yes in zip(some, (own[:, -1] > 0) & (k > FOREIGN * n)):
+        out[i] = bool(yes)
+    return out
 
 
 def _judged(batches, model):
     scorer = lang_labels.scorer_of(model)
     for batch in (b.slice(at, ROWS) for b in batches for at in range(0, max(b.num_rows, 1), ROWS)):
         rows = []
-        scorer.rows([_kn.clean(t).split() for i in (1, 3) for t in batch.column(i).to_pylist() if t])  # new words of many pairs are scored at once
-        for rec, body, count, prompt in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        recs, bodies, counts, prompts = (batch.column(i).to_pylist() for i in range(4))
+        for rec, body, count, prompt, abroad in zip(recs, bodies, counts, prompts, foreign(bodies, prompts, scorer)):
             if is_empty(body):
                 rows.append((rec, True, False, False, False, False, None))
                 continue
             short = bool(count) and 2 * len(body.split()) < count
             end, heading = ending(body)
-            rows.append((rec, False, is_refusal(body), is_copy(body, prompt), is_foreign(body, prompt, scorer), short or end == "cut" or is_open(body), heading if end == "heading" and not short else None))
+            rows.append((rec, False, is_refusal(body), is_copy(body, prompt), abroad, short or end == "cut" or is_open(body), heading if end == "heading" and not short else None))
         cols = list(zip(*rows)) or [()] * 7
         types = [batch.schema.field(0).type, *[pa.bool_()] * 5, pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", *DEFECTS, "heading"])
