@@ -70,6 +70,28 @@ def first_filled(*columns) -> Column:
     return F.coalesce(*(F.when(_c(c) != "", _c(c)) for c in columns))
 
 
+def text_of(df, name: str) -> Column:
+    """The text of a column of strings, of arrays of strings (joined by spaces), or of records (their first filled text, body or title).
+
+    TypeError for a column of another kind; '' for null.
+    """
+    kind = df.schema[name].dataType
+    if kind.typeName() == "string":
+        return F.coalesce(F.col(name), F.lit(""))
+    if kind.typeName() == "array" and kind.elementType.typeName() == "string":
+        return F.coalesce(F.array_join(name, " "), F.lit(""))
+    if kind.typeName() == "struct":
+        if parts := [f"{name}.{c}" for c in ("text", "body", "title") if c in kind.names]:
+            return F.coalesce(first_filled(*parts), F.lit(""))
+    raise TypeError(f"{name} holds {kind.simpleString()}, not text")
+
+
+def lowered(text, top: int | None = None) -> Column:
+    """A text in lower case, or its first top white-space words only."""
+    low = F.lower(F.coalesce(_c(text), F.lit("")))
+    return low if top is None else F.array_join(F.slice(pieces(low), 1, top), " ")
+
+
 def name_key(name) -> Column:
     """A name in lower case with single spaces; null for null and blank."""
     return F.when(normalize(name) != "", F.lower(normalize(name)))
@@ -78,20 +100,3 @@ def name_key(name) -> Column:
 def last_part(path) -> Column:
     """What follows the last slash."""
     return F.element_at(F.split(_c(path), "/"), -1)
-
-
-def char_grams(text, low: int = 3, high: int = 4) -> Column:
-    """Character n-grams within words, each word padded by a space on both sides, case kept.
-
-    A padded word that is not longer than n is taken once, whole, and no longer n is tried on it.
-    """
-
-    def cut(p: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, n))
-
-    def of(w: Column) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        none = F.array().cast("array<string>")
-        return F.concat(cut(p, low), *(F.when(F.length(p) >= n, cut(p, n)).otherwise(none) for n in range(low + 1, high + 1)))
-
-    return F.flatten(F.transform(pieces(text), of))

@@ -30,13 +30,3 @@ def unit(u: Column) -> Column:
     """The vector at length 1; one without length stays, so that its distance to any other is 1 (the rule for matrices)."""
     n = norm(u)
     return F.when(n < EPS, u).otherwise(F.transform(u, lambda x: x / n))
-
-
-def zscore(u: Column, mu: Column, sigma: Column) -> Column:
-    """(u - mu) / sigma, only centred where sigma is 0."""
-    return F.zip_with(F.zip_with(u, mu, lambda x, m: x - m), sigma, lambda x, s: x / F.when(s > EPS, s).otherwise(1.0))
-
-
-def added(vector: str, size: int) -> list[Column]:
-    """Aggregates that add up vectors of a group, element by element."""
-    return [F.sum(F.element_at(vector, i + 1)).alias(f"s{i}") for i in range(size)]

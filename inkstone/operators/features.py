@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.functions import vectors as V
 from inkstone.plans.lineage import written
 
 LEAST_WORDS, MOST_WORDS = 100, 1000
@@ -125,7 +128,10 @@ def term_lists(docs: DataFrame, terms, expand=None) -> DataFrame:
 
 
 def padded_grams(low: int, high: int):
-    """Grams of one word as functions.text.char_grams defines them."""
+    """A function that gives the character n-grams of one word, which is padded by a space on both sides, case kept.
+
+    A padded word that is not longer than n is taken once, whole, and no longer n is tried on it.
+    """
 
     def grams(word: str) -> list[str]:
         p = f" {word} "
@@ -257,13 +263,42 @@ class CharNGrams(FeatureExtractor):
         return self.idf.select("gram").orderBy("gram")
 
 
-#: Registries through which a pipeline picks features and metrics by name.
-FEATURES = {"mfw": MostFrequentWords, "char_ngram": CharNGrams}
-METRICS = {"cosine_delta": "mfw", "burrows_delta": "mfw", "char_ngram_cosine": "char_ngram"}
+@dataclass(frozen=True)
+class Metric:
+    """features: the registered features that it needs; rows(space, docs): its rows (id, doc, author, vec or idx and val); distance: cosine or manhattan."""
+
+    features: str
+    rows: Callable[[FeatureExtractor, DataFrame], DataFrame]
+    distance: str
+
+
+def _unit(space, docs):
+    return space.standardized(docs, ["doc", "author"]).withColumn("vec", V.unit(F.col("vec")))
+
+
+def _sparse(space, docs):
+    rows = space.transform(docs).select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("idx"), F.col("w").alias("val"))
+    return rows.join(docs.select("id", "doc", "author"), "id")
+
+
+#: Registries through which a pipeline picks features and metrics by name; register() adds to them.
+FEATURES: dict[str, Callable[..., FeatureExtractor]] = {"mfw": lambda config: MostFrequentWords(config.mfw_n, order=["doc", "chunk_index"]), "char_ngram": lambda config: CharNGrams()}
+METRICS: dict[str, Metric] = {
+    "cosine_delta": Metric("mfw", _unit, "cosine"), "burrows_delta": Metric("mfw", lambda space, docs: space.standardized(docs, ["doc", "author"]), "manhattan"), "char_ngram_cosine": Metric("char_ngram", _sparse, "cosine"),
+}
+
+
+def register(name: str, metric: Metric, extractor: Callable[..., FeatureExtractor] | None = None) -> None:
+    """Add a metric, and with extractor the features of its name, made from a pipeline's settings."""
+    if extractor is not None:
+        FEATURES[metric.features] = extractor
+    if metric.features not in FEATURES:
+        raise ValueError(f"no such features: {metric.features}")
+    METRICS[name] = metric
 
 
 def required_features(metric: str) -> str:
     """The features that a metric is made of."""
     if metric not in METRICS:
         raise ValueError(f"no such metric: {metric}")
-    return METRICS[metric]
+    return METRICS[metric].features

@@ -84,6 +84,34 @@ def trick_matrix(f: DataFrame) -> DataFrame:
     return f.groupBy("target_article_id").agg(F.array_join(F.array_sort(F.collect_set(trick)), ",").alias("models_tricked"), F.countDistinct(trick).alias("n_models"))
 
 
+def trick_grid(f: DataFrame, models: list[str]) -> DataFrame:
+    """(target_article_id, model_alias, trick): the dense matrix of all targets and models; 0 also where there is no fold."""
+    grid = f.select("target_article_id").distinct().select("target_article_id", F.explode(F.array(*(F.lit(m) for m in models))).alias("model_alias"))
+    trick = f.where(valid()).select("target_article_id", "model_alias", (F.col("delta_natural_vs_generated") < 0).cast("int").alias("trick"))
+    return grid.join(trick, ["target_article_id", "model_alias"], "left").na.fill(0, ["trick"])
+
+
+def author_heatmap(f: DataFrame) -> DataFrame:
+    """(author, model_alias, n_folds, natural, generated, delta): mean distances of the valid folds, row by row of the heat map."""
+    means = [F.round(F.avg(c), 6).alias(n) for n, c in MEASURES.items()]
+    return f.where(valid()).groupBy("author", "model_alias").agg(F.count("*").alias("n_folds"), *means)
+
+
+def _placed(means: DataFrame, name: str, descending: bool) -> DataFrame:
+    order = [F.isnan("mean"), F.desc("mean") if descending else F.col("mean"), F.col(name)]
+    return means.select(F.row_number().over(Window.orderBy(*order)).alias("place"), name, "mean")  # a row an author or model
+
+
+def author_order(f: DataFrame) -> DataFrame:
+    """(place, author, mean) by the mean natural distance, the greatest first; NaN comes last, names break ties."""
+    return _placed(f.groupBy("author").agg(F.round(F.avg(F.coalesce("natural_mean_distance", F.lit(float("nan")))), 6).alias("mean")), "author", True)
+
+
+def model_order(f: DataFrame) -> DataFrame:
+    """(place, model_alias, mean) by the mean delta, the least first; NaN comes last, names break ties."""
+    return _placed(f.groupBy("model_alias").agg(F.round(F.avg(F.coalesce("delta_natural_vs_generated", F.lit(float("nan")))), 6).alias("mean")), "model_alias", False)
+
+
 def jaccard(f: DataFrame, models: DataFrame) -> DataFrame:
     """(model_a, model_b, both, either, jaccard) of the models' sets of tricked targets; 0 for two empty sets.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkstone.functions.text import SPACE, TOKEN, WORD, WORD2
 from inkstone.operators.leakage import FOLDS, STOP_WORDS
-from inkstone.queries import CHUNK, FEWEST_CHUNKS, FOLD_CHUNK, PERMUTATIONS, WORDS
+from inkstone.queries import CHUNK, FEWEST_CHUNKS, FOLD_CHUNK, PERMUTATIONS, SAMPLE, WORDS
 
 
 def _norm(x: str) -> str:
@@ -34,9 +34,9 @@ def _estimate(n: str) -> str:
 def _articles(name: str, table: str, where: str) -> str:
     extra = "nullif(lower(trim(topic, ' ')), '') AS topic, nullif(lower(trim(lang, ' ')), '') AS lang" if table == "essays" else "CAST(NULL AS VARCHAR) AS topic, CAST(NULL AS VARCHAR) AS lang"
     return f"""{name} AS (
-  SELECT article_id, min(author) AS author, min(text) AS text, min(config) AS config, min(split) AS split, min(topic) AS topic, min(lang) AS lang
-  FROM (SELECT article_id, {_key('author')} AS author, trim(text, ' ') AS text, trim(config, ' ') AS config, lower(trim(split, ' ')) AS split, {extra} FROM {table})
-  WHERE article_id IS NOT NULL AND author IS NOT NULL AND {_norm('text')} <> '' AND config {where} GROUP BY article_id)"""
+  SELECT article_id, author, text, config, split, topic, lang
+  FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY author, text, coalesce(config, ''), coalesce(split, ''), coalesce(topic, ''), coalesce(lang, '')) AS nth FROM (SELECT article_id, {_key('author')} AS author, trim(text, ' ') AS text, trim(config, ' ') AS config, lower(trim(split, ' ')) AS split, {extra} FROM {table})
+  WHERE article_id IS NOT NULL AND author IS NOT NULL AND {_norm('text')} <> '' AND config {where}) WHERE nth = 1)"""
 
 
 ESSAYS = _articles("articles", "essays", "= 'cross_topic_1'")
@@ -173,6 +173,21 @@ def _report_cols(n: str, what: str) -> str:
     return f"CAST(sum({n}) AS BIGINT) AS total_{what}, CAST(min({n}) AS INTEGER) AS min_{what}, CAST(max({n}) AS INTEGER) AS max_{what}, round(avg({n}), 6) AS mean_{what}"
 
 
+DETAILS = "det AS (SELECT article_id, model_slug, max(assignment) AS assignment FROM detail WHERE article_id IS NOT NULL AND assignment IS NOT NULL AND model_slug IS NOT NULL GROUP BY ALL)"
+SAMPLED = f"sampled AS (SELECT author, article_id FROM (SELECT author, article_id, row_number() OVER (PARTITION BY author ORDER BY md5('1729:' || article_id), article_id) AS pick FROM articles) WHERE pick <= {SAMPLE})"
+
+
+def _message(x: str) -> str:
+    return f"{_estimate(f'len({_pieces(x)})')} + 4"
+
+
+def _placed(name: str, column: str, order: str) -> str:
+    nan = "CAST('nan' AS DOUBLE)"
+    x = f"coalesce({column}, {nan})"
+    return f"""WITH {FOLD_ROWS}, m AS (SELECT {name}, CASE WHEN count_if(isnan({x})) > 0 THEN {nan} ELSE round(avg({x}) FILTER (NOT isnan({x})), 6) END AS mean FROM f GROUP BY {name})
+SELECT CAST(row_number() OVER (ORDER BY isnan(mean), mean {order}, {name}) AS INTEGER) AS place, {name}, mean FROM m"""
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 SQL: dict[str, str] = {
@@ -289,4 +304,31 @@ SELECT model_alias, min(d) AS least, round(quantile_cont(d, 0.25), 6) AS q1, rou
 x AS (SELECT model_alias AS k, auc AS v FROM auc WHERE NOT isnan(auc))
 SELECT 'best_mimic' AS pick, (SELECT k FROM m ORDER BY v, k LIMIT 1) AS name UNION ALL SELECT 'best_detected', (SELECT k FROM x ORDER BY v DESC, k LIMIT 1)
 UNION ALL SELECT 'hardest_author', (SELECT k FROM a ORDER BY v, k LIMIT 1) UNION ALL SELECT 'easiest_author', (SELECT k FROM a ORDER BY v DESC, k LIMIT 1)""",
+    "detail_tokens": f"""WITH {ESSAYS}, {DETAILS} SELECT author, count(*) AS n, CAST(sum({_message('text')}) AS BIGINT) AS input_tokens, CAST(sum({_estimate(f'len({_pieces("assignment")})')}) AS BIGINT) AS output_tokens
+FROM det JOIN articles USING (article_id) GROUP BY author""",
+    "recreation_tokens": f"""WITH {ESSAYS}, {DETAILS}, rec AS (SELECT * FROM (SELECT article_id, model_slug, body, row_number() OVER (PARTITION BY article_id, model_slug ORDER BY rec_id DESC) AS r FROM recreation) WHERE r = 1)
+SELECT author, model_slug, count(*) AS n, CAST(sum({_message('assignment')}) AS BIGINT) AS input_tokens, CAST(sum({_estimate(f'len({_pieces("body")})')}) AS BIGINT) AS output_tokens
+FROM rec JOIN det USING (article_id, model_slug) JOIN articles USING (article_id) GROUP BY author, model_slug""",
+    "recreation_prompts": f"""WITH {ESSAYS}, {DETAILS}, {SAMPLED},
+others AS (SELECT a.article_id, string_agg('--- ' || b.article_id || ' ---' || chr(10) || t.text, chr(10) || chr(10) ORDER BY b.article_id) AS context
+  FROM sampled a JOIN sampled b ON a.author = b.author AND a.article_id <> b.article_id JOIN articles t ON t.article_id = b.article_id GROUP BY a.article_id),
+p AS (SELECT article_id, model_slug, coalesce(context, '(No other essays are at hand.)') || chr(10) || chr(10) || assignment AS prompt FROM det JOIN sampled USING (article_id) LEFT JOIN others USING (article_id))
+SELECT article_id, model_slug, md5(prompt) AS prompt_md5, CAST({_message('prompt')} AS INTEGER) AS tokens FROM p""",
+    "model_aliases": f"""WITH m AS (SELECT {_key('model_alias')} AS model_alias, min(model_slug) AS model_slug FROM model_map WHERE {_key('model_alias')} IS NOT NULL GROUP BY 1)
+SELECT DISTINCT a.model_alias, m.model_slug, m.model_alias IS NOT NULL AS known FROM (SELECT {_key('model_alias')} AS model_alias FROM recreation) a LEFT JOIN m ON a.model_alias = m.model_alias WHERE a.model_alias IS NOT NULL""",
+    "uneven_authors": f"WITH {ESSAYS}, {SAMPLED} SELECT author, count(*) AS n FROM sampled GROUP BY author HAVING count(*) <> {SAMPLE}",
+    "detail_resume": f"""WITH {ESSAYS}, {DETAILS}, placed AS (SELECT article_id, row_number() OVER (ORDER BY author, article_id) AS place FROM articles)
+SELECT place, article_id, m.model_slug AS model, md5(assignment) AS assignment_md5, assignment IS NULL AS todo FROM placed CROSS JOIN (SELECT DISTINCT model_slug FROM model_map WHERE model_slug IS NOT NULL) m LEFT JOIN det USING (article_id, model_slug)""",
+    "article_ids": """WITH r AS (SELECT DISTINCT config, split, author, md5(coalesce(text, '')) AS h FROM essays WHERE article_id IS NULL OR trim(article_id, ' ') IN ('', '0')),
+n AS (SELECT *, row_number() OVER (PARTITION BY config, split, author ORDER BY h) - 1 AS n FROM r)
+SELECT concat_ws('/', n.config, n.split, n.author, CAST(n.n AS VARCHAR)) AS article_id, md5(e.text) AS text_md5 FROM essays e JOIN n ON e.config IS NOT DISTINCT FROM n.config AND e.split IS NOT DISTINCT FROM n.split AND e.author IS NOT DISTINCT FROM n.author AND md5(coalesce(e.text, '')) = n.h
+WHERE e.article_id IS NULL OR trim(e.article_id, ' ') IN ('', '0')""",
+    "trick_grid": f"""WITH {FOLD_ROWS} SELECT t.target_article_id, m.model_alias, CAST(coalesce(v.delta_natural_vs_generated < 0, false) AS INTEGER) AS trick
+FROM (SELECT DISTINCT target_article_id FROM f) t CROSS JOIN (SELECT DISTINCT {_key('model_alias')} AS model_alias FROM model_map WHERE {_key('model_alias')} IS NOT NULL) m LEFT JOIN v USING (target_article_id, model_alias)""",
+    "chunk_drift": f"""WITH {_space(CHUNK)}, p AS (SELECT vec.id, vec.doc, vec.vec, chunk_index FROM vec JOIN docs USING (id))
+SELECT a.id, round(CASE WHEN sqrt(list_inner_product(a.vec, a.vec)) < 1e-12 OR sqrt(list_inner_product(b.vec, b.vec)) < 1e-12 THEN 0 ELSE 1 - list_inner_product(a.vec, b.vec) / (sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec))) END, 6) AS distance
+FROM p a JOIN p b ON a.doc = b.doc AND a.chunk_index = b.chunk_index + 1""",
+    "author_heatmap": f"""WITH {FOLD_ROWS} SELECT author, model_alias, count(*) AS n_folds, round(avg(natural_mean_distance), 6) AS natural, round(avg(generated_mean_distance), 6) AS generated, round(avg(delta_natural_vs_generated), 6) AS delta FROM v GROUP BY ALL""",
+    "author_order": _placed("author", "natural_mean_distance", "DESC"),
+    "model_order": _placed("model_alias", "delta_natural_vs_generated", "ASC"),
 }

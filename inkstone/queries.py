@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import chunking, distance, evaluation, features, folds, leakage, reports
+from inkstone.functions import vectors as V
+from inkstone.operators import chunking, distance, evaluation, experiment, features, folds, leakage, reports
 from inkstone.plans.lineage import written
 from inkstone.sources import corpus
 
@@ -17,6 +18,7 @@ FOLD_CHUNK = 100
 WORDS = 100
 PERMUTATIONS = 250
 FEWEST_CHUNKS = 12
+SAMPLE = 5
 
 
 def _t(spark, d, name) -> DataFrame:
@@ -76,6 +78,32 @@ def prompt_tokens(spark, d):
     return both.groupBy("model_slug").agg(F.count("*").alias("n"), F.sum(T.message_tokens("assignment") + context).alias("input_tokens"), F.sum(T.model_tokens("body")).alias("output_tokens"))
 
 
+def _details(spark, d):
+    det = _t(spark, d, "detail").where("article_id is not null and assignment is not null").groupBy("article_id", "model_slug").agg(F.max("assignment").alias("assignment"))
+    return det.where("model_slug is not null")
+
+
+def detail_tokens(spark, d):
+    """Estimated tokens of the assignments and of the framed essays they were made from, by author; details without an essay are left out."""
+    both = _details(spark, d).join(corpus.test_slice(spark, d).select("article_id", "author", "text"), "article_id")
+    return both.groupBy("author").agg(F.count("*").alias("n"), F.sum(T.message_tokens("text")).alias("input_tokens"), F.sum(T.model_tokens("assignment")).alias("output_tokens"))
+
+
+def recreation_tokens(spark, d):
+    """Estimated tokens of the usable recreations and of their framed assignments, by author and model."""
+    det = _details(spark, d)
+    rec = folds.latest(_t(spark, d, "recreation").select("rec_id", "article_id", "model_slug", "body"), ["article_id", "model_slug"], ["rec_id"])
+    both = rec.join(det, ["article_id", "model_slug"]).join(corpus.test_slice(spark, d).select("article_id", "author"), "article_id")
+    return both.groupBy("author", "model_slug").agg(F.count("*").alias("n"), F.sum(T.message_tokens("assignment")).alias("input_tokens"), F.sum(T.model_tokens("body")).alias("output_tokens"))
+
+
+def recreation_prompts(spark, d):
+    """Prompts for the sampled essays' assignments, with the author's other sampled essays as context."""
+    essays = corpus.test_slice(spark, d)
+    made = experiment.recreation_prompts(essays, folds.sampled_essays(essays, SAMPLE), _details(spark, d))
+    return made.select("article_id", "model_slug", F.md5("prompt").alias("prompt_md5"), T.message_tokens("prompt").alias("tokens"))
+
+
 def author_context(spark, d):
     return folds.other_articles(corpus.test_slice(spark, d))
 
@@ -194,6 +222,13 @@ def leakage_check(spark, d):
     return leakage.leakage_check(_essay_texts(spark, d))
 
 
+def chunk_drift(spark, d):
+    """Cosine distance of each chunk's deviations to those of the chunk before it in its document."""
+    rows = written(_standard(spark, d), "drift").withColumn("place", F.substring_index("id", "::c", -1).cast("int"))
+    before = rows.select("doc", (F.col("place") + 1).alias("place"), F.col("vec").alias("before"))
+    return rows.join(before, ["doc", "place"]).select("id", F.round(V.cosine_distance(F.col("vec"), F.col("before")), 6).alias("distance"))
+
+
 # Distances: each twentieth row against all rows
 
 
@@ -292,7 +327,7 @@ def _targets(spark, d):
 
 
 def essay_sample(spark, d):
-    return folds.sampled_essays(corpus.test_slice(spark, d), 5)
+    return folds.sampled_essays(corpus.test_slice(spark, d), SAMPLE)
 
 
 def essay_manifest(spark, d):
@@ -317,6 +352,31 @@ def missing_recreations(spark, d):
     return folds.missing(targets, folds.usable_recreations(_t(spark, d, "recreation")))
 
 
+def model_aliases(spark, d):
+    """All requested aliases, and whether the model map knows them; the others are skipped."""
+    return experiment.resolved(_t(spark, d, "recreation"), _t(spark, d, "model_map"))
+
+
+def uneven_authors(spark, d):
+    """Authors of the sample who haven't the full number of essays."""
+    return experiment.uneven(folds.sampled_essays(corpus.test_slice(spark, d), SAMPLE), SAMPLE)
+
+
+def _model_names(spark, d, column="model_alias"):
+    return sorted(r[0] for r in _t(spark, d, "model_map").select(T.name_key(column) if column == "model_alias" else column).distinct().collect() if r[0])  # a table of models
+
+
+def detail_resume(spark, d):
+    """What is there of every essay's assignment by every model, in the order of a run; holes are still to be done."""
+    have = _details(spark, d).select("article_id", F.col("model_slug").alias("model"), F.md5("assignment").alias("assignment_md5"))
+    return experiment.resume(corpus.test_slice(spark, d), _model_names(spark, d, "model_slug"), have, "assignment_md5")
+
+
+def article_ids(spark, d):
+    """The id of every essay row without a usable one, built of its config, split, author and place."""
+    return corpus.numbered_ids(_t(spark, d, "essays")).where("built").select("article_id", F.md5("text").alias("text_md5"))
+
+
 def known_models(spark, d):
     """Requested aliases (those of recreations) that the model map knows, with their slug."""
     asked = _t(spark, d, "recreation").select(T.name_key("model_alias").alias("model_alias")).where("model_alias is not null").distinct()
@@ -340,8 +400,11 @@ def _report(f):
 
 
 def author_breakdown(spark, d):
-    names = sorted(r[0] for r in _t(spark, d, "model_map").select(T.name_key("model_alias")).distinct().collect() if r[0])  # a table of models
-    return reports.author_breakdown(_folds(spark, d), names)
+    return reports.author_breakdown(_folds(spark, d), _model_names(spark, d))
+
+
+def trick_grid(spark, d):
+    return reports.trick_grid(_folds(spark, d), _model_names(spark, d))
 
 
 def jaccard(spark, d):
@@ -360,6 +423,7 @@ QUERIES = {
         content_words, leakage_idf, leakage_folds, leakage_check, cosine_delta_nearest, burrows_delta_nearest, char_gram_nearest, embedding_cosine_nearest, embedding_l1_nearest,
         auc_cosine_delta, auc_burrows_delta, auc_char_gram, auc_embedding, permutation_auc, permutation_summary, distance_histogram, author_distances,
         essay_sample, essay_manifest, leave_one_out, detail_upsert, usable_recreations, missing_recreations, known_models, fold_scores, author_breakdown, jaccard, detection_roc,
+        detail_tokens, recreation_tokens, recreation_prompts, model_aliases, uneven_authors, detail_resume, article_ids, trick_grid, chunk_drift,
     )
 } | {
     "author_similarity_normalized": author_similarity,
@@ -378,6 +442,9 @@ QUERIES = {
     "detection_auc": _report(reports.detection_auc),
     "delta_quartiles": _report(reports.delta_quartiles),
     "headline": _report(reports.headline),
+    "author_heatmap": _report(reports.author_heatmap),
+    "author_order": _report(reports.author_order),
+    "model_order": _report(reports.model_order),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,7 +13,7 @@ from inkstone.functions import text as T
 
 TEST_CONFIG = "cross_topic_1"
 REFERENCE_CONFIGS = ("cross_genre_2", "cross_genre_3", "cross_genre_4")
-SPLITS = ("train", "validation", "test")
+RECREATION = "rec_id long, article_id string, source_article_id string, author string, title string, body string, model_slug string, model_alias string"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def articles(df: DataFrame, authors: list[str] | None = None, configs: tuple | None = None) -> DataFrame:
     """One row an article_id: author (by key), text, config, split, article_id, topic, lang.
 
-    Redelivered rows are one article: each column takes its least value. Blank texts and authors that can't be named
+    Redelivered rows are one article: the least row by author, text, config, split, topic and lang is it. Blank texts and authors that can't be named
     are left out; authors restricts to a set of names, configs to slices.
     """
     has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
@@ -45,7 +45,10 @@ def articles(df: DataFrame, authors: list[str] | None = None, configs: tuple | N
         clean = clean.where(F.col("config").isin(*configs))
     if authors is not None:
         clean = clean.where(F.col("author").isin(*authors))
-    return clean.groupBy("article_id").agg(*(F.min(c).alias(c) for c in ("author", "text", "config", "split", "topic", "lang")))
+    cols = ("author", "text", "config", "split", "topic", "lang")
+    row = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in cols))  # nulls come first in every engine
+    one = clean.groupBy("article_id").agg(F.min(row).alias("r"))
+    return one.select("article_id", *(F.when(F.col(f"r.{c}") != "", F.col(f"r.{c}")).alias(c) for c in cols))
 
 
 def built_id(config, split, author, row) -> Column:
@@ -53,6 +56,23 @@ def built_id(config, split, author, row) -> Column:
     return F.concat_ws("/", config, split, author, row)
 
 
+def numbered_ids(df: DataFrame) -> DataFrame:
+    """df with article_id filled and built: whether it had to be, for a null, empty or 0 key.
+
+    A built key ends in the row's place from 0 among those of its config, split and author, in the order of a hash of
+    the text. Only rows without a key are numbered; rows of the same text share a place.
+    """
+    has = F.coalesce(~F.trim("article_id").isin("", "0"), F.lit(False))
+    place = ["config", "split", "author"]
+    rest = df.where(~has).withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
+    numbers = rest.select(*place, "h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("h")) - 1)
+    numbers = numbers.select("_n", *(F.col(c).alias(f"_{c}") for c in (*place, "h")))
+    key = built_id("config", "split", "author", F.col("_n").cast("string"))
+    both = rest.join(numbers, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*place, "h")])
+    built = both.select(*(F.col(c) if c != "article_id" else key.alias(c) for c in df.columns), F.lit(True).alias("built"))
+    return df.where(has).withColumn("built", F.lit(False)).unionByName(built)
+
+
 def test_slice(spark: SparkSession, folder: str) -> DataFrame:
     return articles(table(spark, folder, "essays"), configs=(TEST_CONFIG,))
 

@@ -41,7 +41,7 @@ def recreation_prompt(assignment, context) -> Column:
     return F.concat(F.when(F.coalesce(F.length(context), F.lit(0)) > 0, context).otherwise(F.lit("(No other essays are at hand.)")), F.lit("\n\n"), assignment)
 
 
-def answers(prompts: DataFrame, have: DataFrame | None, key: str, provider: Provider = stub, overwrite: bool = False) -> DataFrame:
+def answers(prompts: DataFrame, have: DataFrame | None, key: str, provider: Provider = stub, overwrite: bool = False, wait: float = FIRST_WAIT) -> DataFrame:
     """(key, body): an answer to each prompt (key, prompt); those that have lists are skipped unless they are to be overwritten."""
     todo = prompts.where(F.col(key).isNotNull() & F.col("prompt").isNotNull())
     if have is not None and not overwrite:
@@ -49,6 +49,6 @@ def answers(prompts: DataFrame, have: DataFrame | None, key: str, provider: Prov
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ask(provider, p) for p in b.column(1).to_pylist()], pa.string())], [key, "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ask(provider, p, wait=wait) for p in b.column(1).to_pylist()], pa.string())], [key, "body"])
 
     return todo.select(F.col(key).cast("string").alias(key), "prompt").mapInArrow(each, f"{key} string, body string")

@@ -35,8 +35,3 @@ def scored(articles: DataFrame, space: features.MostFrequentWords, profiles: Dat
 def run(articles: DataFrame, space: features.MostFrequentWords, profiles: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Score all that is there of a stream into Parquet, once; a rerun goes on from the checkpoint."""
     return scored(articles, space, profiles).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def hourly_counts(articles: DataFrame, at: str = "loaded_at", late: str = "1 hour") -> DataFrame:
-    """Articles by author and hour of loading, with a watermark for late ones."""
-    return articles.where(F.col(at).isNotNull()).withWatermark(at, late).groupBy(F.window(at, "1 hour"), "author").agg(F.count("*").alias("n_articles"))
