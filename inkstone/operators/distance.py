@@ -1,8 +1,8 @@
 """Distances between all rows of a table, never as one row a pair.
 
 What is needed of a distance matrix is either its distribution (AUC, permutation tests, histograms) or each query's
-nearest rows. Rows are hashed into blocks of bounded size; two blocks make a tile, a matrix product of which only
-counts by distance leave the task. Nearest rows are found for blocks of queries, each sent to all rows.
+nearest rows. Rows are hashed into blocks of bounded size; two blocks make a tile, which a task takes in parts, each a
+matrix product; only counts by distance, or the nearest rows of each query, leave the task.
 
 rows: id, author, doc and vec (array<double>), or idx and val for sparse rows (of length 1). Cosine distances are of
 vectors at length 1; one without length is at distance 1 from all.
@@ -10,23 +10,24 @@ vectors at length 1; one without length is at distance 1 from all.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import vectors as V
 from inkstone.plans.lineage import written
 
-BLOCK = 1024
-SPARSE_BLOCK = 256
-QUERY_BLOCK = 2048
-#: Distances are counted in steps of 10**-PLACES.
-PLACES = 4
+#: Rows of a block, and of the part of it that is multiplied at a time; a row is sent to as many tiles as there are blocks.
+BLOCK, PART = 8192, 1024
+SPARSE_BLOCK, SPARSE_PART = 2048, 256
+#: A smaller table is cut into so many blocks, of at least PART / 2 rows, that its tiles keep some cores busy.
+LEAST_BLOCKS = 6
+#: Distances are counted in steps of 10**-PLACES. Manhattan distances are counted as means over the columns, those over
+#: MOST as MOST, so that there are at most MOST * 10**PLACES + 1 steps.
+PLACES, MOST = 4, 100
 
 
 def unit_rows(rows: DataFrame) -> DataFrame:
@@ -61,68 +62,117 @@ def _joint(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _tiled(rows: DataFrame, block: int) -> DataFrame:
+def _steps(d: np.ndarray, metric: str, a: pd.DataFrame) -> np.ndarray:
+    return np.rint((d if metric == "cosine" else np.minimum(d / max(len(a["vec"].iloc[0]), 1), MOST)) * 10**PLACES).astype(np.int64)
+
+
+def _many(n: int, block: int, part: int) -> int:
+    return max(1, -(-n // block), min(LEAST_BLOCKS, -(-2 * n // part)))
+
+
+def _tiled(rows: DataFrame, block: int, part: int) -> DataFrame:
     """rows in blocks b of about block rows, repeated for every tile (lo, hi) of which their block is a side."""
-    many = max(1, -(-rows.count() // block))
+    many = _many(rows.count(), block, part)
     own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn("author", F.xxhash64("author")).withColumn("doc", F.xxhash64("doc"))
     return own.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumn("lo", F.least("b", "t")).withColumn("hi", F.greatest("b", "t")).drop("t")
 
 
-def _pairs_of(tile: pd.DataFrame, metric: str):
-    """Distances, whether pairs count (once each, of different documents), and both sides of a tile."""
+def _parts_of(tile: pd.DataFrame, metric: str, part: int) -> Iterator[tuple]:
+    """Distances, whether pairs count (once each, of different documents), and both sides, of each part of a tile."""
     lo, hi = tile["lo"].iloc[0], tile["hi"].iloc[0]
     a, b = tile[tile["b"] == lo], tile[tile["b"] == hi]
-    if not len(a) or not len(b):
-        return None
-    counts = a["doc"].to_numpy()[:, None] != b["doc"].to_numpy()[None, :]
-    if lo == hi:
-        counts &= np.triu(np.ones(counts.shape, bool), 1)
-    return _distances(a, b, metric), counts, a, b
+    for i in range(0, len(a), part):
+        for j in range(i if lo == hi else 0, len(b), part):
+            x, y = a.iloc[i : i + part], b.iloc[j : j + part]
+            counts = x["doc"].to_numpy()[:, None] != y["doc"].to_numpy()[None, :]
+            if lo == hi and i == j:
+                counts &= np.triu(np.ones(counts.shape, bool), 1)
+            yield _distances(x, y, metric), counts, x, y
+
+
+def _sizes(rows: DataFrame, block: int | None) -> tuple[int, int]:
+    dense = "vec" in rows.columns
+    block = block or (BLOCK if dense else SPARSE_BLOCK)
+    return block, min(block, PART if dense else SPARSE_PART)
 
 
 def pair_histogram(rows: DataFrame, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(step, n_self, n_cross): pairs of rows of different documents by distance in steps, of one or of two authors."""
-    sparse = "vec" not in rows.columns
+    block, part = _sizes(rows, block)
 
     def count(tile: pd.DataFrame) -> pd.DataFrame:
-        if (got := _pairs_of(tile, metric)) is None:
-            return pd.DataFrame({"step": [], "n_self": [], "n_cross": []})
-        d, counts, a, b = got
-        step = np.rint(d * 10**PLACES).astype(np.int64)[counts]
-        same = (a["author"].to_numpy()[:, None] == b["author"].to_numpy()[None, :])[counts]
-        keys, at = np.unique(step, return_inverse=True)
-        n = np.bincount(at, minlength=len(keys))
-        n_self = np.bincount(at, weights=same, minlength=len(keys)).astype(np.int64)
-        return pd.DataFrame({"step": keys, "n_self": n_self, "n_cross": n - n_self})
-
-    tiles = _tiled(rows, block or (SPARSE_BLOCK if sparse else BLOCK))
-    each = tiles.groupBy("lo", "hi").applyInPandas(count, "step long, n_self long, n_cross long")
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for d, counts, a, b in _parts_of(tile, metric, part):
+            step = _steps(d, metric, a)[counts]
+            same = (a["author"].to_numpy()[:, None] == b["author"].to_numpy()[None, :])[counts]
+            new, at = np.unique(step, return_inverse=True)
+            n_self = np.bincount(at, weights=same, minlength=len(new)).astype(np.int64)
+            n = np.stack([n_self, np.bincount(at, minlength=len(new)) - n_self], axis=1)
+            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros((len(both), 2), np.int64)
+            np.add.at(total, at, np.concatenate([sums, n]))
+            keys, sums = both, total
+        return pd.DataFrame({"step": keys, "n_self": sums[:, 0], "n_cross": sums[:, 1]})
+
+    each = _tiled(rows, block, part).groupBy("lo", "hi").applyInPandas(count, "step long, n_self long, n_cross long")
     return each.groupBy("step").agg(F.sum("n_self").alias("n_self"), F.sum("n_cross").alias("n_cross"))
 
 
 def permuted_ranks(rows: DataFrame, middle: dict[int, float], metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(k, rank_sum, n_self) of each relabelling k: rows has labels, an array of them; middle: the mid-rank of each step."""
     keys = np.array(sorted(middle), np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((keys, np.array([middle[k] for k in keys])))  # steps of a fixed grid
+    shared = rows.sparkSession.sparkContext.broadcast((keys, np.array([middle[k] for k in keys])))  # a bounded number of steps
+    block, part = _sizes(rows, block)
 
     def add(tile: pd.DataFrame) -> pd.DataFrame:
-        if (got := _pairs_of(tile, metric)) is None:
+        keys, ranks = shared.value
+        total: np.ndarray | None = None
+        for d, counts, a, b in _parts_of(tile, metric, part):
+            steps = _steps(d, metric, a)
+            x, y = np.stack(a["labels"].to_numpy()), np.stack(b["labels"].to_numpy())
+            names, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+            codes = codes.reshape(-1, x.shape[1]).astype(np.int16 if len(names) < 1 << 15 else np.int32)
+            x, y = np.ascontiguousarray(codes[: len(x)].T), np.ascontiguousarray(codes[len(x) :].T)
+            rank, counts = (ranks[np.searchsorted(keys, steps).clip(max=len(keys) - 1)] * counts).ravel(), counts.ravel()
+            if total is None:
+                total = np.zeros((len(x), 2))
+            for k in range(len(x)):
+                same = np.flatnonzero(x[k][:, None] == y[k][None, :])  # few pairs are of one author
+                total[k] += rank[same].sum(), np.count_nonzero(counts[same])
+        if total is None:
             return pd.DataFrame({"k": [], "rank_sum": [], "n_self": []})
-        d, counts, a, b = got
-        steps, ranks = shared.value
-        rank = ranks[np.searchsorted(steps, np.rint(d * 10**PLACES).astype(np.int64)).clip(max=len(steps) - 1)] * counts
-        x, y = np.stack(a["labels"].to_numpy()), np.stack(b["labels"].to_numpy())
-        out = []
-        for k in range(x.shape[1]):
-            same = x[:, k, None] == y[None, :, k]
-            out.append((k, float(rank[same].sum()), int((counts & same).sum())))
-        return pd.DataFrame(out, columns=["k", "rank_sum", "n_self"])
+        return pd.DataFrame({"k": np.arange(len(total)), "rank_sum": total[:, 0], "n_self": total[:, 1].astype(np.int64)})
 
-    each = _tiled(rows, block or (BLOCK if "vec" in rows.columns else SPARSE_BLOCK)).groupBy("lo", "hi").applyInPandas(add, "k int, rank_sum double, n_self long")
+    each = _tiled(rows, block, part).groupBy("lo", "hi").applyInPandas(add, "k int, rank_sum double, n_self long")
     return each.groupBy("k").agg(F.sum("rank_sum").alias("rank_sum"), F.sum("n_self").alias("n_self"))
 
 
-def cells(rows: DataFrame, value, schema: str, block: int = BLOCK) -> DataFrame:
+def author_means(rows: DataFrame, metric: str = "cosine", block: int | None = None) -> DataFrame:
+    """(author_i, author_j, n_pairs, mean_distance) of every two authors, and each with itself, that have rows of different documents.
+
+    Any metric will do, as the distances themselves are added up, tile by tile; both orders of two authors come out.
+    """
+    block, part = _sizes(rows, block)
+    names = rows.select("author").distinct().select("author", F.xxhash64("author").alias("h"))
+
+    def add(tile: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for d, counts, a, b in _parts_of(tile, metric, part):
+            (x, i), (y, j) = (np.unique(s["author"].to_numpy(), return_inverse=True) for s in (a, b))
+            at = (i[:, None] * len(y) + j[None, :])[counts]
+            n = np.bincount(at, minlength=len(x) * len(y))
+            has = np.flatnonzero(n)
+            pair = np.sort(np.stack([x[has // len(y)], y[has % len(y)]]), axis=0)
+            out.append(pd.DataFrame({"a": pair[0], "b": pair[1], "n": n[has], "s": np.bincount(at, weights=d[counts], minlength=len(n))[has]}))
+        return pd.concat(out).groupby(["a", "b"], as_index=False).sum() if out else pd.DataFrame({"a": [], "b": [], "n": [], "s": []})
+
+    sums = _tiled(rows, block, part).groupBy("lo", "hi").applyInPandas(add, "a long, b long, n long, s double").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    both = written(sums.join(names.select(F.col("author").alias("x"), F.col("h").alias("a")), "a").join(names.select(F.col("author").alias("y"), F.col("h").alias("b")), "b"), "author-means")
+    cell = lambda i, j: both.select(F.col(i).alias("author_i"), F.col(j).alias("author_j"), F.col("n").alias("n_pairs"), (F.col("s") / F.col("n")).alias("mean_distance"))
+    return cell("x", "y").unionByName(cell("y", "x").where("author_i <> author_j"))
+
+
+def cells(rows: DataFrame, value, schema: str, block: int = PART) -> DataFrame:
     """Rows made by value(a, b, same block?) from the two sides of every tile of a small table, such as one row an author."""
 
     def make(tile: pd.DataFrame) -> pd.DataFrame:
@@ -134,41 +184,49 @@ def cells(rows: DataFrame, value, schema: str, block: int = BLOCK) -> DataFrame:
     return own.withColumn("lo", F.least("b", "t")).withColumn("hi", F.greatest("b", "t")).drop("t").groupBy("lo", "hi").applyInPandas(make, schema)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: int = 10, places: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, id, d, rank): each query's top nearest rows of other documents, by distance rounded to places, then id."""
-    many = max(1, -(-queries.count() // block))
-    sparse = "vec" not in rows.columns
-    cols = ["idx", "val"] if sparse else ["vec"]
-    rows, queries = rows.select("id", "doc", *cols), written(queries.select("id", "doc", *cols), "queries")
-    parts = []
-    for b in range(many):
-        mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(many)) == b).toPandas()  # about block rows
-        if len(mine):
-            shared = rows.sparkSession.sparkContext.broadcast(mine)
-            parts.append(rows.mapInArrow(lambda it, shared=shared: _top(it, shared.value, metric, top, places), "query string, id string, d double"))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query string, id string, d double, rank int")
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.union(p)
+def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: int = 10, places: int = 6, block: int | None = None) -> DataFrame:
+    """(query, id, d, rank): each query's top nearest rows of other documents, by distance rounded to places, then id.
+
+    Queries and rows are both in blocks; a task takes a block of either and gives the nearest of its rows. So nothing is
+    gathered, and a row is sent to as many tasks as there are blocks of queries.
+    """
+    block, part = _sizes(rows, block)
+    cols = ["vec"] if "vec" in rows.columns else ["idx", "val"]
+    sides = []
+    for side, other, df in ((1, 0, queries), (0, 1, rows)):
+        sides.append((written(df.select("id", "doc", *cols), "nearest"), side, other))
+    many = [_many(df.count(), block, part) for df, _, _ in sides]
+    tiles = None
+    for k, (df, side, _) in enumerate(sides):
+        own, other = ("qb", "rb") if side else ("rb", "qb")
+        placed = df.withColumn("side", F.lit(side)).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(many[k])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(many[1 - k] - 1))))
+        placed = placed.select("id", "doc", *cols, "side", "qb", "rb")
+        tiles = placed if tiles is None else tiles.unionByName(placed)
+
+    def find(tile: pd.DataFrame) -> pd.DataFrame:
+        q, r = tile[tile["side"] == 1], tile[tile["side"] == 0].sort_values("id")
+        out = [_top(q.iloc[i : i + part], r, metric, top, places, part) for i in range(0, len(q), part)] if len(r) else []
+        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "d": np.zeros(0)})
+
+    near = tiles.groupBy("qb", "rb").applyInPandas(find, "query string, id string, d double")
     order = Window.partitionBy("query").orderBy("d", "id")  # top rows a task
-    return all_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-
-def _top(batches: Iterator[pa.RecordBatch], queries: pd.DataFrame, metric: str, top: int, places: int) -> Iterator[pa.RecordBatch]:
-    best: list[list] = [[] for _ in range(len(queries))]
-    docs = queries["doc"].to_numpy()
-    for batch in batches:
-        for at in range(0, batch.num_rows, SPARSE_BLOCK):
-            part = batch.slice(at, SPARSE_BLOCK).to_pandas()
-            d = np.round(_distances(queries, part, metric), places)
-            d[docs[:, None] == part["doc"].to_numpy()[None, :]] = np.inf
-            ids = part["id"].to_numpy()
-            for q in range(len(queries)):
-                limit = best[q][-1][0] if len(best[q]) >= top else np.inf
-                if len(near := np.flatnonzero(d[q] <= limit) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d[q]))):
-                    best[q] = heapq.nsmallest(top, best[q] + [(float(d[q, i]), str(ids[i])) for i in near])
-    rows = [(str(q), i, d) for q, found in zip(queries["id"], best) for d, i in found]
-    if rows:
-        q, i, d = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(d)], ["query", "id", "d"])
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def _top(q: pd.DataFrame, rows: pd.DataFrame, metric: str, top: int, places: int, part: int) -> pd.DataFrame:
+    """The top nearest of rows, which are in the order of their ids, for each of q."""
+    query, place, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for j in range(0, len(rows), part):
+        r = rows.iloc[j : j + part]
+        d = np.round(_distances(q, r, metric), places)
+        d[q["doc"].to_numpy()[:, None] == r["doc"].to_numpy()[None, :]] = np.inf
+        limit = np.partition(d, min(top, d.shape[1]) - 1, axis=1)[:, min(top, d.shape[1]) - 1]
+        i, k = np.nonzero((d <= limit[:, None]) & np.isfinite(d))  # with all ties at the limit
+        query, place, far = np.concatenate([query, i]), np.concatenate([place, k + j]), np.concatenate([far, d[i, k]])
+        order = np.lexsort((place, far, query))
+        query, place, far = query[order], place[order], far[order]
+        begin = np.searchsorted(query, query)
+        keep = np.arange(len(query)) - begin < top
+        query, place, far = query[keep], place[keep], far[keep]
+    ids = [np.asarray(x["id"], dtype=object) for x in (q, rows)]
+    return pd.DataFrame({"query": pd.Series(ids[0][query], dtype=object), "id": pd.Series(ids[1][place], dtype=object), "d": far})

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.operators import distance as D
+from inkstone.operators.folds import vector_sums
 from inkstone.plans.lineage import written
 from inkstone.plans.ranks import numbered
 
@@ -42,7 +43,7 @@ def relabelled(rows: DataFrame, permutations: int, seed: int = 1729) -> DataFram
 
 def permutation_test(rows: DataFrame, permutations: int = 250, seed: int = 1729, metric: str = "cosine") -> DataFrame:
     """(k, n_self, auc): the AUC after each shuffle of the rows' authors; distances are ranked once, for all shuffles."""
-    steps = D.pair_histogram(rows, metric).select("step", (F.col("n_self") + F.col("n_cross")).alias("n")).toPandas().sort_values("step")  # steps of a fixed grid
+    steps = D.pair_histogram(rows, metric).select("step", (F.col("n_self") + F.col("n_cross")).alias("n")).toPandas().sort_values("step")  # a bounded number of steps
     total, ahead = int(steps["n"].sum()), np.cumsum(steps["n"]) - steps["n"]
     middle = dict(zip(steps["step"], ahead + (steps["n"] + 1) / 2))
     sums = D.permuted_ranks(relabelled(rows, permutations, seed), middle, metric)
@@ -95,15 +96,14 @@ def author_matrix(rows: DataFrame, exclude_same_doc: bool = True) -> DataFrame:
     The mean over pairs of unit vectors is 1 - (S_i . S_j) / (n_i n_j), S being the sum of an author's vectors; pairs
     within one document are taken off by the same rule. Linear in the rows. A document has one author. NaN for no pairs.
     """
-    unit = D.unit_rows(rows).select("author", "doc", F.posexplode("vec").alias("at", "x"))
-    doc = unit.groupBy("author", "doc", "at").agg(F.sum("x").alias("s"))
-    counts = rows.groupBy("author", "doc").agg(F.count("*").alias("n")).groupBy("author").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    own = F.sum(F.col("s") * F.col("s")) if exclude_same_doc else None
-    size = doc.groupBy("author", "at").agg(F.sum("s").alias("s"), (own if own is not None else F.lit(0.0)).alias("q"))
-    vec = size.groupBy("author").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("vec"), F.sum("q").alias("q"))
-    if not exclude_same_doc:  # only a row with itself is no pair
-        norm = D.unit_rows(rows).groupBy("author").agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("q"))
-        vec, counts = vec.drop("q").join(norm, "author"), counts.withColumn("own", F.col("n"))
+    unit = D.unit_rows(rows).select("author", "doc", "vec")
+    doc = written(vector_sums(unit, "author", "doc"), "documents")
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    if exclude_same_doc:
+        counts = doc.groupBy("author").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.sum(square("s")).alias("q"))
+    else:  # only a row with itself is no pair
+        counts = unit.groupBy("author").agg(F.count("*").alias("n"), F.count("*").alias("own"), F.sum(square("vec")).alias("q"))
+    vec = vector_sums(doc.select("author", F.col("s").alias("vec")), "author").select("author", F.col("s").alias("vec"))
     sums = written(vec.join(counts, "author").select(F.col("author").alias("id"), "vec", "q", "n", "own"), "authors")
 
     def value(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:

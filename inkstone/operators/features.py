@@ -24,11 +24,36 @@ MOST_TERMS = 300_000
 CACHE_WORDS = 200_000
 
 
+def _word_rows(batches):
+    """Per batch its different words: (order..., at, term, n), the order columns and the place of the word's first occurrence."""
+    for batch in batches:
+        words, keys = batch.column(batch.num_columns - 1), batch.columns[:-1]
+        flat, lengths = words.flatten(), np.diff(words.offsets.to_numpy())
+        if not len(flat):
+            continue
+        places = list(zip(*(c.to_pylist() for c in keys)))
+        order = np.array(sorted(range(len(places)), key=lambda i: tuple((x is not None, x) for x in places[i])))
+        rank, wide = np.empty(len(order), np.int64), int(lengths.max())
+        rank[order] = np.arange(len(order))
+        place = np.repeat(rank, lengths) * wide + np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        coded = flat.dictionary_encode()
+        idx = coded.indices.to_numpy()
+        first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, idx, place)
+        row = pa.array(order[first // wide])
+        cols = [*(c.take(row) for c in keys), pa.array((first % wide).astype(np.int32)), coded.dictionary, pa.array(np.bincount(idx))]
+        yield pa.RecordBatch.from_arrays(cols, [f"o{i}" for i in range(len(keys))] + ["at", "term", "n"])
+
+
 def most_frequent(docs: DataFrame, n: int, order: list[str] = ("id",), lower: bool = True) -> DataFrame:
-    """(idx, term, cnt): the n most frequent words, those first seen (by order, then place) first on ties."""
-    words = docs.select(*order, F.posexplode(T.words("text", lower)).alias("at", "term"))
-    first = F.min(F.struct(*order, "at")).alias("first")
-    top = words.groupBy("term").agg(F.count("*").alias("cnt"), first).orderBy(F.desc("cnt"), "first").limit(n)
+    """(idx, term, cnt): the n most frequent words, those first seen (by order, then place) first on ties.
+
+    Words are counted batch by batch; what is moved is a row a batch and different word.
+    """
+    cols = docs.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), T.words("text", lower).alias("w"))
+    names = cols.columns[:-1]
+    words = cols.mapInArrow(_word_rows, ", ".join(f"{x} {t}" for x, t in cols.dtypes[:-1]) + ", at int, term string, n long")
+    top = words.groupBy("term").agg(F.sum("n").alias("cnt"), F.min(F.struct(*names, "at")).alias("first")).orderBy(F.desc("cnt"), "first").limit(n)
     by = Window.orderBy(F.desc("cnt"), "first")  # n rows
     return top.select((F.row_number().over(by) - 1).alias("idx"), "term", "cnt")
 

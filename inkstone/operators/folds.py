@@ -62,23 +62,57 @@ def missing(targets: DataFrame, have: DataFrame, key: str = "target_article_id")
     return targets.join(have.select(key).distinct(), key, "left_anti")
 
 
-def _sum_rows(batches, n: int):
+def _sum_rows(batches):
     """Per batch the sums of vectors of each key, a row a key."""
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        vec = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, n)
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
+        vec = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
         order = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         at = np.fromiter((order[k] for k in keys), np.int64, len(keys))
-        sums = np.zeros((len(order), n))
-        np.add.at(sums, at, vec)
-        yield pa.RecordBatch.from_arrays([pa.array(list(order)), pa.array(np.bincount(at)), pa.array(list(sums))], ["key", "n", "s"])
+        by = np.argsort(at, kind="stable")
+        sums = np.add.reduceat(vec[by], np.searchsorted(at[by], np.arange(len(order))), axis=0)
+        yield _sum_batch(list(order), np.bincount(at), sums, batch.schema)
 
 
-def vector_sums(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, n, s): vectors added up by key, batch by batch first."""
-    part = rows.select(F.col(key).alias("key"), "vec").mapInArrow(lambda it: _sum_rows(it, n), "key string, n long, s array<double>")
-    total = part.select("key", "n", F.posexplode("s").alias("at", "x")).groupBy("key", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    return total.groupBy("key").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda x: x["x"]).alias("s"))
+def _merged_rows(batches):
+    """Rows (keys, n, s) in the order of their keys, a row a key; only one key's sums are held on to."""
+    key, n, s, schema = None, 0, None, None
+    for batch in batches:
+        schema = batch.schema
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:-2])))
+        counts, vec = batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(max(len(keys), 1), -1)
+        edges = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        done = []
+        for b, e in zip(edges, [*edges[1:], len(keys)]):
+            if s is not None and keys[b] == key:
+                n, s = n + counts[b:e].sum(), s + vec[b:e].sum(axis=0)
+                continue
+            if s is not None:
+                done.append((key, n, s))
+            key, n, s = keys[b], counts[b:e].sum(), vec[b:e].sum(axis=0)
+        if done:
+            yield _sum_batch([k for k, _, _ in done], np.array([m for _, m, _ in done]), np.stack([v for _, _, v in done]), schema)
+    if s is not None:
+        yield _sum_batch([key], np.array([n]), s[None], schema)
+
+
+def _sum_batch(keys, n, sums, schema):
+    names = [f"k{i}" for i in range(len(keys[0]))]
+    cols = [pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*keys))]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+    return pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), lists], [*names, "n", "s"])
+
+
+def vector_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, s): vectors vec added up by keys, batch by batch first; what is moved is a row a key and batch."""
+    cols = rows.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), "vec")
+    names = cols.columns[:-1]
+    schema = ", ".join(f"{n} {t}" for n, t in cols.dtypes[:-1]) + ", n long, s array<double>"
+    part = cols.mapInArrow(_sum_rows, schema)
+    total = part.repartition(*names).sortWithinPartitions(*names).mapInArrow(_merged_rows, schema)
+    return total.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), "n", "s")
 
 
 def mean_cosine(s: Column, n: Column, t: Column, m: Column) -> Column:
@@ -103,9 +137,9 @@ def score_folds(essays: DataFrame, reference: DataFrame, recreations: DataFrame,
     ref = reference.select(F.col("article_id").alias("id"), "text")
     space = features.MostFrequentWords(n_words).fit(own, ref)
     unit = lambda docs: space.standardized(docs, keep=["doc"]).select("id", "doc", V.unit(F.col("vec")).alias("vec"))
-    nat = written(vector_sums(unit(own), "doc", space.size), "sums").select(F.col("key").alias("target_article_id"), F.col("n").alias("tn"), F.col("s").alias("ts"))
-    g = vector_sums(unit(gen), "doc", space.size).select(F.col("key").alias("gen_id"), F.col("n").alias("gn"), F.col("s").alias("gs"))
-    total = vector_sums(nat.join(author, "target_article_id").select("author", F.col("ts").alias("vec")), "author", space.size).select(F.col("key").alias("author"), F.col("s").alias("us"))
+    nat = written(vector_sums(unit(own), "doc"), "sums").select(F.col("doc").alias("target_article_id"), F.col("n").alias("tn"), F.col("s").alias("ts"))
+    g = vector_sums(unit(gen), "doc").select(F.col("doc").alias("gen_id"), F.col("n").alias("gn"), F.col("s").alias("gs"))
+    total = vector_sums(nat.join(author, "target_article_id").select("author", F.col("ts").alias("vec")), "author").select("author", F.col("s").alias("us"))
     chunks_of = nat.join(author, "target_article_id").groupBy("author").agg(F.sum("tn").alias("un"))
     zero = F.transform(F.sequence(F.lit(1), F.lit(space.size)), lambda i: F.lit(0.0))
     base = made.select("target_article_id", "model_alias").join(author, "target_article_id").withColumn("gen_id", F.concat("target_article_id", F.lit("|"), "model_alias"))

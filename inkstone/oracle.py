@@ -234,7 +234,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distanc
     "embedding_cosine_nearest": f"WITH {EMBEDDINGS}, {UNIT}, {_nearest('unit', COSINE, 'CAST(a.id AS BIGINT) % 20 = 0')}",
     "embedding_l1_nearest": f"WITH {EMBEDDINGS}, {_nearest('vec', MANHATTAN, 'a.vec_id % 20 = 0')}",
     "auc_cosine_delta": f"WITH {_space(CHUNK)}, {UNIT}, {_pairs('unit', COSINE)}, {AUC}",
-    "auc_burrows_delta": f"WITH {_space(CHUNK)}, {_pairs('vec', MANHATTAN)}, {AUC}",
+    "auc_burrows_delta": f"WITH {_space(CHUNK)}, {_pairs('vec', f"least(({MANHATTAN}) / len(a.vec), 100)")}, {AUC}",
     "auc_char_gram": f"WITH {GRAMS}, {GRAM_PAIRS}, pairs AS (SELECT CAST(round(d * 10000, 0) AS BIGINT) AS step, a.author = b.author AS same FROM apart JOIN articles a ON a.article_id = i JOIN articles b ON b.article_id = j WHERE i < j), {AUC}",
     "auc_embedding": f"WITH {EMBEDDINGS}, {UNIT}, {_pairs('unit', COSINE)}, {AUC}",
     "permutation_auc": f"WITH {_space(CHUNK)}, {UNIT}, {_pairs('unit', COSINE)}, {PERMUTED} SELECT k, n_self, round(auc, 6) AS auc FROM permuted",
@@ -331,4 +331,8 @@ FROM p a JOIN p b ON a.doc = b.doc AND a.chunk_index = b.chunk_index + 1""",
     "author_heatmap": f"""WITH {FOLD_ROWS} SELECT author, model_alias, count(*) AS n_folds, round(avg(natural_mean_distance), 6) AS natural, round(avg(generated_mean_distance), 6) AS generated, round(avg(delta_natural_vs_generated), 6) AS delta FROM v GROUP BY ALL""",
     "author_order": _placed("author", "natural_mean_distance", "DESC"),
     "model_order": _placed("model_alias", "delta_natural_vs_generated", "ASC"),
+    "author_distances_burrows": f"""WITH {_space(CHUNK)}, distances AS (SELECT a.author AS x, b.author AS y, {MANHATTAN} AS d FROM vec a JOIN vec b ON a.id <> b.id AND a.doc <> b.doc)
+SELECT x AS author_i, y AS author_j, CASE WHEN x = y THEN count(*) // 2 ELSE count(*) END AS n_pairs, round(avg(d), 5) AS mean_distance FROM distances GROUP BY x, y""",
+    "author_distances_char_gram": f"""WITH {GRAMS}, {GRAM_PAIRS}
+SELECT a.author AS author_i, b.author AS author_j, CASE WHEN a.author = b.author THEN count(*) // 2 ELSE count(*) END AS n_pairs, round(avg(d), 6) AS mean_distance FROM apart JOIN articles a ON a.article_id = i JOIN articles b ON b.article_id = j GROUP BY 1, 2""",
 }

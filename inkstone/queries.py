@@ -257,7 +257,7 @@ def _sparse(spark, d):
 
 def char_gram_nearest(spark, d):
     rows = _sparse(spark, d)
-    return _found(distance.nearest(rows, _twentieth(rows), block=256))
+    return _found(distance.nearest(rows, _twentieth(rows)))
 
 
 def _embeddings(spark, d):
@@ -313,6 +313,14 @@ def author_distances(spark, d):
     return evaluation.author_matrix(_standard(spark, d)).select("author_i", "author_j", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
 
 
+def author_distances_burrows(spark, d):
+    return distance.author_means(_standard(spark, d), "manhattan").select("author_i", "author_j", "n_pairs", F.round("mean_distance", 5).alias("mean_distance"))
+
+
+def author_distances_char_gram(spark, d):
+    return distance.author_means(_sparse(spark, d)).select("author_i", "author_j", "n_pairs", F.round("mean_distance", 6).alias("mean_distance"))
+
+
 def author_similarity(spark, d, normalize=True):
     m = written(evaluation.author_matrix(_standard(spark, d)), "matrix")
     return evaluation.similarity(m, normalize).select("author_i", "author_j", F.round("similarity", 6).alias("similarity"))
@@ -423,7 +431,7 @@ QUERIES = {
         content_words, leakage_idf, leakage_folds, leakage_check, cosine_delta_nearest, burrows_delta_nearest, char_gram_nearest, embedding_cosine_nearest, embedding_l1_nearest,
         auc_cosine_delta, auc_burrows_delta, auc_char_gram, auc_embedding, permutation_auc, permutation_summary, distance_histogram, author_distances,
         essay_sample, essay_manifest, leave_one_out, detail_upsert, usable_recreations, missing_recreations, known_models, fold_scores, author_breakdown, jaccard, detection_roc,
-        detail_tokens, recreation_tokens, recreation_prompts, model_aliases, uneven_authors, detail_resume, article_ids, trick_grid, chunk_drift,
+        author_distances_burrows, author_distances_char_gram, detail_tokens, recreation_tokens, recreation_prompts, model_aliases, uneven_authors, detail_resume, article_ids, trick_grid, chunk_drift,
     )
 } | {
     "author_similarity_normalized": author_similarity,

@@ -18,7 +18,7 @@ from inkstone.operators.folds import mean_cosine, vector_sums
 def author_sums(space: features.MostFrequentWords, chunks: DataFrame) -> DataFrame:
     """(author, n, s) of chunks (id, author, text): the profile that new articles are held against."""
     unit = space.standardized(chunks, keep=["author"]).select("author", V.unit(F.col("vec")).alias("vec"))
-    return vector_sums(unit, "author", space.size).withColumnRenamed("key", "author")
+    return vector_sums(unit, "author")
 
 
 def scored(articles: DataFrame, space: features.MostFrequentWords, profiles: DataFrame) -> DataFrame:
