@@ -33,12 +33,12 @@ def relabelled(rows: DataFrame, permutations: int, seed: int = 1729) -> DataFram
     """rows with labels: for each permutation the author of the row whose place by id is this row's place by a seeded hash."""
     named = written(numbered(rows.select("id", "author"), ["id"], "ord"), "places")
     n = named.count()
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(":"), F.col("id")))
-    each = named.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k")).withColumn("key", key)
-    placed = numbered(each, ["k", "key", "id"], "at").withColumn("ord", F.col("at") - F.col("k") * n)
+    key = F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(":"), F.col("id"))))
+    each = named.select("id", F.col("ord").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k")).select("row", "k", key.alias("key"))
+    placed = numbered(each, ["k", "key", "row"], "at").select("row", "k", (F.col("at") - F.col("k") * n).alias("ord"))
     label = placed.join(named.select("ord", F.xxhash64("author").alias("label")), "ord")
-    labels = label.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]).alias("labels"))  # one a permutation
-    return rows.join(labels, "id")
+    labels = label.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]).alias("labels"))  # one a permutation
+    return rows.join(named.select("id", F.col("ord").alias("row")).join(labels, "row").drop("row"), "id")
 
 
 def permutation_test(rows: DataFrame, permutations: int = 250, seed: int = 1729, metric: str = "cosine") -> DataFrame:

@@ -31,16 +31,18 @@ def leave_one_out(targets: DataFrame) -> DataFrame:
     The fold's corpus is all other targets of the author; it is counted here and joined by author where it is used, so
     an author with many texts makes no list.
     """
-    n = F.count("*").over(Window.partitionBy("author")) - 1
-    out = numbered(targets.select("author", F.col("article_id").alias("target_article_id")).distinct(), ["author", "target_article_id"], "n")
-    return out.select((F.col("n") - 1).cast("long").alias("fold"), "author", "target_article_id", n.alias("corpus_articles"))
+    out = written(numbered(targets.select("author", F.col("article_id").alias("target_article_id")).distinct(), ["author", "target_article_id"], "n"), "targets")
+    sizes = out.groupBy(F.col("author").alias("of")).agg(F.count("*").alias("all"))
+    both = out.join(sizes, F.col("author").eqNullSafe(F.col("of")))
+    return both.select((F.col("n") - 1).cast("long").alias("fold"), "author", "target_article_id", (F.col("all") - 1).alias("corpus_articles"))
 
 
 def other_articles(essays: DataFrame) -> DataFrame:
     """(article_id, author, n_others, words_others): what an author's other articles offer as context, without pairing them."""
-    w = T.word_count("text")
-    by = Window.partitionBy("author")
-    return essays.select("article_id", "author", (F.count("*").over(by) - 1).alias("n_others"), (F.sum(w).over(by) - w).cast("long").alias("words_others"))
+    own = written(essays.select("article_id", "author", T.word_count("text").alias("w")), "words")
+    all_ = own.groupBy(F.col("author").alias("of")).agg(F.count("*").alias("n"), F.sum("w").alias("words"))
+    both = own.join(all_, F.col("author").eqNullSafe(F.col("of")))
+    return both.select("article_id", "author", (F.col("n") - 1).alias("n_others"), (F.col("words") - F.col("w")).cast("long").alias("words_others"))
 
 
 def latest(rows: DataFrame, key: list[str], version: list[str]) -> DataFrame:

@@ -215,7 +215,7 @@ def leakage_idf(spark, d):
 
 
 def leakage_folds(spark, d):
-    return _essay_texts(spark, d).select("id", "author", leakage.fold_of("author", "id").cast("int").alias("fold"))
+    return leakage.folds_of(_essay_texts(spark, d))
 
 
 def leakage_check(spark, d):

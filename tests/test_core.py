@@ -280,7 +280,7 @@ def test_leakage_rule():
 
 def test_leakage_needs_two_authors(spark):
     d = docs(spark, ["alpha beta gamma"] * 4).withColumn("author", F.lit("a"))
-    assert leakage.accuracies(d, T.long_words("text")).count() == 0
+    assert leakage.accuracies(d, T.long_words("text"))[0].count() == 0
 
 
 def test_sinks(spark, tmp_path):
@@ -315,3 +315,27 @@ def test_leakage_weighs_every_word_as_the_reference_does(spark):
     every, pair = math.log(5 / 4) + 1, math.log(5 / 3) + 1
     length = math.hypot((1 + math.log(3)) * every, pair * math.sqrt(20_100))
     assert got["a"][0] == pytest.approx((1 + math.log(3)) * every / length) and got["a"][1] == pytest.approx(pair / length)
+
+
+def test_leakage_check_tells_authors_by_topic(spark):
+    rng = np.random.default_rng(3)
+    topics = {a: [f"{a}word{i}" for i in "abcdefgh"] for a in ("ann", "bob")}
+    d = spark.createDataFrame([(f"{a}{k}", a, " ".join(rng.choice(w, 30)) + " the and") for a, w in topics.items() for k in range(10)], "id string, author string, text string")
+    got = {r.arm: r for r in leakage.leakage_check(d).collect()}
+    assert got["content"]["mean"] == 1 and got["content"].features == 16 and got["words"].features == 18 and got["words"].warning and (got["words"].texts, got["words"].authors, got["words"].folds) == (20, 2, 5)
+
+
+def test_vector_sums_carry_keys_over_batches(spark):
+    rng = np.random.default_rng(4)
+    data = [(f"k{i % 7}" if i % 5 else None, int(i % 3), rng.normal(size=4).tolist()) for i in range(500)]
+    df = spark.createDataFrame(data, "a string, b int, vec array<double>").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = {(r.a, r.b): (r.n, r.s) for r in folds.vector_sums(df, "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
+    assert len(got) == len({x[:2] for x in data})
+    for key, (n, s) in got.items():
+        own = np.array([v for a, b, v in data if (a, b) == key])
+        assert n == len(own) and s == pytest.approx(own.sum(axis=0))
+    assert folds.vector_sums(df.limit(0), "a").count() == 0
