@@ -15,6 +15,7 @@ from collections import Counter
 from itertools import chain
 
 import regex
+from pyspark import SparkFiles
 
 #: Fixed value: the pattern that belongs to the byte-level rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,8 +29,15 @@ _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = 1 << 62
 
 
+def ship(spark, path: str) -> str:
+    """Send a rank file along with the job, so that workers need no copy of their own; the driver has it."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    """The ranks of a file at this path, or of the file of its name that ship() sent to this worker."""
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 

@@ -9,8 +9,6 @@ import numpy as np
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Characters of a language's samples that a model is fitted on, at most.
-MOST_CHARS = 400_000
 
 _HIDDEN = re.compile("[​-‏‪-‮⁠﻿­️]")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -67,7 +65,7 @@ class Model:
     """
 
     def __init__(self, texts: list[str]):
-        joined = (" " + "  ".join(" ".join(filter(None, map(letters, clean(t).split()))) for t in texts) + " ")[:MOST_CHARS]
+        joined = (" " + "  ".join(" ".join(filter(None, map(letters, clean(t).split()))) for t in texts) + " ")
         codes = _codes(joined)
         self.alphabet = len(np.unique(codes)) + 40  # the rest of a script's characters share one part
         self.grams, self.contexts = [], []

@@ -179,7 +179,7 @@ def scorer_of(model) -> Scorer:
 
 
 def broadcast_model(samples: DataFrame):
-    """The fitted models, bounded by SAMPLES and _kn.MOST_CHARS, for all executors."""
+    """The fitted models, bounded by SAMPLES, for all executors."""
     return samples.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *fit(samples)))
 
 

@@ -27,6 +27,7 @@ def _encoded(batches, path: str):
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = _bpe.DEFAULT_FILE) -> DataFrame:
     """(key, ids): each row's token ids without special tokens; [] for an empty or null text. Rows and null keys are kept."""
     kind = df.schema[key].dataType.simpleString()
+    path = _bpe.ship(df.sparkSession, path)
     return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(lambda it: _encoded(it, path), f"id {kind}, ids array<int>").withColumnRenamed("id", key)
 
 
@@ -44,6 +45,7 @@ def count(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = _b
     frequency in the text. One narrow stage: only numbers and the kept columns go on.
     """
     names = [f"c{i}" for i in range(len(keep) + 1)]
+    path = _bpe.ship(df.sparkSession, path)
     cols = df.select(*(F.col(c).alias(n) for c, n in zip([key, *keep], names)), F.col(text).alias("t"))
     out = cols.mapInArrow(lambda it: _counted(it, path), ", ".join(f"{n} {t}" for n, t in cols.dtypes[:-1]) + ", n long")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, [key, *keep])), F.col("n").alias("n_tokens"))

@@ -331,6 +331,16 @@ def test_odd_texts_and_round_trip(spark):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_rank_file_goes_along_with_the_job(spark, tmp_path):
+    import shutil
+
+    away = tmp_path / "ranks.tiktoken"
+    shutil.copy(_bpe.DEFAULT_FILE, away)
+    _bpe.ship(spark, str(away))
+    away.unlink()
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: len(_bpe.read_ranks(str(away)))).first() == len(_bpe.encoder().ranks)
+
+
 def test_budget_is_exact(spark):
     rng = random.Random(1)
     data = [(i if i % 9 else None, rng.choice(["s", "t", None]), rng.choice(["en", None]), rng.choice([None, "", " ".join(say(20, rng)), *ODD])) for i in range(200)]
