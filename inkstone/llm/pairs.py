@@ -96,6 +96,7 @@ _OTHER_SCRIPT = re.compile("[Ͱ-ԯ֐-ۿऀ-ॿ぀-ヿ一-鿿가-힯]")
 _REMARK = re.compile(r"[(\[{<*_]+[^()\[\]{}<>.!?\r\n]+[)\]}>*_]+")
 _STOP = re.compile(r"[.!?][\"'”’»)\]]*\s+")
 _ALNUM = re.compile(r"[^\W_]")
+_LETTER = re.compile(r"[^\W\d_]")
 _CLOSERS = "\"'”’»)]}*_ "
 _LABEL = re.compile(r"[^\W\d_][\w ]{0,30}:\s*\S[^.!?]{0,60}$")
 _PARENTHESIS = re.compile(r"[(\[{<][^()\[\]]{1,50}[)\]}>]$")
@@ -178,7 +179,7 @@ def is_open(body: str) -> bool:
 def script(text: str) -> int | None:
     """The script that most letters of a text are of, by number; None without letters of a known one."""
     if text.isascii() or not _OTHER_SCRIPT.search(text):
-        return 1 if _ALNUM.search(text) else None
+        return 1 if _LETTER.search(text) else None
     sizes = {}
     for m in _SCRIPTS.finditer(text):
         sizes[m.lastindex] = sizes.get(m.lastindex, 0) + len(m.group())

@@ -337,8 +337,7 @@ def test_rank_file_goes_along_with_the_job(spark, tmp_path):
     away = tmp_path / "ranks.tiktoken"
     shutil.copy(_bpe.DEFAULT_FILE, away)
     _bpe.ship(spark, str(away))
-    away.unlink()
-    assert spark.sparkContext.parallelize([0], 1).map(lambda _: len(_bpe.read_ranks(str(away)))).first() == len(_bpe.encoder().ranks)
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: len(_bpe.read_ranks("/nowhere/ranks.tiktoken"))).first() == len(_bpe.encoder().ranks)
 
 
 def test_budget_is_exact(spark):
@@ -516,6 +515,16 @@ def test_repetitive_and_tiny_texts(spark):
     assert got == [("e1", "r1", 0), ("e2", "r2", 1), ("e3", "r4", 0), ("e4", "r5", 0)]
 
 
+def test_a_run_in_very_many_articles_and_copies_of_one(spark):
+    rng = random.Random(24)
+    slogan, essay = say(12, rng), say(90, rng)
+    corpus = [(f"c{i}", " ".join(say(20, rng) + slogan + say(20, rng))) for i in range(3000)] + [(f"k{i}", " ".join(say(5, random.Random(1)) + essay[20:70])) for i in range(1500)]
+    tests = [("t1", " ".join(essay[:30] + essay[30:60] + slogan + essay[60:])), ("t2", " ".join(essay)), ("t2", " ".join(essay))]
+    df = lambda d: spark.createDataFrame([(k, t, "clash") for k, t in d], "article_id string, text string, key string")
+    got = rows(eval_leaks.leaks(df(tests), df(corpus)), "corpus_key", "test_key")
+    assert got == sorted((f"k{i}", t) for i in range(1500) for t in ("t1", "t2"))
+
+
 def test_common_runs_are_those_of_all_pairs():
     rng = random.Random(23)
     for _ in range(30):
