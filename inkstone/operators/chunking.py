@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
@@ -11,12 +13,12 @@ CHUNK_TOKENS = 1000
 MIN_FILL = 0.8
 
 
-def chunk_articles(articles: DataFrame, size: int = CHUNK_TOKENS, fill: float = MIN_FILL) -> DataFrame:
+def chunk_articles(articles: DataFrame, size: int = CHUNK_TOKENS, fill: float = MIN_FILL, tokenize: Callable[[str], Column] = T.tokens) -> DataFrame:
     """chunk_id, author, config, split, source_doc_id, chunk_index, tokens, n_tokens of articles.
 
-    Chunks don't overlap; a last one under size * fill tokens (at least 1) is left out. A text without tokens has none.
+    tokenize gives the tokens of a text column as an array column, such as that of a tokenizer at hand. Chunks don't overlap; a last one under size * fill tokens (at least 1) is left out. A text without tokens has none.
     """
-    cut = articles.select("author", "config", "split", F.col("article_id").alias("source_doc_id"), T.tokens("text").alias("all"))
+    cut = articles.select("author", "config", "split", F.col("article_id").alias("source_doc_id"), tokenize("text").alias("all"))
     n = F.size("all")
     starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
     parts = cut.select("author", "config", "split", "source_doc_id", F.posexplode(F.transform(starts, lambda i: F.slice("all", i * size + 1, size))).alias("chunk_index", "tokens"))

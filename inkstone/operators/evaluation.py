@@ -13,6 +13,16 @@ from inkstone.plans.lineage import written
 from inkstone.plans.ranks import numbered
 
 BINS = 30
+#: Places to which scores are rounded before they are compared.
+SCORE_PLACES = 4
+
+
+def _kinds(scores: DataFrame, group: list[str], name: str, places: int) -> DataFrame:
+    """(group, name, p, n): positive and other scores by rounded score; each counts once, or as often as weight says."""
+    w = F.col("weight") if "weight" in scores.columns else F.lit(1)
+    count = lambda which: F.sum(F.when(which, w).otherwise(0))
+    some = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    return some.groupBy(*group, F.round("score", places).alias(name)).agg(count(F.col("positive")).alias("p"), count(~F.col("positive")).alias("n"))
 
 
 def auc(histogram: DataFrame, places: int = 6) -> DataFrame:
@@ -72,9 +82,9 @@ def histogram_bins(histogram: DataFrame, bins: int = BINS) -> DataFrame:
     return long.withColumn("bin", at).groupBy("is_self", "bin").agg(F.sum("n").alias("n"))
 
 
-def scored_auc(scores: DataFrame, group: list[str], places: int = 4) -> DataFrame:
+def scored_auc(scores: DataFrame, group: list[str], places: int = SCORE_PLACES) -> DataFrame:
     """(group, n_pos, n_neg, auc) of scores (group, score, positive), higher being more positive, ties half."""
-    steps = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*group, F.round("score", places).alias("s")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    steps = _kinds(scores, group, "s", places)
     below = Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # rounded scores of a group
     h = steps.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
     out = h.groupBy(*group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("less") + F.col("n") / 2)).alias("won"))
@@ -82,9 +92,9 @@ def scored_auc(scores: DataFrame, group: list[str], places: int = 4) -> DataFram
     return out.select(*group, "n_pos", "n_neg", value.alias("auc"))
 
 
-def roc_points(scores: DataFrame, group: list[str], places: int = 4) -> DataFrame:
+def roc_points(scores: DataFrame, group: list[str], places: int = SCORE_PLACES) -> DataFrame:
     """(group, threshold, tpr, fpr): parts of both kinds at or above each rounded score; 0 where a kind is missing."""
-    steps = scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*group, F.round("score", places).alias("threshold")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    steps = _kinds(scores, group, "threshold", places)
     above, all_ = Window.partitionBy(*group).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
     part = lambda c: F.when(F.sum(c).over(all_) > 0, F.round(F.sum(c).over(above) / F.sum(c).over(all_), 6)).otherwise(0.0)
     return steps.select(*group, "threshold", part("p").alias("tpr"), part("n").alias("fpr"))

@@ -92,6 +92,12 @@ def contexts(essays: DataFrame, picked: DataFrame) -> DataFrame:
     return picked.select("article_id", "author").join(made, "article_id", "left").select("article_id", "author", context.alias("context"))
 
 
+def fold_corpus(picked: DataFrame) -> DataFrame:
+    """(author, target_article_id, corpus_article_id): the texts that each selected essay's fold is held against, the author's other selected ones."""
+    other = picked.select("author", F.col("article_id").alias("corpus_article_id"))
+    return picked.select("author", F.col("article_id").alias("target_article_id")).join(other, "author").where("target_article_id <> corpus_article_id")
+
+
 def recreation_prompts(essays: DataFrame, picked: DataFrame, details: DataFrame) -> DataFrame:
     """(article_id, model_slug, prompt) for each selected essay's assignments; details: article_id, model_slug, assignment, one row a key."""
     both = details.where("assignment is not null").join(contexts(essays, picked), "article_id")

@@ -99,22 +99,28 @@ def frequencies(docs: DataFrame, vocab: list[str], lower: bool = True) -> DataFr
 def column_stats(docs: DataFrame, vocab: list[str], lower: bool = True) -> DataFrame:
     """(idx, mu, sigma): mean and population deviation of each word's relative frequency over all texts, zeros included.
 
-    Batches are reduced to their number, means and squared deviations, which are then combined, so nothing cancels.
-    Without texts both are 0.
+    Each task reduces its texts to their number, means and squared deviations, which are then combined, so nothing
+    cancels. Without texts both are 0.
     """
 
     def reduce(batches):
+        n, mean, square = 0, np.zeros(len(vocab)), np.zeros(len(vocab))
         for batch in batches:
             rf = _frequencies(batch.column(0), vocab)
             if len(rf):
-                mean = rf.mean(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rf)]), _lists(mean[None]), _lists(((rf - mean) ** 2).sum(axis=0)[None])], ["n", "m", "q"])
-
-    parts = written(docs.select(T.words("text", lower).alias("w")).mapInArrow(reduce, "n long, m array<double>, q array<double>").select("n", F.posexplode(F.arrays_zip("m", "q")).alias("idx", "x")).select("n", "idx", "x.m", "x.q"), "parts")
-    mean = parts.groupBy("idx").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
-    off = F.col("m") - F.col("mu")
-    both = parts.join(F.broadcast(mean), "idx").groupBy("idx", "mu", "all").agg(F.sum(F.col("q") + F.col("n") * off * off).alias("q"))  # a row a word
-    found = both.select("idx", "mu", F.sqrt(F.col("q") / F.col("all")).alias("sigma"))
+                own, total = rf.mean(axis=0), n + len(rf)
+                square += ((rf - own) ** 2).sum(axis=0) + (own - mean) ** 2 * (n * len(rf) / total)
+                mean, n = mean + (own - mean) * (len(rf) / total), total
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), _lists(mean[None]), _lists(square[None])], ["n", "m", "q"])
+
+    parts = docs.select(T.words("text", lower).alias("w")).mapInArrow(reduce, "n long, m array<double>, q array<double>")
+    each = parts.select(F.posexplode(F.transform(F.arrays_zip("m", "q"), lambda x: F.struct(F.col("n").alias("n"), x["m"].alias("m"), x["q"].alias("q")))).alias("idx", "x"))
+    tasks = each.groupBy("idx").agg(F.collect_list("x").alias("l"))  # a value a task
+    total = lambda value: F.aggregate("l", F.lit(0.0), lambda a, x: a + value(x))
+    mean = tasks.withColumn("all", total(lambda x: x["n"].cast("double"))).withColumn("mu", total(lambda x: x["n"] * x["m"]) / F.col("all"))
+    off = total(lambda x: x["q"] + x["n"] * (x["m"] - F.col("mu")) * (x["m"] - F.col("mu")))
+    found = mean.select("idx", "mu", F.sqrt(off / F.col("all")).alias("sigma"))
     every = docs.sparkSession.range(len(vocab)).select(F.col("id").cast("int").alias("idx"))
     return every.join(found, "idx", "left").na.fill(0.0, ["mu", "sigma"])
 
@@ -237,10 +243,11 @@ class MostFrequentWords(FeatureExtractor):
         self.n, self.lowercase, self.order, self.vocab = n, lowercase, list(order), None
 
     def fit(self, docs, reference=None):
-        self.vocab = written(most_frequent(docs, self.n, self.order, self.lowercase), "vocabulary")
-        self.terms = [r.term for r in self.vocab.orderBy("idx").collect()]  # at most MOST_WORDS rows
+        local = lambda df: docs.sparkSession.createDataFrame(sorted(df.collect()), df.schema)  # at most MOST_WORDS rows
+        self.vocab = local(most_frequent(docs, self.n, self.order, self.lowercase))
+        self.terms = [r.term for r in self.vocab.collect()]
         self.size = len(self.terms)
-        self.stats = written(column_stats(docs if reference is None else reference, self.terms, self.lowercase), "stats")
+        self.stats = local(column_stats(docs if reference is None else reference, self.terms, self.lowercase))
         return self
 
     def transform(self, docs):

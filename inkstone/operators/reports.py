@@ -129,11 +129,11 @@ def jaccard(f: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def detection_scores(f: DataFrame) -> DataFrame:
-    """(model_alias, score, positive): a model's generated distances against the natural pool."""
-    gen = f.where(valid()).select("model_alias", F.col("generated_mean_distance").alias("score"), F.lit(True).alias("positive"))
-    models = F.broadcast(f.select("model_alias").distinct())  # a table of models
-    nat = natural_pool(f).select(F.col("natural_mean_distance").alias("score")).withColumn("one", F.lit(1)).join(models.withColumn("one", F.lit(1)), "one")
-    return gen.union(nat.select("model_alias", "score", F.lit(False)))
+    """(model_alias, score, positive, weight): a model's generated distances against the natural pool, which is counted by rounded score first."""
+    gen = f.where(valid()).select("model_alias", F.col("generated_mean_distance").alias("score"), F.lit(True).alias("positive"), F.lit(1).cast("long").alias("weight"))
+    models = f.groupBy().agg(F.collect_set("model_alias").alias("models"))  # a row, of a table of models
+    pool = natural_pool(f).groupBy(F.round("natural_mean_distance", evaluation.SCORE_PLACES).alias("score")).agg(F.count("*").alias("weight")).join(F.broadcast(models))
+    return gen.union(pool.select(F.explode("models").alias("model_alias"), "score", F.lit(False), "weight"))
 
 
 def detection_auc(f: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ SELECT author_i, author_j, CASE WHEN isnan(mean_distance) THEN mean_distance WHE
     "leave_one_out": f"""WITH {ESSAYS}, {MADE}, t AS (SELECT author, article_id FROM articles WHERE article_id IN (SELECT target_article_id FROM made))
 SELECT row_number() OVER (ORDER BY author, article_id) - 1 AS fold, author, article_id AS target_article_id, count(*) OVER (PARTITION BY author) - 1 AS corpus_articles FROM t""",
     "detail_upsert": "SELECT article_id, model_slug, md5(max(assignment)) AS assignment_md5 FROM detail WHERE article_id IS NOT NULL AND assignment IS NOT NULL GROUP BY ALL",
-    "usable_recreations": f"WITH {MADE} SELECT target_article_id, model_alias, rec_id, md5(body) AS body_md5 FROM made",
+    "usable_recreations": f"WITH {MADE} SELECT target_article_id, model_alias, rec_id, target_article_id || '::gen' AS gen_id, md5(body) AS body_md5 FROM made",
     "missing_recreations": f"WITH {ESSAYS}, {MADE} SELECT article_id AS target_article_id, author FROM articles WHERE article_id NOT IN (SELECT target_article_id FROM made)",
     "known_models": f"SELECT DISTINCT {_key('r.model_alias')} AS model_alias, m.model_slug FROM recreation r JOIN model_map m ON {_key('r.model_alias')} = {_key('m.model_alias')}",
     "fold_scores": f"""WITH {MADE}, {_space(FOLD_CHUNK, "(SELECT a.* FROM articles a WHERE article_id IN (SELECT target_article_id FROM made))")}, {UNIT},
@@ -335,4 +335,7 @@ FROM p a JOIN p b ON a.doc = b.doc AND a.chunk_index = b.chunk_index + 1""",
 SELECT x AS author_i, y AS author_j, CASE WHEN x = y THEN count(*) // 2 ELSE count(*) END AS n_pairs, round(avg(d), 5) AS mean_distance FROM distances GROUP BY x, y""",
     "author_distances_char_gram": f"""WITH {GRAMS}, {GRAM_PAIRS}
 SELECT a.author AS author_i, b.author AS author_j, CASE WHEN a.author = b.author THEN count(*) // 2 ELSE count(*) END AS n_pairs, round(avg(d), 6) AS mean_distance FROM apart JOIN articles a ON a.article_id = i JOIN articles b ON b.article_id = j GROUP BY 1, 2""",
+    "fold_corpus": f"WITH {ESSAYS}, {SAMPLED} SELECT a.author, a.article_id AS target_article_id, b.article_id AS corpus_article_id FROM sampled a JOIN sampled b ON a.author = b.author AND a.article_id <> b.article_id",
+    "largest_authors": f"WITH {ESSAYS} SELECT article_id, author FROM articles WHERE author IN (SELECT author FROM articles GROUP BY author ORDER BY count(*) DESC, author LIMIT 3)",
+    "char_gram_names": f"WITH {GRAMS} SELECT row_number() OVER (ORDER BY gram) - 1 AS idx, gram FROM idf",
 }

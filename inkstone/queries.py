@@ -11,6 +11,7 @@ from inkstone.functions import text as T
 from inkstone.functions import vectors as V
 from inkstone.operators import chunking, distance, evaluation, experiment, features, folds, leakage, reports
 from inkstone.plans.lineage import written
+from inkstone.plans.ranks import numbered
 from inkstone.sources import corpus
 
 CHUNK = 200
@@ -167,13 +168,17 @@ def mfw_reference_stats(spark, d):
     return s.stats.join(s.vocab, "idx").select("idx", "term", F.round("mu", 9).alias("mu"), F.round("sigma", 9).alias("sigma"))
 
 
-def _standard(spark, d):
+def _deviations(spark, d):
     docs = written(_docs(spark, d), "docs")
-    return written(_space(spark, d, docs).standardized(docs, ["doc", "author"]), "standard")
+    return _space(spark, d, docs).standardized(docs, ["doc", "author"])
+
+
+def _standard(spark, d):
+    return written(_deviations(spark, d), "standard")
 
 
 def mfw_zscores(spark, d):
-    return _standard(spark, d).select("id", F.posexplode("vec").alias("idx", "z")).select("id", "idx", F.round("z", 6).alias("z"))
+    return _deviations(spark, d).select("id", F.posexplode("vec").alias("idx", "z")).select("id", "idx", F.round("z", 6).alias("z"))
 
 
 def _essay_texts(spark, d):
@@ -352,7 +357,7 @@ def detail_upsert(spark, d):
 
 
 def usable_recreations(spark, d):
-    return folds.usable_recreations(_t(spark, d, "recreation")).select("target_article_id", "model_alias", "rec_id", F.md5("body").alias("body_md5"))
+    return folds.usable_recreations(_t(spark, d, "recreation")).select("target_article_id", "model_alias", "rec_id", experiment.generated_id("target_article_id").alias("gen_id"), F.md5("body").alias("body_md5"))
 
 
 def missing_recreations(spark, d):
@@ -370,6 +375,23 @@ def uneven_authors(spark, d):
     return experiment.uneven(folds.sampled_essays(corpus.test_slice(spark, d), SAMPLE), SAMPLE)
 
 
+def fold_corpus(spark, d):
+    return experiment.fold_corpus(folds.sampled_essays(corpus.test_slice(spark, d), SAMPLE))
+
+
+def largest_authors(spark, d):
+    """The test articles of the three authors with most of them."""
+    essays = corpus.test_slice(spark, d)
+    names = [r.author for r in essays.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(3).collect()]
+    return corpus.articles(_t(spark, d, "essays"), names, (corpus.TEST_CONFIG,)).select("article_id", "author")
+
+
+def char_gram_names(spark, d):
+    """The vocabulary of character grams in its order."""
+    names = features.CharNGrams().fit(_essay_texts(spark, d)).names()
+    return numbered(names, ["gram"], "n").select((F.col("n") - 1).alias("idx"), "gram")
+
+
 def _model_names(spark, d, column="model_alias"):
     return sorted(r[0] for r in _t(spark, d, "model_map").select(T.name_key(column) if column == "model_alias" else column).distinct().collect() if r[0])  # a table of models
 
@@ -431,7 +453,7 @@ QUERIES = {
         content_words, leakage_idf, leakage_folds, leakage_check, cosine_delta_nearest, burrows_delta_nearest, char_gram_nearest, embedding_cosine_nearest, embedding_l1_nearest,
         auc_cosine_delta, auc_burrows_delta, auc_char_gram, auc_embedding, permutation_auc, permutation_summary, distance_histogram, author_distances,
         essay_sample, essay_manifest, leave_one_out, detail_upsert, usable_recreations, missing_recreations, known_models, fold_scores, author_breakdown, jaccard, detection_roc,
-        author_distances_burrows, author_distances_char_gram, detail_tokens, recreation_tokens, recreation_prompts, model_aliases, uneven_authors, detail_resume, article_ids, trick_grid, chunk_drift,
+        fold_corpus, largest_authors, char_gram_names, author_distances_burrows, author_distances_char_gram, detail_tokens, recreation_tokens, recreation_prompts, model_aliases, uneven_authors, detail_resume, article_ids, trick_grid, chunk_drift,
     )
 } | {
     "author_similarity_normalized": author_similarity,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from inkstone.functions import text as T
 
 TEST_CONFIG = "cross_topic_1"
 REFERENCE_CONFIGS = ("cross_genre_2", "cross_genre_3", "cross_genre_4")
+SPLITS = ("train", "validation", "test")
 RECREATION = "rec_id long, article_id string, source_article_id string, author string, title string, body string, model_slug string, model_alias string"
 
 
@@ -29,6 +31,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def load_config(spark: SparkSession, folder: str, config: str) -> DataFrame:
+    """A configuration kept as `folder/config/split.parquet`, with its name and its splits' as columns; only splits that are there are read.
+
+    FileNotFoundError if there are none.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for split in SPLITS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{config}/{split}.parquet")
+        if path.getFileSystem(conf).exists(path):
+            parts.append(spark.read.parquet(path.toString()).withColumn("config", F.lit(config)).withColumn("split", F.lit(split)))
+    if not parts:
+        raise FileNotFoundError(f"{folder}/{config} has no splits")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def articles(df: DataFrame, authors: list[str] | None = None, configs: tuple | None = None) -> DataFrame:
     """One row an article_id: author (by key), text, config, split, article_id, topic, lang.
 
@@ -37,7 +55,7 @@ def articles(df: DataFrame, authors: list[str] | None = None, configs: tuple | N
     """
     has = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     clean = df.select(
-        "article_id", T.name_key("author").alias("author"), F.trim("text").alias("text"), F.trim("config").alias("config"),
+        "article_id", T.name_key("author").alias("author"), F.trim(T.text_of(df, "text")).alias("text"), F.trim("config").alias("config"),
         F.lower(F.trim("split")).alias("split"), T.first_filled(F.lower(F.trim(has("topic")))).alias("topic"), T.first_filled(F.lower(F.trim(has("lang")))).alias("lang"),
     )
     clean = clean.where(F.col("article_id").isNotNull() & F.col("author").isNotNull() & F.col("text").rlike(T.INK))
@@ -78,7 +96,7 @@ def test_slice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """The reference configurations, united without removing articles that recur under another one."""
+    """The reference configurations, united. An article that recurs under another one has another key and stays; redelivered rows are one."""
     return articles(table(spark, folder, "reference_corpus"), configs=REFERENCE_CONFIGS)
 
 

@@ -24,6 +24,8 @@ def ask(provider: Provider, prompt: str, tries: int = TRIES, wait: float = FIRST
     for k in range(tries):
         try:
             if (answer := provider(prompt)) is not None:
+                if not isinstance(answer, str):
+                    raise TypeError(f"an answer must be text, not {type(answer).__name__}")  # a fault of the provider, which no retry mends
                 return answer
         except (OSError, RuntimeError):
             pass

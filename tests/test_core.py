@@ -339,3 +339,17 @@ def test_vector_sums_carry_keys_over_batches(spark):
         own = np.array([v for a, b, v in data if (a, b) == key])
         assert n == len(own) and s == pytest.approx(own.sum(axis=0))
     assert folds.vector_sums(df.limit(0), "a").count() == 0
+
+
+def test_configurations_with_the_splits_that_are_there(spark, tmp_path):
+    for split in ("train", "test"):
+        spark.createDataFrame([(split[0],)], "text string").write.parquet(f"{tmp_path}/c1/{split}.parquet")
+    assert values(corpus.load_config(spark, str(tmp_path), "c1"), "text", "config", "split") == [("t", "c1", "test"), ("t", "c1", "train")]
+    with pytest.raises(FileNotFoundError):
+        corpus.load_config(spark, str(tmp_path), "c2")
+
+
+def test_hooks_for_tokens_and_tags(spark):
+    df = spark.createDataFrame([("d", "a", "one-two three", "c", "s")], "article_id string, author string, text string, config string, split string")
+    assert chunking.chunk_articles(df, 2, 0.5, tokenize=T.pieces).first().tokens == ["one-two", "three"]
+    assert df.select(leakage.content_words("text", lambda w: w != "two")).first()[0] == ["one", "three"]
