@@ -23,8 +23,8 @@ from inkstone.plans.lineage import written
 #: Rows of a block, and of the part of it that is multiplied at a time; a row is sent to as many tiles as there are blocks.
 BLOCK, PART = 8192, 1024
 SPARSE_BLOCK, SPARSE_PART = 2048, 256
-#: A smaller table is cut into so many blocks, of at least PART / 2 rows, that its tiles keep some cores busy.
-LEAST_BLOCKS = 6
+#: A smaller table is cut into so many blocks, of at least PART / 2 rows, that its tiles spread evenly over some cores.
+LEAST_BLOCKS = 12
 #: Distances are counted in steps of 10**-PLACES. Manhattan distances are counted as means over the columns, those over
 #: MOST as MOST, so that there are at most MOST * 10**PLACES + 1 steps.
 PLACES, MOST = 4, 100
