@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from inkstone.operators import distance as D
 from inkstone.operators.folds import vector_sums
 from inkstone.plans.lineage import written
-from inkstone.plans.ranks import numbered
 
 BINS = 30
 #: Places to which scores are rounded before they are compared.
@@ -39,24 +38,18 @@ def auc(histogram: DataFrame, places: int = 6) -> DataFrame:
     return out.select("n_pairs", "n_self", "n_cross", value.alias("auc"))
 
 
-def relabelled(rows: DataFrame, permutations: int, seed: int = 1729) -> DataFrame:
-    """rows with labels: for each permutation the author of the row whose place by id is this row's place by a seeded hash."""
-    named = written(numbered(rows.select("id", "author"), ["id"], "ord"), "places")
-    n = named.count()
-    key = F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(":"), F.col("id"))))
-    each = named.select("id", F.col("ord").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k")).select("row", "k", key.alias("key"))
-    placed = numbered(each, ["k", "key", "row"], "at").select("row", "k", (F.col("at") - F.col("k") * n).alias("ord"))
-    label = placed.join(named.select("ord", F.xxhash64("author").alias("label")), "ord")
-    labels = label.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]).alias("labels"))  # one a permutation
-    return rows.join(named.select("id", F.col("ord").alias("row")).join(labels, "row").drop("row"), "id")
+def permutation_test(rows: DataFrame | D.Blocks, permutations: int = 250, seed: int = 1729, metric: str = "cosine", histogram: DataFrame | None = None) -> DataFrame:
+    """(k, n_self, auc): the AUC after each shuffle of the rows' authors; distances are ranked once, for all shuffles.
 
-
-def permutation_test(rows: DataFrame, permutations: int = 250, seed: int = 1729, metric: str = "cosine") -> DataFrame:
-    """(k, n_self, auc): the AUC after each shuffle of the rows' authors; distances are ranked once, for all shuffles."""
-    steps = D.pair_histogram(rows, metric).select("step", (F.col("n_self") + F.col("n_cross")).alias("n")).toPandas().sort_values("step")  # a bounded number of steps
+    A shuffle gives each row the author of the row whose place by id is this row's place by a seeded hash. rows: also
+    blocks with ids; histogram: that of their pairs, if it is there.
+    """
+    blocks = rows if isinstance(rows, D.Blocks) else D.packed(rows, ids=True)
+    h = D.pair_histogram(blocks, metric) if histogram is None else histogram
+    steps = h.select("step", (F.col("n_self") + F.col("n_cross")).alias("n")).toPandas().sort_values("step")  # a bounded number of steps
     total, ahead = int(steps["n"].sum()), np.cumsum(steps["n"]) - steps["n"]
     middle = dict(zip(steps["step"], ahead + (steps["n"] + 1) / 2))
-    sums = D.permuted_ranks(relabelled(rows, permutations, seed), middle, metric)
+    sums = D.permuted_ranks(blocks, middle, permutations, seed, metric)
     n1 = F.col("n_self").cast("double")
     n0 = F.lit(float(total)) - n1
     value = F.when((n1 > 0) & (n0 > 0), 1 - (F.col("rank_sum") - n1 * (n1 + 1) / 2) / (n1 * n0)).otherwise(float("nan"))

@@ -22,6 +22,8 @@ EPS = 1e-12
 MOST_TERMS = 300_000
 #: Words whose grams a worker remembers; beyond it the memory is emptied, never the work.
 CACHE_WORDS = 200_000
+#: And the grams that a worker has numbers for, or totals of, before it hands these on.
+CACHE_GRAMS = 500_000
 
 
 def _word_rows(batches):
@@ -125,37 +127,76 @@ def column_stats(docs: DataFrame, vocab: list[str], lower: bool = True) -> DataF
     return every.join(found, "idx", "left").na.fill(0.0, ["mu", "sigma"])
 
 
-def _tally(batches, expand):
-    """Per text its different terms in order, with their counts."""
-    seen: dict = {}
+def _grams(words: pa.ListArray, expand, seen: dict, codes: dict):
+    """(text, gram, count) of some texts as arrays, by text and gram, and the grams in their order; seen: the codes of each word's grams."""
+    flat, lengths = words.flatten().dictionary_encode(), np.diff(words.offsets.to_numpy())
+    if len(codes) > CACHE_GRAMS or len(seen) > CACHE_WORDS:
+        codes.clear()
+        seen.clear()
+    own = []
+    for w in flat.dictionary.to_pylist():
+        if w not in seen:
+            seen[w] = np.array([codes.setdefault(g, len(codes)) for g in (expand(w) if expand else (w,))], np.int64)
+        own.append(seen[w])
+    many = np.array([len(x) for x in own], np.int64)
+    there, at = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
+    names = np.array(list(codes) or [""], dtype=object)
+    grams = names[there]
+    order = np.argsort(grams, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    begin, word = np.cumsum(many) - many, flat.indices.to_numpy()
+    n = many[word]
+    each = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    cell = np.repeat(np.repeat(np.arange(len(lengths)), lengths), n) * max(len(grams), 1) + rank[at][each]
+    count = np.bincount(cell)
+    cell = np.flatnonzero(count)
+    return cell // max(len(grams), 1), cell % max(len(grams), 1), count[cell], grams[order]
+
+
+def _slices(batches, most: int = 128):
     for batch in batches:
-        out = []
-        for terms in batch.column(1).to_pylist():
-            if expand is not None:
-                counts: Counter = Counter()
-                for w, n in Counter(terms).items():
-                    if w not in seen:
-                        if len(seen) > CACHE_WORDS:
-                            seen.clear()
-                        seen[w] = expand(w)
-                    for g in seen[w]:
-                        counts[g] += n
-            else:
-                counts = Counter(terms)
-            out.append(sorted(counts.items()))
-        ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-        flat = [x for items in out for x in items]
-        terms, counts = zip(*flat) if flat else ((), ())
-        lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (pa.array(terms, pa.string()), pa.array(counts, pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "terms", "tf"])
-
-
-def term_lists(docs: DataFrame, terms, expand=None) -> DataFrame:
-    """(id, terms, tf): each text's different terms and counts as two arrays, in one narrow stage.
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
+def _tally(batches, expand):
+    """Per text its different terms in order, with their counts; the texts' other columns stay before them."""
+    seen, codes = {}, {}
+    for batch in _slices(batches):
+        text, gram, n, names = _grams(batch.column(batch.num_columns - 1), expand, seen, codes)
+        ends = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(names, pa.string()).take(pa.array(gram)), pa.array(n, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "terms", "tf"])
+
+
+def term_lists(docs: DataFrame, terms, expand=None, keep: list[str] = ()) -> DataFrame:
+    """(id, keep..., terms, tf): each text's different terms and counts as two arrays, in one narrow stage.
 
     terms: an array column; expand(term), if given, gives the grams of each term and is remembered by the worker.
     """
-    return docs.select("id", terms.alias("t")).mapInArrow(lambda it: _tally(it, expand), "id string, terms array<string>, tf array<long>")
+    cols = docs.select("id", *keep, terms.alias("t"))
+    return cols.mapInArrow(lambda it: _tally(it, expand), ", ".join(f"{n} {t}" for n, t in cols.dtypes[:-1]) + ", terms array<string>, tf array<long>")
+
+
+def term_totals(docs: DataFrame, terms, expand=None) -> DataFrame:
+    """(gram, df, n) of all terms: texts that have them, and their number; a row leaves a task for each of its terms, not one a text."""
+
+    def count(batches):
+        seen, codes, df, n = {}, {}, Counter(), Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"gram": pa.array(list(df), pa.string()), "df": pa.array(df.values(), pa.int64()), "n": pa.array((n[g] for g in df), pa.int64())})
+        for batch in _slices(batches):
+            _, gram, tf, names = _grams(batch.column(0), expand, seen, codes)
+            df.update(dict(zip(names, np.bincount(gram, minlength=len(names)).tolist())))
+            n.update(dict(zip(names, np.bincount(gram, tf, minlength=len(names)).astype(np.int64).tolist())))
+            if len(df) > CACHE_GRAMS:
+                yield out()
+                df, n = Counter(), Counter()
+        if df:
+            yield out()
+
+    tasks = docs.select(terms.alias("t")).mapInArrow(count, "gram string, df long, n long")
+    return tasks.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
 def padded_grams(low: int, high: int):
@@ -174,7 +215,12 @@ def padded_grams(low: int, high: int):
 def idf_of(lists: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """(gram, df, idf) of terms in at least min_df texts: ln((1 + n) / (1 + df)) + 1; the most frequent ones only, if limited."""
     tf = lists.select(F.explode(F.arrays_zip("terms", "tf")).alias("x")).select(F.col("x.terms").alias("gram"), "x.tf")
-    df = tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= min_df)
+    return idf_from(tf.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), n_docs, min_df, max_features)
+
+
+def idf_from(totals: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """idf_of() of terms whose totals (gram, df, n) are there."""
+    df = totals.where(F.col("df") >= min_df)
     if max_features is not None:
         df = df.orderBy(F.desc("n"), "gram").limit(max_features)
     return df.select("gram", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1).alias("idf"))
@@ -183,7 +229,7 @@ def idf_of(lists: DataFrame, n_docs: int, min_df: int = 2, max_features: int | N
 def _weigh(batches, shared):
     terms, idf = shared.value
     for batch in batches:
-        lists, tf = batch.column(1), batch.column(2)
+        lists, tf = batch.columns[-2:]
         at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         hit = at >= 0
@@ -191,24 +237,25 @@ def _weigh(batches, shared):
         length = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32))
         kept = lists.flatten().filter(pa.array(hit))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, kept), pa.ListArray.from_arrays(ends, pa.array(w / length[row]))], ["id", "terms", "w"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, kept), pa.ListArray.from_arrays(ends, pa.array(w / length[row]))], [*batch.schema.names[:-2], "terms", "w"])
 
 
 def tfidf(lists: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, terms, w): (1 + ln tf) * idf of the known terms as two arrays, each text at length 1.
+    """(id, ..., terms, w): (1 + ln tf) * idf of the known terms as two arrays, each text at length 1; other columns of lists stay.
 
     A table of at most MOST_TERMS terms goes to the tasks, and nothing is shuffled; a larger one is joined.
     """
     if idf.count() <= MOST_TERMS:
         known = idf.select("gram", "idf").toArrow()  # at most MOST_TERMS rows
         shared = idf.sparkSession.sparkContext.broadcast((known.column("gram").combine_chunks(), known.column("idf").to_numpy()))
-        return lists.mapInArrow(lambda it: _weigh(it, shared), "id string, terms array<string>, w array<double>")
+        return lists.mapInArrow(lambda it: _weigh(_slices(it), shared), ", ".join(f"{n} {t}" for n, t in lists.dtypes[:-2]) + ", terms array<string>, w array<double>")
     raw = lists.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).join(idf, F.col("x.terms") == F.col("gram"))
     x = raw.select("id", F.struct("gram", ((1 + F.log("x.tf")) * F.col("idf")).alias("w")).alias("x")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))  # the terms of one text
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y["w"] * y["w"]))
-    both = lists.select("id").join(x.withColumn("l", length), "id", "left")
+    names = lists.columns[:-2]
+    both = lists.select(*names).join(x.withColumn("l", length), "id", "left")
     none = F.array()
-    return both.select("id", F.coalesce(F.transform("x", lambda y: y["gram"]), none.cast("array<string>")).alias("terms"), F.coalesce(F.transform("x", lambda y: y["w"] / F.col("l")), none.cast("array<double>")).alias("w"))
+    return both.select(*names, F.coalesce(F.transform("x", lambda y: y["gram"]), none.cast("array<string>")).alias("terms"), F.coalesce(F.transform("x", lambda y: y["w"] / F.col("l")), none.cast("array<double>")).alias("w"))
 
 
 class FeatureExtractor:
@@ -279,17 +326,18 @@ class CharNGrams(FeatureExtractor):
     def __init__(self, ngram_range: tuple[int, int] = (3, 4), min_df: int = 2, max_features: int | None = None):
         self.range, self.min_df, self.max_features, self.idf = ngram_range, min_df, max_features, None
 
-    def lists(self, docs):
-        return term_lists(docs, T.pieces("text"), padded_grams(*self.range))
+    def lists(self, docs, keep=()):
+        return term_lists(docs, T.pieces("text"), padded_grams(*self.range), keep)
 
     def fit(self, docs, reference=None):
-        self.idf = written(idf_of(self.lists(docs), docs.count(), self.min_df, self.max_features), "idf")
+        totals = term_totals(docs, T.pieces("text"), padded_grams(*self.range))
+        self.idf = written(idf_from(totals, docs.count(), self.min_df, self.max_features), "idf")
         return self
 
-    def transform(self, docs):
+    def transform(self, docs, keep=()):
         if self.idf is None:
             raise RuntimeError("fit comes before transform")
-        return tfidf(self.lists(docs), self.idf)
+        return tfidf(self.lists(docs, keep), self.idf)
 
     def names(self):
         return self.idf.select("gram").orderBy("gram")
@@ -309,8 +357,7 @@ def _unit(space, docs):
 
 
 def _sparse(space, docs):
-    rows = space.transform(docs).select("id", F.transform("terms", lambda x: F.xxhash64(x)).alias("idx"), F.col("w").alias("val"))
-    return rows.join(docs.select("id", "doc", "author"), "id")
+    return space.transform(docs, ["doc", "author"]).select("id", "doc", "author", F.transform("terms", lambda x: F.xxhash64(x)).alias("idx"), F.col("w").alias("val"))
 
 
 #: Registries through which a pipeline picks features and metrics by name; register() adds to them.

@@ -1,8 +1,10 @@
 import json
 import math
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +355,46 @@ def test_hooks_for_tokens_and_tags(spark):
     df = spark.createDataFrame([("d", "a", "one-two three", "c", "s")], "article_id string, author string, text string, config string, split string")
     assert chunking.chunk_articles(df, 2, 0.5, tokenize=T.pieces).first().tokens == ["one-two", "three"]
     assert df.select(leakage.content_words("text", lambda w: w != "two")).first()[0] == ["one", "three"]
+
+
+def gram_rows(spark, n=40, columns=12):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        idx = np.sort(rng.choice(columns, 5, replace=False))
+        v = rng.random(5)
+        rows.append((f"r{i:02d}", f"a{i % 4}", f"d{i // 2 if i < 8 else i}", idx.tolist(), (v / np.linalg.norm(v)).tolist()))
+    dense = [(i, a, d, [dict(zip(x, v)).get(c, 0.0) for c in range(columns)]) for i, a, d, x, v in rows]
+    return spark.createDataFrame(rows, "id string, author string, doc string, idx array<long>, val array<double>").repartition(3), dense
+
+
+@pytest.mark.parametrize("full", [0, 4, 10**9])
+def test_sparse_rows_are_written_once_and_counted_as_pairs(spark, monkeypatch, full):
+    monkeypatch.setattr(distance, "DENSE", full)  # tasks have that of their own process; the functions are called here, too
+    rows, dense = gram_rows(spark)
+    blocks = distance.packed(rows, 7, ids=True)
+    read = blocks.reader()
+    assert sum(blocks.sizes) == 40 and max(blocks.sizes) <= 7 and sorted(i for k in range(len(blocks.names)) for i in read(k)["id"].to_pylist()) == [r[0] for r in dense]
+    for k in range(len(blocks.names)):
+        a, b = read(0), read(k)
+        vec = dict((r[0], np.array(r[3])) for r in dense)
+        want = np.array([[vec[i] @ vec[j] for j in b["id"].to_pylist()] for i in a["id"].to_pylist()])
+        assert np.concatenate([m for m, _ in distance._dots(a, b)]) == pytest.approx(want)
+    got = {r.step: (r.n_self, r.n_cross) for r in distance.pair_histogram(blocks).collect()}
+    pairs = brute_pairs(dense, "cosine")
+    assert got == {s: (sum(x for t, x in pairs if t == s), sum(not x for t, x in pairs if t == s)) for s in {t for t, _ in pairs}}
+
+
+def test_terms_of_many_texts_leave_a_worker_in_small_batches():
+    words = pa.array([[f"w{i % 50}", "all", "all"] for i in range(1000)])
+    out = list(features._tally([pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(1000)]), words], ["id", "t"])], features.padded_grams(3, 4)))
+    assert max(b.num_rows for b in out) <= 128 and sum(b.num_rows for b in out) == 1000
+    row = out[3].slice(3, 1).to_pydict()
+    one = features.padded_grams(3, 4)
+    want = Counter(g for w in words[387].as_py() for g in one(w))
+    assert row["id"] == ["d387"] and (row["terms"], row["tf"]) == ([[k for k, _ in sorted(want.items())]], [[v for _, v in sorted(want.items())]])
+
+
+def test_term_totals_are_a_row_a_task_and_term(spark):
+    d = docs(spark, ["aa bb aa", "bb cc", ""] * 100).repartition(2)
+    assert {r.gram: (r.df, r.n) for r in features.term_totals(d, T.words("text")).collect()} == {"aa": (100, 200), "bb": (200, 200), "cc": (100, 100)}
