@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import vectors as V
-from inkstone.plans.blocks import Blocks, dealt, folder, load, over, pieces, save
+from inkstone.plans.blocks import Blocks, Made, dealt, folder, load, over, pieces, save
 from inkstone.plans.lineage import written
 
 #: Rows of a block, and of the part of it that is multiplied at a time; a row is sent to as many tiles as there are blocks.
@@ -63,15 +63,18 @@ def _many(n: int, block: int, part: int) -> int:
     return max(1, -(-n // block), min(LEAST_BLOCKS, -(-2 * n // part)))
 
 
-def packed(rows: DataFrame, block: int | None = None, ids: bool = False, names: bool = False) -> Blocks:
+def packed(rows: DataFrame | Made, block: int | None = None, ids: bool = False, names: bool = False) -> Blocks:
     """rows as blocks of arrays in the shared folder, made where the rows are; with ids, or with authors' names, if asked for."""
-    if "vec" in rows.columns:
+    made = rows if isinstance(rows, Made) else None
+    rows, make = (made.texts, made.make) if made else (rows, iter)
+    dense = "vec" in rows.columns
+    if dense:
         block, part = _sizes(block)
         size = max(1, -(-(n := rows.count()) // _many(n, block, part)))
     else:
         size = block or SPARSE_BLOCK  # counting them would make them once more
-    dense, where = "vec" in rows.columns, folder(rows.sparkSession, "blocks")
-    cols = rows.select("id", F.col("author").alias("name"), F.xxhash64("author").alias("author"), F.xxhash64("doc").alias("doc"), *(["vec"] if dense else ["idx", "val"]))
+    where = folder(rows.sparkSession, "blocks")
+    cols = rows.select("id", F.col("author").alias("name"), F.xxhash64("author").alias("author"), F.xxhash64("doc").alias("doc"), *(["vec"] if dense else [made.value.alias("t")] if made else ["idx", "val"]))
 
     def put(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -92,7 +95,7 @@ def packed(rows: DataFrame, block: int | None = None, ids: bool = False, names:
 
     def cut(batches):
         held, n = [], 0
-        for batch in batches:
+        for batch in make(batches):
             at = 0
             while at < batch.num_rows:
                 held.append(batch.slice(at, size - n))
@@ -103,8 +106,8 @@ def packed(rows: DataFrame, block: int | None = None, ids: bool = False, names:
         if held:
             yield put(held)
 
-    made = sorted(cols.mapInArrow(cut, "name string, n long, authors binary").collect())  # a row a block
-    return Blocks(rows.sparkSession, where, [r[0] for r in made], [r[1] for r in made], [bytes(r[2]) for r in made])
+    out = sorted(cols.mapInArrow(cut, "name string, n long, authors binary").collect())  # a row a block
+    return Blocks(rows.sparkSession, where, [r[0] for r in out], [r[1] for r in out], [bytes(r[2]) for r in out])
 
 
 def _by_column(idx: pa.ListArray, val: pa.ListArray, order: np.ndarray) -> dict:
@@ -225,7 +228,7 @@ def _tile_histogram(a: dict, b: dict, same: bool, metric: str) -> tuple[np.ndarr
     return of_one, every
 
 
-def pair_histogram(rows: DataFrame | Blocks, metric: str = "cosine", block: int | None = None) -> DataFrame:
+def pair_histogram(rows: DataFrame | Made | Blocks, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(step, n_self, n_cross): pairs of rows of different documents by distance in steps, of one or of two authors."""
     blocks = rows if isinstance(rows, Blocks) else packed(rows, block)
     read = blocks.reader()
@@ -335,14 +338,13 @@ def permuted_ranks(blocks: Blocks, middle: dict[int, float], permutations: int,
     return each.groupBy("k").agg(F.sum("rank_sum").alias("rank_sum"), (F.lit(pairs) - F.sum("less")).alias("n_self"))
 
 
-def author_means(rows: DataFrame, metric: str = "cosine", block: int | None = None) -> DataFrame:
+def author_means(rows: DataFrame | Made, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(author_i, author_j, n_pairs, mean_distance) of every two authors, and each with itself, that have rows of different documents.
 
     Any metric will do, as the distances themselves are added up, tile by tile; both orders of two authors come out.
     Rows are put together by author (sparse rows should come so), and only authors of several blocks are added up after.
     """
-    dense = "vec" in rows.columns
-    if dense:
+    if not isinstance(rows, Made) and "vec" in rows.columns:
         rows = rows.repartitionByRange(F.xxhash64("author")).sortWithinPartitions(F.xxhash64("author"))
     blocks = packed(rows, block or SPARSE_BLOCK, names=True)
     there, times = np.unique(np.concatenate([np.frombuffer(a, np.int64) for a in blocks.authors] or [np.zeros(0, np.int64)]), return_counts=True)
@@ -397,13 +399,13 @@ def cells(rows: DataFrame, value, schema: str, block: int = PART) -> DataFrame:
     return own.withColumn("lo", F.least("b", "t")).withColumn("hi", F.greatest("b", "t")).drop("t").groupBy("lo", "hi").applyInPandas(make, schema)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: int = 10, places: int = 6, block: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame | Made, queries: DataFrame | Made, metric: str = "cosine", top: int = 10, places: int = 6, block: int | None = None) -> DataFrame:
     """(query, id, d, rank): each query's top nearest rows of other documents, by distance rounded to places, then id.
 
     Queries and rows are both in blocks; a task takes a block of either and gives the nearest of its rows. So nothing is
     gathered, and a row is sent to as many tasks as there are blocks of queries.
     """
-    if "vec" not in rows.columns:
+    if isinstance(rows, Made) or "vec" not in rows.columns:
         return _sparse_nearest(rows, queries, top, places, block)
     block, part = _sizes(block)
     cols = ["vec"]
@@ -428,7 +430,7 @@ def nearest(rows: DataFrame, queries: DataFrame, metric: str = "cosine", top: in
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _sparse_nearest(rows: DataFrame, queries: DataFrame, top: int, places: int, block: int | None) -> DataFrame:
+def _sparse_nearest(rows: DataFrame | Made, queries: DataFrame | Made, top: int, places: int, block: int | None) -> DataFrame:
     """nearest() of sparse rows: a task has a block of queries, reads the blocks of rows one by one and gives what is nearest of all."""
     blocks = packed(rows, block, ids=True)
     asked = blocks if queries is rows else packed(queries, block, ids=True)

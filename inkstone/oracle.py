@@ -229,7 +229,7 @@ SELECT word, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM articles)) /
     "cosine_delta_nearest": f"WITH {_space(CHUNK)}, {UNIT}, {_nearest('unit', COSINE, TWENTIETH)}",
     "burrows_delta_nearest": f"WITH {_space(CHUNK)}, {_nearest('vec', MANHATTAN, TWENTIETH, 5)}",
     "char_gram_nearest": f"""WITH {GRAMS}, {GRAM_PAIRS},
-near AS (SELECT i AS query, j AS id, round(d, 6) AS distance FROM apart WHERE CAST('0x' || substr(md5(i), 1, 8) AS BIGINT) % 20 = 0),
+near AS (SELECT i AS query, j AS id, round(d, 6) AS distance FROM apart),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, id) AS INTEGER) AS rank FROM near) SELECT query, id, distance, rank FROM placed WHERE rank <= 10""",
     "embedding_cosine_nearest": f"WITH {EMBEDDINGS}, {UNIT}, {_nearest('unit', COSINE, 'CAST(a.id AS BIGINT) % 20 = 0')}",
     "embedding_l1_nearest": f"WITH {EMBEDDINGS}, {_nearest('vec', MANHATTAN, 'a.vec_id % 20 = 0')}",

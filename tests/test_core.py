@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 from collections import Counter
@@ -398,3 +399,20 @@ def test_terms_of_many_texts_leave_a_worker_in_small_batches():
 def test_term_totals_are_a_row_a_task_and_term(spark):
     d = docs(spark, ["aa bb aa", "bb cc", ""] * 100).repartition(2)
     assert {r.gram: (r.df, r.n) for r in features.term_totals(d, T.words("text")).collect()} == {"aa": (100, 200), "bb": (200, 200), "cc": (100, 100)}
+
+
+def test_gram_rows_are_made_as_they_are_packed(spark, monkeypatch):
+    d = docs(spark, ["the cat sat", "the cat ran far", "a dog ran", "the dog sat far", ""]).withColumn("doc", F.col("id")).withColumn("author", F.concat(F.lit("a"), F.substring("id", 2, 1).cast("int") % 2))
+    space = features.CharNGrams().fit(d)
+    made = sorted(map(tuple, distance.pair_histogram(space.rows(d), block=2).collect()))
+    monkeypatch.setattr(features, "MOST_TERMS", 0)
+    assert made == sorted(map(tuple, distance.pair_histogram(space.rows(d), block=2).collect())) and sum(a + b for _, a, b in made) == 10
+
+
+def test_nearest_sparse_rows_of_every_row(spark):
+    rows, dense = gram_rows(spark)
+    want = {(i, r): (j, d) for i, _, e, u in dense for r, (d, j) in enumerate(sorted((round(1 - np.dot(u, v), 6), j) for j, _, f, v in dense if e != f)[:10], 1)}
+    got = {(r.query, r["rank"]): (r.id, r.d) for r in distance.nearest(rows, rows, block=7).collect()}
+    assert len(got) == 400 and got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    one = distance.nearest(rows, rows.where("id = 'r05'"), block=7).collect()
+    assert {(r.query, r["rank"]): r.id for r in one} == {k: v[0] for k, v in want.items() if k[0] == "r05"}
