@@ -416,3 +416,20 @@ def test_nearest_sparse_rows_of_every_row(spark):
     assert len(got) == 400 and got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
     one = distance.nearest(rows, rows.where("id = 'r05'"), block=7).collect()
     assert {(r.query, r["rank"]): r.id for r in one} == {k: v[0] for k, v in want.items() if k[0] == "r05"}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "manhattan"])
+def test_author_means_of_authors_in_one_block_and_in_several(spark, metric):
+    sparse, dense = gram_rows(spark)
+    names = lambda r: (r.author_i, r.author_j)
+    want = {}
+    for n, (_, x, d, u) in enumerate(dense):
+        for _, y, e, v in dense[n + 1 :]:
+            if d != e:
+                far = 1 - np.dot(u, v) if metric == "cosine" else np.abs(np.subtract(u, v)).sum()
+                for key in {(x, y), (y, x)}:
+                    want.setdefault(key, []).append(far)
+    for block in (3, 1000):
+        for rows in [vectors(spark, dense)] + [sparse] * (metric == "cosine"):
+            got = {names(r): (r.n_pairs, r.mean_distance) for r in distance.author_means(rows, metric, block).collect()}
+            assert got.keys() == want.keys() and all(got[k] == (len(w), pytest.approx(np.mean(w))) for k, w in want.items())
