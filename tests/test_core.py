@@ -433,3 +433,29 @@ def test_author_means_of_authors_in_one_block_and_in_several(spark, metric):
         for rows in [vectors(spark, dense)] + [sparse] * (metric == "cosine"):
             got = {names(r): (r.n_pairs, r.mean_distance) for r in distance.author_means(rows, metric, block).collect()}
             assert got.keys() == want.keys() and all(got[k] == (len(w), pytest.approx(np.mean(w))) for k, w in want.items())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "manhattan"])
+def test_permutations_equal_relabelled_pairs(spark, metric):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i:02d}", f"a{i % 3}" if i % 2 else "often", f"d{i // 2 if i < 8 else i}", rng.random(4).tolist()) for i in range(30)]
+    if metric == "cosine":
+        rows = [(i, a, d, (np.array(v) / np.linalg.norm(v)).tolist()) for i, a, d, v in rows]
+    far = lambda u, v: 1 - np.dot(u, v) if metric == "cosine" else np.abs(np.subtract(u, v)).sum() / 4
+    pairs = [(math.floor(far(rows[i][3], rows[j][3]) * 10**4 + 0.5), i, j) for i in range(30) for j in range(i + 1, 30) if rows[i][2] != rows[j][2]]
+    steps = Counter(s for s, _, _ in pairs)
+    ahead, middle = 0, {}
+    for s in sorted(steps):
+        middle[s] = ahead + (steps[s] + 1) / 2
+        ahead += steps[s]
+    want = {}
+    for k in range(5):
+        order = sorted(range(30), key=lambda i: (hashlib.md5(f"7:{k}:{rows[i][0]}".encode()).hexdigest(), i))
+        label = {i: rows[at][1] for at, i in enumerate(order)}
+        own = [middle[s] for s, i, j in pairs if label[i] == label[j]]
+        want[k] = (len(own), 1 - (sum(own) - len(own) * (len(own) + 1) / 2) / (len(own) * (len(pairs) - len(own))))
+    for block in (4, 100):
+        blocks = distance.packed(vectors(spark, rows).repartition(2), block, ids=True)
+        got = {r.k: (r.n_self, r.auc) for r in evaluation.permutation_test(blocks, 5, 7, metric).collect()}
+        assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
+    assert evaluation.permutation_test(vectors(spark, rows).limit(0), 3).where("n_self > 0").count() == 0
