@@ -459,3 +459,18 @@ def test_permutations_equal_relabelled_pairs(spark, metric):
         got = {r.k: (r.n_self, r.auc) for r in evaluation.permutation_test(blocks, 5, 7, metric).collect()}
         assert got.keys() == want.keys() and all(got[k] == (want[k][0], pytest.approx(want[k][1])) for k in want)
     assert evaluation.permutation_test(vectors(spark, rows).limit(0), 3).where("n_self > 0").count() == 0
+
+
+def test_manhattan_histogram_takes_a_tile_in_small_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i:02d}", f"a{i % 3}", f"d{i}", rng.normal(size=7).tolist()) for i in range(40)]
+    got = {r.step: (r.n_self, r.n_cross) for r in distance.pair_histogram(vectors(spark, rows), "manhattan", block=9).collect()}
+    want = {}
+    for i, (_, a, _, u) in enumerate(rows):
+        for _, b, _, v in rows[i + 1 :]:
+            key = math.floor(np.abs(np.subtract(u, v)).sum() / 7 * 10**4 + 0.5)
+            want[key] = tuple(np.add(want.get(key, (0, 0)), (a == b, a != b)))
+    assert got == want
+    x = {"vec": rng.normal(size=(600, 5)), "author": np.zeros(600, np.int64)}
+    assert max(d.size for d, _, _ in distance._parts_of(x, x, "manhattan", True)) <= distance.ROWS * distance.COLUMNS
+    assert distance._manhattan(x["vec"][:3], x["vec"].T) == pytest.approx(np.abs(x["vec"][:3, None] - x["vec"][None]).sum(axis=2))
