@@ -24,6 +24,11 @@ def _kinds(scores: DataFrame, group: list[str], name: str, places: int) -> DataF
     return some.groupBy(*group, F.round("score", places).alias(name)).agg(count(F.col("positive")).alias("p"), count(~F.col("positive")).alias("n"))
 
 
+def _product(a: str, b: str):
+    """The product of two counts as a double; as a long it would overflow from some 10**5 rows on, which is an error."""
+    return F.col(a).cast("double") * F.col(b).cast("double")
+
+
 def auc(histogram: DataFrame, places: int = 6) -> DataFrame:
     """(n_pairs, n_self, n_cross, auc): the chance that a pair of one author is nearer than one of two, ties half.
 
@@ -34,7 +39,7 @@ def auc(histogram: DataFrame, places: int = 6) -> DataFrame:
     won = F.sum(F.col("n_self") * (F.col("beyond") + F.col("n_cross") / 2))
     s, c = F.sum("n_self"), F.sum("n_cross")
     out = h.agg(F.coalesce(s + c, F.lit(0)).alias("n_pairs"), F.coalesce(s, F.lit(0)).alias("n_self"), F.coalesce(c, F.lit(0)).alias("n_cross"), won.alias("won"))
-    value = F.when((F.col("n_self") > 0) & (F.col("n_cross") > 0), F.round(F.col("won") / (F.col("n_self") * F.col("n_cross")), places)).otherwise(float("nan"))
+    value = F.when((F.col("n_self") > 0) & (F.col("n_cross") > 0), F.round(F.col("won") / _product("n_self", "n_cross"), places)).otherwise(float("nan"))
     return out.select("n_pairs", "n_self", "n_cross", value.alias("auc"))
 
 
@@ -81,7 +86,7 @@ def scored_auc(scores: DataFrame, group: list[str], places: int = SCORE_PLACES)
     below = Window.partitionBy(*group).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # rounded scores of a group
     h = steps.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
     out = h.groupBy(*group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("less") + F.col("n") / 2)).alias("won"))
-    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("won") / (F.col("n_pos") * F.col("n_neg")), 6)).otherwise(float("nan"))
+    value = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("won") / _product("n_pos", "n_neg"), 6)).otherwise(float("nan"))
     return out.select(*group, "n_pos", "n_neg", value.alias("auc"))
 
 

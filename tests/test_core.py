@@ -474,3 +474,11 @@ def test_manhattan_histogram_takes_a_tile_in_small_parts(spark):
     x = {"vec": rng.normal(size=(600, 5)), "author": np.zeros(600, np.int64)}
     assert max(d.size for d, _, _ in distance._parts_of(x, x, "manhattan", True)) <= distance.ROWS * distance.COLUMNS
     assert distance._manhattan(x["vec"][:3], x["vec"].T) == pytest.approx(np.abs(x["vec"][:3, None] - x["vec"][None]).sum(axis=2))
+
+
+def test_auc_of_more_pairs_than_a_long_multiplies(spark):
+    h = spark.createDataFrame([(1, 3 * 10**9, 10**10), (2, 10**9, 3 * 10**10)], "step long, n_self long, n_cross long")
+    r = evaluation.auc(h).first()  # n_self * n_cross is over 2**63
+    assert (r.n_self, r.n_cross) == (4 * 10**9, 4 * 10**10) and r.auc == pytest.approx((3 * 3.5 + 1.5) / 16)
+    scores = spark.createDataFrame([("m", 0.9, True, 4 * 10**9), ("m", 0.1, False, 4 * 10**9)], "g string, score double, positive boolean, weight long")
+    assert evaluation.scored_auc(scores, ["g"]).first().auc == 1
