@@ -28,7 +28,11 @@ from inkstone.plans.lineage import written
 BLOCK, PART = 8192, 1024
 SPARSE_BLOCK = 1024
 #: Rows and columns of the part of a tile whose distances are there at a time.
-ROWS, COLUMNS, SPARSE_ROWS = 256, 1024, 128
+ROWS, COLUMNS, SPARSE_ROWS = 256, 512, 128
+#: Rows whose columns have at most so many different values on average share their minima with the other side's, which a matrix product adds up.
+SHARED = 25
+#: Rows of a block of author means by Manhattan distance. Authors' counts by value are multiplied instead of rows if that takes at most so many products for each difference.
+MEANS_BLOCK, CHEAPER = 2048, 15
 #: A column that so many times the squared part of the rows have is multiplied as one of a matrix (that takes about so much less time a product).
 DENSE = 150
 #: Tasks that make labels; a label of more than one in so many rows is summed up as a matrix of its own; rows of a batch that leaves a task.
@@ -41,7 +45,20 @@ PLACES, MOST = 4, 100
 
 
 def unit_rows(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("vec", V.unit(F.col("vec")))
+    """vectors.unit() of vec, on arrays; as an expression it would take the length anew for each value."""
+
+    def divide(batches):
+        for batch in batches:
+            vec = batch.column(at)
+            flat, lengths = vec.flatten().to_numpy(zero_copy_only=False), np.diff(vec.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            n = np.sqrt(np.bincount(row, flat * flat, len(lengths)))
+            flat = flat / np.where(n < V.EPS, 1.0, n)[row]
+            ends = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat)) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    at = rows.columns.index("vec")
+    return rows.mapInArrow(divide, rows.schema)
 
 
 def _distances(a: pd.DataFrame, b: pd.DataFrame, metric: str) -> np.ndarray:
@@ -79,19 +96,19 @@ def packed(rows: DataFrame | Made, block: int | None = None, ids: bool = False,
     def put(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         author, doc = (t.column(c).to_numpy() for c in ("author", "doc"))
-        order = np.lexsort((doc, author))
+        vec = t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(author), -1) if dense else None
+        order = np.lexsort((doc, author)) if vec is None or names else _alike(vec)
         out = {"author": author[order], "doc": doc[order]}
         if ids:
             out["id"] = t.column("id").take(pa.array(order)).combine_chunks()
-        first = np.flatnonzero(np.r_[True, out["author"][1:] != out["author"][:-1]])
+        there, first = np.unique(out["author"], return_index=True)
         if names:
             out["name"] = t.column("name").take(pa.array(order[first])).combine_chunks()
         if dense:
-            vec = t.column("vec").combine_chunks()
-            out["vec"] = vec.flatten().to_numpy().reshape(len(author), -1)[order]
+            out["vec"] = vec[order]
         else:
             out |= _by_column(t.column("idx").combine_chunks(), t.column("val").combine_chunks(), order)
-        return pa.RecordBatch.from_pydict({"name": [save(where, out)], "n": [len(author)], "authors": [out["author"][first].tobytes()]})
+        return pa.RecordBatch.from_pydict({"name": [save(where, out)], "n": [len(author)], "authors": [there.tobytes()]})
 
     def cut(batches):
         held, n = [], 0
@@ -110,6 +127,18 @@ def packed(rows: DataFrame | Made, block: int | None = None, ids: bool = False,
     return Blocks(rows.sparkSession, where, [r[0] for r in out], [r[1] for r in out], [bytes(r[2]) for r in out])
 
 
+def _alike(vec: np.ndarray) -> np.ndarray:
+    """An order of rows that brings together those that share values.
+
+    Relative frequencies are counts by a text's words: the least ratio of a row's values to the least of their columns
+    tells its number of words, whatever the columns are scaled by.
+    """
+    above = vec - vec.min(axis=0)
+    above[above < V.EPS] = np.inf
+    least = above.min(axis=0)
+    return np.argsort((above / np.where(np.isfinite(least), least, 1.0)).min(axis=1), kind="stable")
+
+
 def _by_column(idx: pa.ListArray, val: pa.ListArray, order: np.ndarray) -> dict:
     """Sparse rows, in the given order, as cols, the different columns, and for each from start on the rows that have it and their values."""
     lengths, place = np.diff(idx.offsets.to_numpy()), np.empty(len(order), np.int32)
@@ -173,6 +202,36 @@ def _manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0, out=out)
 
 
+def _shared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(column, value, rows that have it as a matrix of ones) of the different values over 0 of rows; None if they are too many."""
+    columns, values, has = [], [], []
+    for k in range(x.shape[1]):
+        v, code = np.unique(x[:, k], return_inverse=True)
+        skip = int(len(v) > 0 and v[0] <= 0)
+        columns.append(np.full(len(v) - skip, k))
+        values.append(v[skip:])
+        has.append((code - skip, sum(map(len, values[:-1]))))
+        if has[-1][1] + len(values[-1]) > SHARED * x.shape[1]:
+            return None
+    columns, values = np.concatenate(columns or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0)])
+    ones = np.zeros((len(x), len(values)))
+    for code, begin in has:
+        row = np.flatnonzero(code >= 0)
+        ones[row, begin + code[row]] = 1
+    return columns, values, ones
+
+
+def _manhattan_shared(x: np.ndarray, y: np.ndarray, column: np.ndarray, value: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """_manhattan() of values from 0 on by _shared(): the lesser of each value and the other side is taken once for all rows that have it."""
+    lesser = y[column]
+    np.minimum(lesser, value[:, None], out=lesser)
+    out = ones @ lesser
+    np.multiply(out, -2, out=out)
+    out += x.sum(axis=1)[:, None]
+    out += y.sum(axis=0)
+    return np.maximum(out, 0, out=out)
+
+
 def _parts_of(a: dict, b: dict, metric: str, same: bool) -> Iterator[tuple[np.ndarray, slice, slice]]:
     """(distances, rows of a, rows of b) of each part of a tile; of a block with itself those left of the diagonal's parts are left out."""
     if "vec" not in a:
@@ -180,9 +239,13 @@ def _parts_of(a: dict, b: dict, metric: str, same: bool) -> Iterator[tuple[np.nd
             yield np.clip(1 - d, 0, 2, out=d), slice(r0, r0 + len(d)), slice(0, d.shape[1])
         return
     x, y = a["vec"], np.ascontiguousarray(b["vec"].T)
+    if metric != "cosine":  # differences stay, and most words' values are 0
+        low = np.minimum(x.min(axis=0), y.min(axis=1))
+        x, y = x - low, y - low[:, None]
     sides = [(c0, np.ascontiguousarray(y[:, c0 : c0 + COLUMNS])) for c0 in range(0, y.shape[1], COLUMNS)]
     for r0 in range(0, len(x), ROWS):
         rows = x[r0 : r0 + ROWS]
+        shared = _shared(rows) if metric != "cosine" else None
         for c0, cols in sides:
             if same and c0 + cols.shape[1] <= r0:
                 continue
@@ -191,7 +254,7 @@ def _parts_of(a: dict, b: dict, metric: str, same: bool) -> Iterator[tuple[np.nd
                 np.subtract(1, d, out=d)
                 np.clip(d, 0, 2, out=d)
             else:
-                d = _manhattan(rows, cols)
+                d = _manhattan(rows, cols) if shared is None else _manhattan_shared(rows, cols, *shared)
             yield d, slice(r0, r0 + len(rows)), slice(c0, c0 + cols.shape[1])
 
 
@@ -338,6 +401,49 @@ def permuted_ranks(blocks: Blocks, middle: dict[int, float], permutations: int,
     return each.groupBy("k").agg(F.sum("rank_sum").alias("rank_sum"), (F.lit(pairs) - F.sum("less")).alias("n_self"))
 
 
+def _levels(block: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The different values of each column and each row's place among them; kept with the block."""
+    if "levels" not in block:
+        block["levels"] = [np.unique(v, return_inverse=True) for v in block["vec"].T]
+    return block["levels"]
+
+
+def _sums_by_value(a: dict, b: dict, ax: np.ndarray, by: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """(sums of Manhattan distances, pairs of rows of different documents) of the authors ax and by of a tile's rows; None if the pairs take less.
+
+    The sum over two authors' rows of the lesser value is, from each value of a column to the next, the product of how
+    many rows of either reach it. So authors are multiplied, not rows. Pairs of one document are taken off.
+    """
+    na, nb = np.bincount(ax), np.bincount(by)
+    columns = list(zip(_levels(a), _levels(b)))
+    if len(na) * len(nb) * sum(len(v) + len(w) for (v, _), (w, _) in columns) > CHEAPER * len(ax) * len(by) * len(columns):
+        return None
+    s, n = np.zeros((len(na), len(nb))), np.outer(na, nb)
+
+    def reach(author, many, place):
+        out = np.bincount(author * len(grid) + place, minlength=many * len(grid)).reshape(many, -1)
+        return out[:, :0:-1].cumsum(axis=1)[:, ::-1].astype(np.float64)
+
+    for (v, code), (w, code_b) in columns:
+        grid = np.union1d(v, w)
+        up = np.diff(grid)
+        left, right = reach(ax, len(na), np.searchsorted(grid, v)[code]), reach(by, len(nb), np.searchsorted(grid, w)[code_b])
+        s += np.outer(left @ up, nb) + np.outer(na, right @ up)
+        s -= (left * (2 * up)) @ right.T
+    if same:
+        at = np.diag_indices(len(na))
+        s[at], n[at] = s[at] / 2, na * (na - 1) // 2
+        s, n = np.triu(s), np.triu(n)
+    p, q = _equal(a["doc"], b["doc"])
+    if same:
+        p, q = p[p < q], q[p < q]
+    for i in range(0, len(p), ROWS_OUT):
+        k, m = p[i : i + ROWS_OUT], q[i : i + ROWS_OUT]
+        np.subtract.at(s, (ax[k], by[m]), np.abs(a["vec"][k] - b["vec"][m]).sum(axis=1))
+        np.subtract.at(n, (ax[k], by[m]), 1)
+    return s, n
+
+
 def author_means(rows: DataFrame | Made, metric: str = "cosine", block: int | None = None) -> DataFrame:
     """(author_i, author_j, n_pairs, mean_distance) of every two authors, and each with itself, that have rows of different documents.
 
@@ -346,7 +452,8 @@ def author_means(rows: DataFrame | Made, metric: str = "cosine", block: int | No
     """
     if not isinstance(rows, Made) and "vec" in rows.columns:
         rows = rows.repartitionByRange(F.xxhash64("author")).sortWithinPartitions(F.xxhash64("author"))
-    blocks = packed(rows, block or SPARSE_BLOCK, names=True)
+    by_value = metric != "cosine"
+    blocks = packed(rows, block or (MEANS_BLOCK if by_value else SPARSE_BLOCK), names=True)
     there, times = np.unique(np.concatenate([np.frombuffer(a, np.int64) for a in blocks.authors] or [np.zeros(0, np.int64)]), return_counts=True)
     several, read = there[times > 1], blocks.reader()
 
@@ -354,8 +461,8 @@ def author_means(rows: DataFrame | Made, metric: str = "cosine", block: int | No
         for i, j in tiles:
             a, b, same = read(i), read(j), i == j
             (x, ax), (y, by) = (np.unique(s["author"], return_inverse=True) for s in (a, b))
-            s, n = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), np.int64)
-            for d, r, c in _parts_of(a, b, metric, same):
+            s, n = (_sums_by_value(a, b, ax, by, same) if by_value else None) or (np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), np.int64))
+            for d, r, c in _parts_of(a, b, metric, same) if not n.any() else ():
                 k, m = _equal(a["doc"][r], b["doc"][c])
                 counts = np.ones(d.shape, np.int64) if len(k) or same else None
                 if counts is not None:

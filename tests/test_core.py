@@ -482,3 +482,48 @@ def test_auc_of_more_pairs_than_a_long_multiplies(spark):
     assert (r.n_self, r.n_cross) == (4 * 10**9, 4 * 10**10) and r.auc == pytest.approx((3 * 3.5 + 1.5) / 16)
     scores = spark.createDataFrame([("m", 0.9, True, 4 * 10**9), ("m", 0.1, False, 4 * 10**9)], "g string, score double, positive boolean, weight long")
     assert evaluation.scored_auc(scores, ["g"]).first().auc == 1
+
+
+def frequency_rows(n: int, columns: int = 6) -> tuple[np.ndarray, list[tuple]]:
+    """Deviations of counts by a text's words, so that values recur, in an order that keeps those of one length apart."""
+    rng = np.random.default_rng(11)
+    v = (rng.poisson(1.0, (n, columns)) / (20 + np.arange(n) % 4)[:, None] - 0.1) / np.arange(1, columns + 1)
+    return v, [(f"r{i:03d}", f"a{i % 3}", f"d{i // 2}", v[i].tolist()) for i in range(n)]
+
+
+def test_manhattan_distances_share_the_minima_of_equal_values(monkeypatch):
+    v, _ = frequency_rows(600)
+    ordered = v[distance._alike(v)]
+    x, y = ordered - ordered.min(axis=0), np.ascontiguousarray((v - v.min(axis=0)).T)
+    assert len(distance._shared(x[:150])[1]) * 2 < len(distance._shared((v - v.min(axis=0))[:150])[1])  # one length, not four
+    want = np.abs(x[:150, None] - y.T[None]).sum(axis=2)
+    assert distance._manhattan_shared(x[:150], y, *distance._shared(x[:150])) == pytest.approx(want)
+    monkeypatch.setattr(distance, "SHARED", 1)
+    assert distance._shared(x[:150]) is None  # too many values: row by row
+    a = {"vec": ordered}
+    got = np.zeros((600, 600))
+    for limit in (0, 10**6):
+        monkeypatch.setattr(distance, "SHARED", limit)
+        for d, r, c in distance._parts_of(a, a, "manhattan", False):
+            got[r, c] = d
+        assert got == pytest.approx(np.abs(ordered[:, None] - ordered[None]).sum(axis=2))
+
+
+def test_author_sums_by_value_equal_those_by_pair(monkeypatch):
+    v, _ = frequency_rows(80)
+    side = lambda s: {"vec": v[s], "author": np.sort(np.arange(40) // 9), "doc": np.arange(80)[s] // 3}
+    a, b = side(slice(0, 40)), side(slice(38, 78))  # documents of both sides
+    monkeypatch.setattr(distance, "CHEAPER", 10**6)
+    for p, q in ((a, b), (a, a)):
+        s, n = distance._sums_by_value(p, q, p["author"], q["author"], p is q)
+        ok = (p["doc"][:, None] != q["doc"][None]) & (np.triu(np.ones((40, 40), bool), 1) if p is q else True)
+        far = np.abs(p["vec"][:, None] - q["vec"][None]).sum(axis=2) * ok
+        fold = lambda t: np.array([[t[np.ix_(p["author"] == i, q["author"] == j)].sum() for j in range(5)] for i in range(5)])  # noqa: B023, E731
+        assert (n == fold(ok)).all() and s == pytest.approx(fold(far))
+    monkeypatch.setattr(distance, "CHEAPER", 0)
+    assert distance._sums_by_value(a, b, a["author"], b["author"], False) is None
+
+
+def test_unit_rows_keep_what_has_no_length(spark):
+    rows = [("r0", "a", "d0", [3.0, 4.0]), ("r1", "a", "d1", [0.0, 0.0]), ("r2", "b", "d2", [0.0, -2.0])]
+    assert {r.id: r.vec for r in distance.unit_rows(vectors(spark, rows)).collect()} == {"r0": [0.6, 0.8], "r1": [0.0, 0.0], "r2": [0.0, -1.0]}
