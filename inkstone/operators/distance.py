@@ -37,6 +37,8 @@ MEANS_BLOCK, CHEAPER = 2048, 15
 DENSE = 150
 #: Tasks that make labels; a label of more than one in so many rows is summed up as a matrix of its own; rows of a batch that leaves a task.
 LABEL_TASKS, FREQUENT, ROWS_OUT = 24, 50, 50_000
+#: Rows whose ranks are there at a time for all relabellings; a multiple of ROWS.
+STRIP = 1024
 #: A smaller table is cut into so many blocks, of at least PART / 2 rows, that its tiles spread evenly over some cores.
 LEAST_BLOCKS = 12
 #: Distances are counted in steps of 10**-PLACES. Manhattan distances are counted as means over the columns, those over
@@ -344,17 +346,25 @@ def _labels(blocks: Blocks, permutations: int, seed: int) -> tuple[list[str], li
     return [r[1] for r in made], [k for g in groups for k in g], made[0][2] if made else 0
 
 
-def _same_sums(ranks: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
-    """The sum of the cells in which the labels of row and column are equal."""
-    total, n = 0.0, np.bincount(y)
-    frequent = np.flatnonzero(n * FREQUENT > len(y))
+def _sorted_labels(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the labels of a side in order, their rows, which labels are frequent, labels whose rows are summed up as a matrix); made once a tile."""
+    order = np.argsort(y, kind="stable").astype(np.int32)
+    often = np.bincount(y) * FREQUENT > len(y)
+    return y[order], order, often, np.flatnonzero(often)
+
+
+def _same_sums(ranks: np.ndarray, x: np.ndarray, side: tuple) -> float:
+    """The sum of the cells in which the labels of row and column (side, of _sorted_labels()) are equal."""
+    y, order, often, frequent = side
+    total = 0.0
     for label in frequent:  # at most FREQUENT
         r = np.flatnonzero(x == label)
         if len(r):
-            total += ranks[np.ix_(r, np.flatnonzero(y == label))].sum()
-    x = np.where(np.isin(x, frequent), -1, x) if len(frequent) else x
-    i, j = _equal(x, y)
-    return total + ranks[i, j].sum()
+            total += ranks[np.ix_(r, order[slice(*np.searchsorted(y, [label, label + 1]))])].sum()
+    known = np.flatnonzero(x < len(often))
+    row = known[~often[x[known]]]
+    lo, hi = (np.searchsorted(y, x[row], side) for side in ("left", "right"))
+    return total + ranks[np.repeat(row, hi - lo), order[_runs(lo, hi - lo)]].sum()
 
 
 def permuted_ranks(blocks: Blocks, middle: dict[int, float], permutations: int, seed: int, metric: str = "cosine") -> DataFrame:
@@ -376,25 +386,30 @@ def permuted_ranks(blocks: Blocks, middle: dict[int, float], permutations: int,
         for i, j in tiles:
             a, b = read(i), read(j)
             own = {k: own[k] if k in own else labels(k) for k in {i, j}}
+            sides = [_sorted_labels(y) for y in own[j]]
             strip, first, stop = None, 0, 0
+
+            def close():
+                for k, side in enumerate(sides):  # noqa: B023
+                    total[k] += _same_sums(strip[: stop - first], own[i][k, first:stop], side)  # noqa: B023
+
             for d, r, c in _parts_of(a, b, metric, i == j):
-                if strip is None or r.start != first:
+                if strip is None or r.stop > first + STRIP:
                     if strip is not None:
-                        for k in range(len(ks)):
-                            total[k] += _same_sums(strip, own[i][k, first:stop], own[j][k])
-                    strip, first, stop = np.zeros((r.stop - r.start, len(b["author"]))), r.start, r.stop
+                        close()
+                    strip, first = np.zeros((min(STRIP, len(a["author"]) - r.start), len(b["author"]))), r.start
+                stop = max(stop, r.stop)
                 part = rank_of[_steps(d, metric, a["vec"].shape[1] if "vec" in a else 1)]
                 p, q = _equal(a["doc"][r], b["doc"][c])
                 part[p, q] = 0
                 if i == j and (upper := _upper(r, c)) is not None:
                     part *= upper
                     p, q = p[upper[p, q]], q[upper[p, q]]
-                strip[:, c] = part
+                strip[r.start - first : r.stop - first, c] = part
                 if len(p):
                     less += np.count_nonzero(own[i][:, r][:, p] == own[j][:, c][:, q], axis=1)
             if strip is not None:
-                for k in range(len(ks)):
-                    total[k] += _same_sums(strip, own[i][k, first:stop], own[j][k])
+                close()
         yield pa.RecordBatch.from_pydict({"k": pa.array(ks, pa.int32()), "rank_sum": total, "less": less})
 
     each = over(blocks.spark, blocks.tiles(), add, "k int, rank_sum double, less long")

@@ -527,3 +527,20 @@ def test_author_sums_by_value_equal_those_by_pair(monkeypatch):
 def test_unit_rows_keep_what_has_no_length(spark):
     rows = [("r0", "a", "d0", [3.0, 4.0]), ("r1", "a", "d1", [0.0, 0.0]), ("r2", "b", "d2", [0.0, -2.0])]
     assert {r.id: r.vec for r in distance.unit_rows(vectors(spark, rows)).collect()} == {"r0": [0.6, 0.8], "r1": [0.0, 0.0], "r2": [0.0, -1.0]}
+
+
+def test_labels_are_ordered_once_for_all_strips_of_a_tile():
+    rng = np.random.default_rng(12)
+    x, y = np.r_[rng.integers(0, 90, 300), np.zeros(60, int), [95]], np.r_[rng.integers(0, 80, 300), np.zeros(50, int)]  # 0 is frequent
+    ranks = rng.random((len(x), len(y)))
+    side = distance._sorted_labels(y)
+    want = (ranks * (x[:, None] == y[None])).sum()
+    assert sum(distance._same_sums(ranks[i : i + 100], x[i : i + 100], side) for i in range(0, len(x), 100)) == pytest.approx(want)
+
+
+def test_permutations_take_strips_of_a_tile(spark):
+    rng = np.random.default_rng(13)
+    rows = [(f"r{i:04d}", f"a{i % 7}", f"d{i // 2}", rng.normal(size=3).tolist()) for i in range(distance.STRIP + distance.ROWS + 9)]
+    df = distance.unit_rows(vectors(spark, rows))
+    got = [{r.k: (r.n_self, r.auc) for r in evaluation.permutation_test(distance.packed(df.repartition(1), block, ids=True), 3).collect()} for block in (100, 8192)]
+    assert len(got[0]) == 3 and got[0].keys() == got[1].keys() and all(got[0][k][0] == got[1][k][0] and got[0][k][1] == pytest.approx(got[1][k][1]) for k in got[0])
