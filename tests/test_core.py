@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions import vectors as V
-from inkstone.operators import chunking, distance, evaluation, features, folds, leakage, reports
+from inkstone.operators import chunking, distance, evaluation, features, folds, leakage, logistic, reports
 from inkstone.plans import lineage
 from inkstone.plans.ranks import numbered
 from inkstone.sources import corpus, sinks
@@ -328,6 +328,52 @@ def test_leakage_check_tells_authors_by_topic(spark):
     assert got["content"]["mean"] == 1 and got["content"].features == 16 and got["words"].features == 18 and got["words"].warning and (got["words"].texts, got["words"].authors, got["words"].folds) == (20, 2, 5)
 
 
+def dense_predictions(x, label, fold, classes):
+    """By Newton's method on all parameters at once."""
+    out = np.zeros(len(x), np.int64)
+    for f in set(fold.tolist()):
+        train = fold != f
+        there = np.unique(label[train])
+        a, y = np.c_[x[train], np.ones(train.sum())], (label[train][:, None] == there).astype(float)
+        d, k = a.shape[1], len(there)
+        penalty = np.tile(np.r_[np.ones(d - 1), 0], k)
+        w = np.zeros(d * k)
+        for _ in range(30):
+            p = np.exp(a @ w.reshape(k, d).T)
+            p /= p.sum(axis=1, keepdims=True)
+            hessian = np.diag(penalty) + np.block([[a.T @ (a * (p[:, i] * ((i == j) - p[:, j]))[:, None]) for j in range(k)] for i in range(k)])
+            w = w - np.linalg.lstsq(hessian, ((p - y).T @ a).ravel() + penalty * w, rcond=1e-10)[0]
+        own = np.c_[x[~train], np.ones((~train).sum())] @ w.reshape(k, d).T
+        out[~train] = there[own.argmax(axis=1)]
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 12, 30])
+def test_fits_in_blocks_of_classes_are_those_of_the_whole_objective(spark, monkeypatch, common):
+    rng = np.random.default_rng(8)
+    label, fold = rng.integers(0, 6, 260), rng.integers(0, 3, 260)
+    label[0], fold[0] = 6, 1  # an author of one text
+    x = rng.exponential(size=(260, 30)) * (rng.random((260, 30)) < 0.3 + 0.5 * (np.arange(30) % 6 == label[:, None])) * np.where(np.arange(30) < 12, 1, rng.random((260, 30)) < 0.2)
+    x[5] = 0
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+    data = [(int(f), int(k), np.flatnonzero(v).tolist(), v[v > 0].tolist()) for f, k, v in zip(fold, label, x)]
+    monkeypatch.setattr(logistic, "VALUES", 200)
+    monkeypatch.setattr(logistic, "SUMMED", 64)
+    rows = logistic.rows_of(spark.createDataFrame(data, "fold int, label long, idx array<long>, val array<double>").repartition(3), 30, common, 7)
+    assert len(rows.blocks(2)) > 3 and sum(rows.sizes) == 260
+    got = Counter((r.fold, r.label, r.predicted) for r in logistic.predictions(spark, rows).collect())
+    assert got == Counter(zip(fold.tolist(), label.tolist(), dense_predictions(x, label, fold, 7).tolist()))
+    assert sum(n for (_, k, p), n in got.items() if k == p) > 100
+
+
+def test_leakage_check_of_many_authors_keeps_weights_in_tasks(spark):
+    """1,000 authors of two words each; weights of all folds are some 10 million."""
+    d = spark.createDataFrame([(f"{a:04d}{k}", f"a{a}", f"w{a} " * 3 + f"v{a} w{(a + 1) % 1000}") for a in range(1000) for k in range(5)], "id string, author string, text string")
+    by_fold, size = leakage.accuracies(d, T.long_words("text"))
+    got = by_fold.collect()
+    assert size == 2000 and [r.fold for r in got] == list(range(5)) and sum(r.n for r in got) == 5000 and all(r.accuracy == 1 for r in got)
+
+
 def test_vector_sums_carry_keys_over_batches(spark):
     rng = np.random.default_rng(4)
     data = [(f"k{i % 7}" if i % 5 else None, int(i % 3), rng.normal(size=4).tolist()) for i in range(500)]
