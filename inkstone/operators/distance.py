@@ -28,7 +28,7 @@ from inkstone.plans.lineage import written
 BLOCK, PART = 8192, 1024
 SPARSE_BLOCK = 1024
 #: Rows and columns of the part of a tile whose distances are there at a time.
-ROWS, COLUMNS, SPARSE_ROWS = 256, 512, 128
+ROWS, COLUMNS, SPARSE_ROWS = 256, 512, 32
 #: Rows whose columns have at most so many different values on average share their minima with the other side's, which a matrix product adds up.
 SHARED = 25
 #: Rows of a block of author means by Manhattan distance. Authors' counts by value are multiplied instead of rows if that takes at most so many products for each difference.

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -374,6 +375,19 @@ def test_leakage_check_of_many_authors_keeps_weights_in_tasks(spark):
     assert size == 2000 and [r.fold for r in got] == list(range(5)) and sum(r.n for r in got) == 5000 and all(r.accuracy == 1 for r in got)
 
 
+def test_products_of_sparse_rows_take_bounded_memory():
+    sides = []
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        idx = [np.unique((20_000 * rng.random(1200) ** 2).astype(np.int64)) for _ in range(1024)]
+        sides.append({"author": np.arange(1024)} | distance._by_column(pa.array(idx), pa.array([np.full(len(i), len(i) ** -0.5) for i in idx]), np.arange(1024)))
+    tracemalloc.start()
+    rows = sum(len(d) for d, _ in distance._dots(*sides))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1024 and peak < 150e6  # two blocks of entries; 220 MB with 128 rows at a time
+
+
 def test_vector_sums_carry_keys_over_batches(spark):
     rng = np.random.default_rng(4)
     data = [(f"k{i % 7}" if i % 5 else None, int(i % 3), rng.normal(size=4).tolist()) for i in range(500)]
